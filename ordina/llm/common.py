@@ -89,3 +89,32 @@ def _small_star(edges: DataFrame) -> DataFrame:
     low = edges.groupBy("u").agg(F.min("v").alias("m"))
     moved = edges.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+
+
+def text_key(text: Column) -> list[Column]:
+    """Two independent 64-bit hashes that together name a text; equal texts are one class in what follows."""
+    return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")]
+
+
+#: Bits of a prefilter of hashes (8 MB): the size is fixed whatever the corpus. What it lets through by mistake, more
+#: as the corpus grows, is dropped by the exact steps that follow.
+FILTER_BITS = 1 << 26
+
+
+def hash_filter(hashes: DataFrame, bits: int = FILTER_BITS):
+    """A bitmap of the long column ``v`` as a numpy array of bytes, of a fixed size; one position a hash."""
+    import numpy as np
+
+    at = hashes.select(F.shiftrightunsigned("v", 64 - bits.bit_length() + 1).alias("at"))
+    words = at.groupBy(F.expr("cast(at div 64 as int)").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("set")).toArrow()
+    out = np.zeros(bits // 64, np.uint64)
+    out[words.column("word").to_numpy()] = words.column("set").to_numpy().view(np.uint64)
+    return out.view(np.uint8)
+
+
+def in_filter(bitmap, hashes):
+    """Whether each 64-bit hash may be among those that :func:`hash_filter` got."""
+    import numpy as np
+
+    at = hashes >> np.uint64(64 - (len(bitmap) * 8).bit_length() + 1)
+    return (bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0

@@ -67,4 +67,17 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM e LEFT JOIN g USING (row)
 """
 
-ORACLES = {"op3_warc_archive": OP3, "op4_url_filter": OP4, "op7_secret_links": OP7, "op9_mix": OP9}
+OP10 = rf"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, {_WORDS.replace('text', "coalesce(text, '')")} AS w FROM documents),
+h AS (SELECT row, unnest(list_transform(range(1, len(w) - 33), lambda i: md5(array_to_string(list_slice(w, i, i + 34), ' ')))) AS h,
+  unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35),
+r AS (SELECT row, i FROM h QUALIFY count(*) OVER (PARTITION BY h) > 1),
+c AS (SELECT DISTINCT row, unnest(range(i, i + 35)) AS p FROM r),
+x AS (SELECT row, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d WHERE len(w) > 0),
+k AS (SELECT x.row, count(*) FILTER (WHERE c.p IS NOT NULL) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY x.p) FILTER (WHERE c.p IS NULL), '') AS kept
+  FROM x LEFT JOIN c ON x.row = c.row AND x.p = c.p GROUP BY x.row)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (row)
+"""
+
+ORACLES = {"op10_substring_dedup": OP10, "op3_warc_archive": OP3, "op4_url_filter": OP4, "op7_secret_links": OP7, "op9_mix": OP9}

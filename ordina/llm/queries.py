@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, secrets, urlfilter, warc
+from . import chat, mixing, secrets, substrings, urlfilter, warc
 from .common import new_table
 
 TOKENIZERS = os.environ.get("ORDINA_TOKENIZERS", "/opt/tokenizers")
@@ -48,10 +48,16 @@ def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.remove_repeats(table(spark, sf_dir, "documents"), finish=lambda kept: F.sha2(kept, 256))
+    return found.select("doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
+
+
 QUERIES = {
     "op3_warc_archive": op3_warc_archive,
     "op4_url_filter": op4_url_filter,
     "op7_secret_links": op7_secret_links,
     "op8_chat_format": op8_chat_format,
     "op9_mix": op9_mix,
+    "op10_substring_dedup": op10_substring_dedup,
 }
