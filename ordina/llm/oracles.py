@@ -80,4 +80,17 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS
 FROM d LEFT JOIN k USING (row)
 """
 
-ORACLES = {"op10_substring_dedup": OP10, "op3_warc_archive": OP3, "op4_url_filter": OP4, "op7_secret_links": OP7, "op9_mix": OP9}
+OP6 = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS row, doc_id,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT row, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(list_slice(w, i, i + 3), ' '))) END AS g FROM d),
+e AS (SELECT row, unnest(g) AS x FROM s),
+c AS (SELECT a.row AS a, b.row AS b, count(*) AS n FROM e a JOIN e b ON a.x = b.x AND a.row <> b.row GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN s p ON p.row = a JOIN s q ON q.row = b WHERE 100 * n >= 85 * (len(p.g) + len(q.g) - n)),
+r AS (SELECT row, row AS seen FROM d UNION SELECT r.row, l.b FROM r JOIN l ON r.seen = l.a)
+SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, min(t.doc_id) AS component_id
+FROM s JOIN r ON r.row = s.row JOIN d t ON t.row = r.seen GROUP BY s.row, s.doc_id, len(s.g)
+"""
+
+ORACLES = {"op6_jaccard_join": OP6, "op10_substring_dedup": OP10, "op3_warc_archive": OP3, "op4_url_filter": OP4, "op7_secret_links": OP7, "op9_mix": OP9}

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, secrets, substrings, urlfilter, warc
+from . import chat, jaccard, mixing, secrets, substrings, urlfilter, warc
 from .common import new_table
 
 TOKENIZERS = os.environ.get("ORDINA_TOKENIZERS", "/opt/tokenizers")
@@ -32,6 +32,10 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(table(spark, sf_dir, "pages"), allow=ALLOW, block=BLOCK, blocked_hosts=BLOCKED_HOSTS)
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_classes(table(spark, sf_dir, "documents"))
+
+
 def op7_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan_secrets(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
@@ -56,6 +60,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_warc_archive": op3_warc_archive,
     "op4_url_filter": op4_url_filter,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_secret_links": op7_secret_links,
     "op8_chat_format": op8_chat_format,
     "op9_mix": op9_mix,

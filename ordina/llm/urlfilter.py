@@ -42,7 +42,7 @@ def _level(number: int, keys: DataFrame, n: int, rate: float) -> Level:
     bits = 64 * max(1, math.ceil(-n * math.log(rate) / math.log(2) ** 2 / 64))
     if bits > MAX_BITS:
         raise ValueError(f"the filter of {n} keys takes {bits} bits; the bound is {MAX_BITS}: join with the list instead")
-    empty = Level(number, bits, max(1, round(bits / n * math.log(2))), ())
+    empty = Level(number, bits, max(1, math.ceil(-math.log2(rate))), ())
     at = keys.select(F.explode(F.array(*empty.positions(F.col("key")))).alias("at"))
     one = F.expr("shiftleft(1L, cast(at % 64 as int))")
     found = at.groupBy(F.floor(F.col("at") / 64).alias("word")).agg(F.bit_or(one).alias("set")).collect()  # bits / 64 at most
