@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, mixing, secrets, substrings, urlfilter, warc
+from . import chat, jaccard, mixing, quality, secrets, substrings, urlfilter, warc
 from .common import new_table
 
 TOKENIZERS = os.environ.get("ORDINA_TOKENIZERS", "/opt/tokenizers")
@@ -32,6 +32,13 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(table(spark, sf_dir, "pages"), allow=ALLOW, block=BLOCK, blocked_hosts=BLOCKED_HOSTS)
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_classes(table(spark, sf_dir, "documents"))
 
@@ -60,6 +67,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_warc_archive": op3_warc_archive,
     "op4_url_filter": op4_url_filter,
+    "op5_quality": op5_quality,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_secret_links": op7_secret_links,
     "op8_chat_format": op8_chat_format,
