@@ -28,9 +28,14 @@ def index_vectors() -> tuple[np.ndarray, np.ndarray]:
 
 
 def _slots(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The slot of each word; a word that repeats the one before it counts as slot 0, a word ``again``."""
     data, offsets = K.text_bytes(column)
     starts, ends, first = K.pieces(data, offsets)
-    return (K.word_hashes(data, starts, ends, seed=9) >> np.uint64(50)).astype(np.int64), first
+    slot = (K.word_hashes(data, starts, ends, seed=9) >> np.uint64(50)).astype(np.int64)
+    again = np.zeros(len(slot), bool)
+    again[1:] = slot[1:] == slot[:-1]
+    again[first[:-1][np.diff(first) > 0]] = False
+    return np.where(again, 0, slot), first
 
 
 def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
