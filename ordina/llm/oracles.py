@@ -93,4 +93,16 @@ SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, min(t.doc_id) AS compon
 FROM s JOIN r ON r.row = s.row JOIN d t ON t.row = r.seen GROUP BY s.row, s.doc_id, len(s.g)
 """
 
-ORACLES = {"op6_jaccard_join": OP6, "op10_substring_dedup": OP10, "op3_warc_archive": OP3, "op4_url_filter": OP4, "op7_secret_links": OP7, "op9_mix": OP9}
+OP1 = """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS row, vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+g AS (SELECT * FROM v WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.row AS a, b.row AS b FROM g a JOIN g b ON a.label = b.label AND len(a.e) = len(b.e) AND a.row <> b.row
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+r AS (SELECT row, row AS seen FROM v UNION SELECT r.row, l.b FROM r JOIN l ON r.seen = l.a),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT v.vec_id, coalesce(any_value(n.n), 0) AS n_links, min(t.vec_id) AS component_id, coalesce(v.vec_id = min(t.vec_id), true) AS kept
+FROM v JOIN r ON r.row = v.row JOIN v t ON t.row = r.seen LEFT JOIN n ON n.a = v.row GROUP BY v.row, v.vec_id
+"""
+
+ORACLES = {"op1_embedding_dedup": OP1, "op6_jaccard_join": OP6, "op10_substring_dedup": OP10, "op3_warc_archive": OP3, "op4_url_filter": OP4, "op7_secret_links": OP7, "op9_mix": OP9}

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard, mixing, quality, secrets, substrings, urlfilter, warc
+from . import chat, decontaminate, embeddings, jaccard, mixing, quality, secrets, substrings, urlfilter, warc
 from .common import new_table
 
 TOKENIZERS = os.environ.get("ORDINA_TOKENIZERS", "/opt/tokenizers")
@@ -21,6 +21,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "n_windows", "item_windows", "share", "n_changed")
@@ -70,6 +74,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_embedding_dedup": op1_embedding_dedup,
     "op2_decontaminate": op2_decontaminate,
     "op3_warc_archive": op3_warc_archive,
     "op4_url_filter": op4_url_filter,

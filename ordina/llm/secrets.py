@@ -144,4 +144,29 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         F.size("linked").cast("long").alias("n_linked"),
         F.col("base").alias("base_spans"),
         F.col("linked").alias("linked_spans"),
+        F.col("_digest").alias("text_sha256"),
     )
+
+
+def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mark: str = "[secret]") -> DataFrame:
+    """``docs`` with every span that :func:`scan_secrets` reports replaced by ``mark``; all rows and columns stay.
+
+    Spans that meet become one mark. Texts without a finding are not changed; a null text stays null.
+    """
+    found = scan_secrets(docs, id_col=id_col, text_col=text_col).where("spans <> ''")
+    spans = F.array_sort(F.transform(F.concat("base_spans", "linked_spans"), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))))
+    # Each span starts no earlier than the end of all before it, so that every place is cut once.
+    zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("out"))
+
+    def add(state: Column, x: Column) -> Column:
+        low = F.greatest(state["at"], x["start"])
+        more = F.concat(state["out"], F.array(F.struct(low.alias("start"), x["end"].alias("end"))))
+        return F.when(x["end"] <= state["at"], state).otherwise(F.struct(x["end"].alias("at"), more.alias("out")))
+
+    cut = F.aggregate(spans, zero, add, lambda s: s["out"])
+    cuts = found.select(F.col(id_col).alias("_fid"), F.col("text_sha256").alias("_fdigest"), cut.alias("_cuts")).dropDuplicates(["_fid", "_fdigest"])
+    text = F.col(text_col)
+    whole = docs.withColumn("_digest", F.sha2(F.coalesce(text, F.lit("")), 256)).join(cuts, F.col(id_col).eqNullSafe(F.col("_fid")) & (F.col("_digest") == F.col("_fdigest")), "left")
+    before = F.transform("_cuts", lambda x, i: F.concat(F.substring(text, F.coalesce(F.get("_cuts", i - 1)["end"], F.lit(0)) + 1, x["start"] - F.coalesce(F.get("_cuts", i - 1)["end"], F.lit(0))), F.when((i > 0) & (F.get("_cuts", i - 1)["end"] == x["start"]), "").otherwise(mark)))
+    changed = F.concat(F.array_join(before, ""), F.substr(text, F.get("_cuts", F.size("_cuts") - 1)["end"] + 1))
+    return whole.withColumn(text_col, F.when(F.col("_cuts").isNull(), text).otherwise(changed)).select(*docs.columns)

@@ -13,7 +13,7 @@ from . import kernels as K
 from .common import WORD, hash_filter, in_filter, materialise, text_key
 
 #: Words of an anchor: the run of the smallest hash in a window.
-ANCHOR = 8
+ANCHOR = 16
 _MOST = np.uint64(2**64 - 1)
 
 
