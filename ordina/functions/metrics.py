@@ -7,6 +7,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+EDITS = T.ArrayType(T.StructType([T.StructField(name, T.StringType()) for name in ("op", "ref", "hyp")]))
 
 
 def as_letters(tokens: Column, vocabulary: Column) -> Column:
@@ -43,7 +46,7 @@ def _script(reference: list[str], hypothesis: list[str]) -> list[dict]:
     return out[::-1]
 
 
-@F.pandas_udf("array<struct<op:string,ref:string,hyp:string>>")
+@F.pandas_udf(EDITS)
 def edit_script(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Edits that turn a reference into a hypothesis; of equally short scripts substitutions, then deletions, come last first."""
     for reference, hypothesis in pairs:

@@ -40,8 +40,8 @@ def zip_rows(left: DataFrame, right: DataFrame, *, keys: Sequence[str], left_ord
     return pairs, counts.where("n_left <> n_right")
 
 
-def split_at(df: DataFrame, bounds: DataFrame, *, keys: Sequence[str], start: str, end: str, bound: str, width: int) -> DataFrame:
-    """Cut intervals at the bounds strictly inside them: all columns, with ``piece`` from 0.
+def split_at(df: DataFrame, bounds: DataFrame, *, keys: Sequence[str], start: str, end: str, bound: str, width: int, number: str = "piece") -> DataFrame:
+    """Cut intervals at the bounds strictly inside them: all columns, with the ``number`` of the piece from 0.
 
     A range join on cells of ``width``: an interval meets the bounds of the cells that it touches, so an interval is
     compared with near bounds only. Choose the width near the usual length.
@@ -53,7 +53,7 @@ def split_at(df: DataFrame, bounds: DataFrame, *, keys: Sequence[str], start: st
     joined = rows.join(inner, "_id", "left").withColumn("_cuts", F.coalesce("_cuts", F.array().cast(f"array<{dict(df.dtypes)[start]}>")))
     edges = F.concat(F.array(F.col(start)), F.col("_cuts"), F.array(F.col(end)))
     rest = [c for c in df.columns if c not in (start, end)]
-    return joined.withColumn("_edges", edges).select(*rest, "_edges", F.posexplode(F.slice("_edges", 1, F.size("_edges") - 1)).alias("piece", start)).withColumn(end, F.get("_edges", F.col("piece") + 1)).drop("_edges")
+    return joined.withColumn("_edges", edges).select(*rest, "_edges", F.posexplode(F.slice("_edges", 1, F.size("_edges") - 1)).alias(number, start)).withColumn(end, F.get("_edges", F.col(number) + 1)).drop("_edges")
 
 
 def align_by_time(df: DataFrame, *, keys: Sequence[str], time: str, spine: str, token: str, order: str, spines: Sequence, fill: str = ".") -> DataFrame:

@@ -66,7 +66,7 @@ def notate(notes: DataFrame, bars: DataFrame, meters: DataFrame, *, resolution:
     rests = gaps.unionByName(tails).select("*", F.lit("r").alias("name"), F.lit(True).alias("is_rest"))
     events = kept.select("piece", "track", "start", "end", "name", "is_rest").unionByName(rests)
 
-    cut = split_at(events.withColumn("whole", F.col("start")), bars, keys=["piece"], start="start", end="end", bound="time", width=4 * resolution)
+    cut = split_at(events.withColumn("whole", F.col("start")), bars, keys=["piece"], start="start", end="end", bound="time", width=4 * resolution, number="part")
     coded = cut.withColumn("codes", T.duration_codes(F.col("end") - F.col("start"), resolution))
     rows = coded.select("piece", "track", "whole", F.col("start").alias("piece_start"), "name", "is_rest", F.posexplode_outer("codes").alias("j", "code"))
     rows = rows.withColumn("ticks", (T.ticks(F.col("code"), 4 * 8 * resolution) / 8).cast("long"))

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructType
+
 from ..functions import tokens as T
 
+EVENT_TYPE = StructType().add("token", StringType()).add("f0", IntegerType()).add("f1", IntegerType()).add("confidence", DoubleType())
 EVENT = "struct<token:string,f0:int,f1:int,confidence:double>"
 #: Fixed pairs of neighbouring barlines that stand for printed empty bars.
 KEPT_PAIRS = (("=", "="), ("=", "=="))
@@ -37,11 +38,11 @@ def collapse_barline_records(records: list[list[dict]]) -> list[list[dict]]:
     return stack
 
 
-@F.pandas_udf(f"array<array<{EVENT}>>")
-def collapse_barlines(lines: Iterator[pd.Series]) -> Iterator[pd.Series]:
+@F.arrow_udf(ArrayType(ArrayType(EVENT_TYPE)))
+def collapse_barlines(lines: pa.Array) -> pa.Array:
     """:func:`collapse_barline_records` over a column of record arrays; a fold that no window can express."""
-    for series in lines:
-        yield pd.Series([collapse_barline_records([[dict(e) for e in r] for r in line]) if line is not None else None for line in series])
+    event = pa.struct([("token", pa.string()), ("f0", pa.int32()), ("f1", pa.int32()), ("confidence", pa.float64())])
+    return pa.array([collapse_barline_records(line) if line is not None else None for line in lines.to_pylist()], pa.list_(pa.list_(event)))
 
 
 def records_of(events: Column, separator: str = "<b>") -> Column:

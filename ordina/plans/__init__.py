@@ -1,6 +1,4 @@
-"""The query catalogue over the driver's tables."""
+"""The query catalogue over the driver's tables, with the SQL that each is held against."""
 
-from __future__ import annotations
-
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .registry import ORACLES, QUERIES  # noqa: F401
+from . import aggregate_queries, join_queries, sampling_queries, sequence_queries, token_queries  # noqa: E402, F401
