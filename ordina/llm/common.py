@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,25 +98,38 @@ def text_key(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")]
 
 
-#: Bits of a prefilter of hashes (8 MB): the size is fixed whatever the corpus. What it lets through by mistake, more
-#: as the corpus grows, is dropped by the exact steps that follow.
-FILTER_BITS = 1 << 26
+#: Bits a hash and least and most bits of a prefilter: it follows the number of hashes up to 64 MB, whatever the corpus.
+#: What it lets through by mistake, more of it beyond some 50 million hashes, is dropped by the exact steps that follow.
+BITS_PER_HASH, LEAST_BITS, MOST_BITS = 16, 20, 29
+#: Bits by which the probes of a hash are shifted.
+_SHIFTS = (0, 7, 14, 21, 28, 35)
 
 
-def hash_filter(hashes: DataFrame, bits: int = FILTER_BITS):
-    """A bitmap of the long column ``v`` as a numpy array of bytes, of a fixed size; one position a hash."""
-    import numpy as np
+class HashFilter:
+    """A Bloom filter of 64-bit hashes that are already mixed: each probe is a slice of the hash."""
 
-    at = hashes.select(F.shiftrightunsigned("v", 64 - bits.bit_length() + 1).alias("at"))
-    words = at.groupBy(F.expr("cast(at div 64 as int)").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("set")).toArrow()
-    out = np.zeros(bits // 64, np.uint64)
-    out[words.column("word").to_numpy()] = words.column("set").to_numpy().view(np.uint64)
-    return out.view(np.uint8)
+    def __init__(self, bitmap: np.ndarray, probes: int):
+        self.bitmap, self.probes = bitmap, probes
 
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        """Whether each hash may be among those that the filter was made of."""
+        last = np.uint64(len(self.bitmap) * 8 - 1)
+        out = np.ones(len(hashes), bool)
+        for shift in _SHIFTS[: self.probes]:
+            at = (hashes >> np.uint64(shift)) & last
+            out &= (self.bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
+        return out
 
-def in_filter(bitmap, hashes):
-    """Whether each 64-bit hash may be among those that :func:`hash_filter` got."""
-    import numpy as np
 
-    at = hashes >> np.uint64(64 - (len(bitmap) * 8).bit_length() + 1)
-    return (bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
+def hash_filter(hashes: DataFrame) -> HashFilter:
+    """A filter of the long column ``v``; its bits are put together by Spark and come to the driver as words."""
+    kept = materialise(hashes.select("v"), "hashes")
+    n = max(1, kept.count())
+    bits = 1 << min(MOST_BITS, max(LEAST_BITS, (BITS_PER_HASH * n - 1).bit_length()))
+    probes = min(len(_SHIFTS), max(1, round(bits / n * math.log(2))))
+    at = kept.select(F.explode(F.array(*[F.shiftrightunsigned("v", s).bitwiseAND(F.lit(bits - 1)) for s in _SHIFTS[:probes]])).alias("at"))
+    words = at.groupBy(F.shiftright("at", 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("set")).toArrow()
+    out = np.zeros(bits // 64, np.uint64)
+    out[words.column("word").to_numpy()] = words.column("set").to_numpy().view(np.uint64)
+    discard(kept)
+    return HashFilter(out.view(np.uint8), probes)

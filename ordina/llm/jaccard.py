@@ -6,29 +6,56 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import ascii_lower, components, discard, hash_filter, in_filter, materialise, text_key
+from .common import ascii_lower, components, discard, hash_filter, materialise, text_key
 
-#: Shingles whose counts order the prefixes (2 MB broadcast), whatever the corpus. Any order gives the same result.
-HEAVY = 1 << 17
-#: Bins of the suffix filter.
-BINS = 64
+#: Shingles and words whose counts order the prefixes, and slots of the tables of them that all tasks get (10 MB). The
+#: sizes are fixed whatever the corpus, and any order gives the same result: it only tells how many candidates arise.
+HEAVY, WORDS = 1 << 17, 1 << 16
+HEAVY_SLOTS, WORD_SLOTS = 1 << 22, 1 << 20
+#: 64-bit words of a set's sketch for the suffix filter.
+SKETCH = 4
+
+
+class Order:
+    """How frequent a shingle is, in 16ths of powers of two: as counted, or else as expected from its words."""
+
+    def __init__(self, heavy: pa.Table, words: pa.Table, total: int):
+        self.words = self._table(words, WORD_SLOTS, 0)
+        self.heavy = self._table(heavy, HEAVY_SLOTS, -32768)
+        self.total = round(16 * np.log2(max(total, 1)))
+
+    @staticmethod
+    def _table(counts: pa.Table, slots: int, empty: int) -> np.ndarray:
+        out = np.full(slots, empty, np.int16)
+        at = counts.column("v").to_numpy().view(np.uint64) >> np.uint64(65 - slots.bit_length())
+        np.maximum.at(out, at, np.round(16 * np.log2(counts.column("n").to_numpy())).astype(np.int16))
+        return out
+
+    def expected(self, tokens: np.ndarray, width: int) -> np.ndarray:
+        """For each run of ``width`` words the logarithm of how often chance alone makes it."""
+        each = self.words[tokens >> np.uint64(65 - WORD_SLOTS.bit_length())].astype(np.int32)
+        total = np.concatenate([[0], np.cumsum(each)])
+        return total[width:] - total[:-width] - (width - 1) * self.total
+
+    def counted(self, v: np.ndarray) -> np.ndarray:
+        return self.heavy[v >> np.uint64(65 - HEAVY_SLOTS.bit_length())].astype(np.int32)
 
 
 class Shingles:
-    """The distinct shingles of each row of a string column, by row."""
+    """The distinct shingles of each row of a string column, by row and hash."""
 
-    def __init__(self, column: pa.Array, width: int):
+    def __init__(self, column: pa.Array, width: int, order: Order | None = None):
         data, offsets = K.text_bytes(column)
         starts, ends, first = K.words(data, offsets)
-        tokens = K.word_hashes(data, starts, ends, lower=True)
+        self.tokens = tokens = K.word_hashes(data, starts, ends, lower=True)
         n = np.diff(first)
-        room = K.room(first)
         full = K.rolling(tokens, width, seed=6)
-        at = np.flatnonzero(room[: len(full)] >= width)
+        at = np.flatnonzero(K.room(first)[: len(full)] >= width)
         rows, values = [np.repeat(np.arange(len(n)), np.maximum(n - width + 1, 0))], [full[at]]
         for short in range(1, width):  # a text of fewer words is one shingle
             some = np.flatnonzero(n == short)
@@ -36,28 +63,50 @@ class Shingles:
                 rows.append(some)
                 values.append(K.rolling(tokens, short, seed=6 + short)[first[some]])
         row, v = np.concatenate(rows), np.concatenate(values)
-        order = np.lexsort((v, row))
-        row, v = row[order], v[order]
+        by = self._sorted(row, v, len(n))
+        row, v = row[by], v[by]
         new = np.ones(len(v), bool)
         new[1:] = (row[1:] != row[:-1]) | (v[1:] != v[:-1])
         self.row, self.v = row[new], v[new]
         self.first = np.searchsorted(self.row, np.arange(len(n) + 1))
         self.size = np.diff(self.first)
-
-    def prefixes(self, heavy: tuple[np.ndarray, np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+        if order is not None:
+            rank = np.zeros(len(by), np.int32)
+            rank[: len(at)] = order.expected(tokens, width)[at] if len(at) else 0
+            self.rank = np.maximum(rank[by][new], order.counted(self.v))
+
+    @staticmethod
+    def _sorted(row: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+        """Order by row and value; one sort of a joint key where it tells all values apart."""
+        bits = max(1, int(n).bit_length())
+        key = (row.astype(np.uint64) << np.uint64(64 - bits)) | (v >> np.uint64(bits))
+        by = np.argsort(key)
+        same = np.flatnonzero(key[by][1:] == key[by][:-1])
+        return by if (v[by[same]] == v[by[same + 1]]).all() else np.lexsort((v, row))
+
+    def prefixes(self, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
         """Indexes of the shingles in prefixes, rarest first within a row, and their places in the row's order."""
-        keys, counts = heavy
-        rank = np.zeros(len(self.v), np.int64)
-        if len(keys):
-            i = np.minimum(np.searchsorted(keys, self.v), len(keys) - 1)
-            rank = np.where(keys[i] == self.v, counts[i], 0)
-        order = np.lexsort((self.v, rank, self.row))
+        bits = max(1, len(self.size).bit_length())
+        rank = np.clip(self.rank + (1 << 14), 0, (1 << 15) - 1).astype(np.uint64)
+        # A stable sort of shingles that are in order of their hash: equal ranks stay in that order.
+        order = np.argsort((self.row.astype(np.uint64) << np.uint64(15)) | rank, kind="stable") if bits < 49 else np.lexsort((rank, self.row))
         place = np.arange(len(order)) - self.first[self.row]
         # Of two sets that link, each holds num/den of the other: as many shingles may be left out of the prefix, less one.
         length = self.size - -(-num * self.size // den) + 1
         keep = place < length[self.row]
         return order[keep], place[keep]
 
+    def sketches(self) -> list[np.ndarray]:
+        """For each row ``SKETCH`` words of which each bit tells whether an odd number of shingles falls to it."""
+        out, some = [], np.flatnonzero(self.size)
+        word, bit = (self.v >> np.uint64(6)) % np.uint64(SKETCH), np.uint64(1) << (self.v & np.uint64(63))
+        for i in range(SKETCH):
+            sketch = np.zeros(len(self.size), np.uint64)
+            if len(some):
+                sketch[some] = np.bitwise_xor.reduceat(np.where(word == i, bit, np.uint64(0)), self.first[some])
+            out.append(sketch)
+        return out
+
 
 def overlap(a: Column, b: Column, num: int, den: int) -> Column:
     """Least number of common shingles with which sets of these sizes link."""
@@ -77,10 +126,11 @@ def jaccard_classes(
     Words are split at space and the ASCII controls 9 to 13, A-Z count as a-z. Returns one row per document: id,
     ``n_shingles`` (size of its set) and ``component_id`` (the smallest id that links reach, its own included).
 
-    1. Equal texts are one class. Shingles are ordered by counts (those that tasks see repeat, the ``HEAVY`` most
-       frequent), rarest first; two linked sets share a shingle of their prefixes.
-    2. Prefix shingles are counted by class in one pre-aggregated shuffle. A bitmap of fixed size of those in several
-       classes tells which texts may have a partner; only these are shuffled and kept.
+    1. Equal texts are one class. Shingles are ordered by frequency, rarest first: as counted for the ``HEAVY`` most
+       frequent of those that tasks see repeat, as expected from their words' counts for all others. Two linked sets
+       share a shingle of their prefixes.
+    2. Prefix shingles are counted by class in one pre-aggregated shuffle. A filter of bounded size of those in
+       several classes tells which texts may have a partner; only these are shuffled and kept.
     3. Each prefix shingle pairs its texts with one of them, the pivot. What passes the length, positional and suffix
        filters is verified once on whole sets, and links are contracted to components.
     4. Shingles that still meet several components pair all texts of different components; these are filtered and
@@ -98,86 +148,91 @@ def jaccard_classes(
     keyed = docs.select(F.col(id_col).alias("_id"), *text_key(folded), folded.alias("_text"))
 
     def local_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Shingles that occur in several texts of a run of rows, with their number."""
-        held: list[np.ndarray] = []
+        """What occurs in several different texts of a run of rows: shingles (kind 0) and words (1); 2 has the words' number."""
+        shingles: list[np.ndarray] = []
+        words: list[np.ndarray] = []
         seen: set[tuple[int, int]] = set()
         n = 0
 
-        def out() -> pa.RecordBatch:
-            v, c = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(v[c > 1].view(np.int64)), pa.array(c[c > 1].astype(np.int64))], names=["v", "n"])
+        def out() -> Iterator[pa.RecordBatch]:
+            for kind, held, least in ((0, shingles, 2), (1, words, 8)):
+                v, c = np.unique(np.concatenate(held), return_counts=True)
+                v, c = v[c >= least], c[c >= least]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), kind, np.int32)), pa.array(v.view(np.int64)), pa.array(c.astype(np.int64))], names=["kind", "v", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.array([0], pa.int64()), pa.array([sum(map(len, words))], pa.int64())], names=["kind", "v", "n"])
 
         for batch in batches:
-            k = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-            fresh = np.array([x not in seen and not seen.add(x) for x in k], bool) if k else np.empty(0, bool)
+            fresh = np.zeros(len(batch), bool)
+            for i, key in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if key not in seen:
+                    seen.add(key)
+                    fresh[i] = True
             column = batch.column(2).filter(pa.array(fresh))
             for a, b in K.slices(column):
-                held.append(Shingles(column.slice(a, b - a), width).v)
-                n += len(held[-1])
+                s = Shingles(column.slice(a, b - a), width)
+                shingles.append(s.v)
+                words.append(s.tokens)
+                n += len(s.v)
                 if n > 1 << 22:
-                    yield out()
-                    held, n = [], 0
+                    yield from out()
+                    shingles, words, n = [], [], 0
                     seen.clear()
-        if held:
-            yield out()
+        if shingles:
+            yield from out()
 
-    counts = keyed.select("k1", "k2", "_text").mapInArrow(local_counts, "v long, n long").groupBy("v").agg(F.sum("n").alias("n"))
-    top = counts.where("n >= 8").orderBy(F.desc("n"), "v").limit(HEAVY).toArrow()
-    keys = top.column("v").to_numpy().view(np.uint64)
-    order = np.argsort(keys)
-    heavy = spark.sparkContext.broadcast((keys[order], top.column("n").to_numpy()[order]))
+    counts = keyed.select("k1", "k2", "_text").mapInArrow(local_counts, "kind int, v long, n long").groupBy("kind", "v").agg(F.sum("n").alias("n"))
+    counts = materialise(counts.where("kind > 0 or n >= 4"), "join-counts")
+    top = [counts.where(f"kind = {k}").orderBy(F.desc("n"), "v").limit(most).select("v", "n").toArrow() for k, most in ((0, HEAVY), (1, WORDS), (2, 1))]
+    discard(counts)
+    order = spark.sparkContext.broadcast(Order(top[0], top[1], sum(top[2].column("n").to_pylist())))
 
     def emit_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k1, column = batch.column(0).to_numpy(), batch.column(1)
             for a, b in K.slices(column):
-                s = Shingles(column.slice(a, b - a), width)
-                at, _ = s.prefixes(heavy.value, num, den)
+                s = Shingles(column.slice(a, b - a), width, order.value)
+                at, _ = s.prefixes(num, den)
                 yield pa.RecordBatch.from_arrays([pa.array(s.v[at].view(np.int64)), pa.array(k1[a:b][s.row[at]])], names=["v", "k1"])
 
     prefix = keyed.select("k1", "_text").mapInArrow(emit_prefixes, "v long, k1 long")
     shared = prefix.groupBy("v").agg(F.min("k1").alias("a"), F.max("k1").alias("b")).where("a <> b")
     bitmap = spark.sparkContext.broadcast(hash_filter(shared))
 
-    def partnered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sized_and_partnered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sizes of all sets, and the texts of those that may have a partner."""
         for batch in batches:
-            column = batch.column(2)
+            column = batch.column(3)
             for a, b in K.slices(column):
-                s = Shingles(column.slice(a, b - a), width)
-                at, _ = s.prefixes(heavy.value, num, den)
+                part = column.slice(a, b - a)
+                s = Shingles(part, width, order.value)
+                at, _ = s.prefixes(num, den)
                 some = np.zeros(b - a, bool)
-                some[s.row[at][in_filter(bitmap.value, s.v[at])]] = True
-                yield batch.slice(a, b - a).filter(pa.array(some))
+                some[s.row[at][bitmap.value(s.v[at])]] = True
+                text = pc.if_else(pa.array(some), part.cast(pa.string()), pa.scalar(None, pa.string()))
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(3)), pa.array(s.size.astype(np.int64)), text], names=["_id", "k1", "k2", "n_shingles", "_text"])
 
-    texts = keyed.select("k1", "k2", "_text")
-    classes = texts.mapInArrow(partnered, texts.schema).groupBy("k1", "k2").agg(F.first("_text").alias("_text"))
+    sized = materialise(keyed.mapInArrow(sized_and_partnered, f"_id {kind}, k1 long, k2 long, n_shingles long, _text string"), "join-sizes")
+    classes = sized.where("_text is not null").groupBy("k1", "k2").agg(F.first("_text").alias("_text"))
     classes = materialise(classes.withColumn("node", F.monotonically_increasing_id()), "join-texts")
 
+    sketch = [f"s{i}" for i in range(SKETCH)]
+
     def emit_postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node, column = batch.column(0).to_numpy(), batch.column(1)
             for a, b in K.slices(column):
-                s = Shingles(column.slice(a, b - a), width)
-                at, place = s.prefixes(heavy.value, num, den)
-                hit = in_filter(bitmap.value, s.v[at])
+                s = Shingles(column.slice(a, b - a), width, order.value)
+                at, place = s.prefixes(num, den)
+                hit = bitmap.value(s.v[at])
                 at, place = at[hit], place[hit]
+                row = s.row[at]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(s.v[at].view(np.int64)), pa.array(node[a:b][s.row[at]]), pa.array(s.size[s.row[at]].astype(np.int32)), pa.array(place.astype(np.int32))],
-                    names=["v", "node", "size", "place"],
+                    [pa.array(s.v[at].view(np.int64)), pa.array(node[a:b][row]), pa.array(s.size[row].astype(np.int32)), pa.array(place.astype(np.int32)), *(pa.array(x[row].view(np.int64)) for x in s.sketches())],
+                    names=["v", "node", "size", "place", *sketch],
                 )
 
-    postings = materialise(classes.select("node", "_text").mapInArrow(emit_postings, "v long, node long, size int, place int"), "join-postings")
-
-    def emit_bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            node, column = batch.column(0), batch.column(1)
-            for a, b in K.slices(column):
-                s = Shingles(column.slice(a, b - a), width)
-                cell = s.row * BINS + (s.v >> np.uint64(58)).astype(np.int64)
-                bins = np.bincount(cell, minlength=(b - a) * BINS).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([node.slice(a, b - a), pa.ListArray.from_arrays(pa.array(np.arange(0, (b - a) * BINS + 1, BINS, dtype=np.int32)), pa.array(bins))], names=["node", "bins"])
-
-    bins = materialise(classes.select("node", "_text").mapInArrow(emit_bins, "node long, bins array<int>"), "join-bins")
+    postings = classes.select("node", "_text").mapInArrow(emit_postings, "v long, node long, size int, place int, " + ", ".join(f"{x} long" for x in sketch))
+    postings = materialise(postings, "join-postings")
 
     def emit_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,11 +243,7 @@ def jaccard_classes(
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The links among distinct candidate pairs ``a, b``."""
-        # Suffix filter: what two sets differ by is at least the sum of the differences of their bins.
-        apart = F.aggregate(F.zip_with("x", "y", lambda p, q: F.abs(p - q)), F.lit(0), lambda s, d: s + d)
-        sizes = F.aggregate("x", F.lit(0), lambda s, d: s + d), F.aggregate("y", F.lit(0), lambda s, d: s + d)
-        both = pairs.join(bins.select(F.col("node").alias("a"), F.col("bins").alias("x")), "a").join(bins.select(F.col("node").alias("b"), F.col("bins").alias("y")), "b")
-        left = materialise(both.where(apart <= sizes[0] + sizes[1] - 2 * overlap(*sizes, num, den)).select("a", "b"), "join-pairs")
+        left = materialise(pairs, "join-pairs")
         nodes = left.select(F.col("a").alias("node")).union(left.select("b")).distinct()
         needed = classes.join(nodes, "node", "left_semi").select("node", "_text")
         sets = materialise(needed.mapInArrow(emit_sets, "node long, set array<long>"), "join-sets")
@@ -203,20 +254,27 @@ def jaccard_classes(
         return links
 
     def may_link(a: str, b: str) -> Column:
-        """Length and positional filters on two postings of one shingle."""
+        """Length, positional and suffix filters on two postings of one shingle."""
         low, high = F.least(f"{a}.size", f"{b}.size"), F.greatest(f"{a}.size", f"{b}.size")
         most = F.least(F.col(f"{a}.size") - F.col(f"{a}.place"), F.col(f"{b}.size") - F.col(f"{b}.place"))
         # Shingles before these places in both orders may be shared, too.
         before = F.least(f"{a}.place", f"{b}.place")
-        return (low * den >= high * num) & (most + before >= overlap(low, high, num, den))
-
-    pivots = postings.groupBy("v").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last")
-    heads = postings.join(pivots, "v").where("node = first").select("v", "node", "size", "place")
-    paired = postings.alias("p").join(heads.alias("q"), "v").where((F.col("p.node") > F.col("q.node")) & may_link("p", "q"))
+        need = overlap(low, high, num, den)
+        # Each shingle that only one set holds flips one bit: sets differ by as many as their sketches do, at least.
+        apart = F.lit(0)
+        for x in sketch:
+            apart = apart + F.bit_count(F.col(f"{a}.{x}").bitwiseXOR(F.col(f"{b}.{x}")))
+        return (low * den >= high * num) & (most + before >= need) & (apart <= low + high - 2 * need)
+
+    posting = ["v", "node", "size", "place", *sketch]
+    pivots = postings.groupBy("v").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last").select("v", "first")
+    several = materialise(postings.join(pivots, "v"), "join-lists")
+    heads = several.where("node = first").select(*posting)
+    paired = several.alias("p").join(heads.alias("q"), "v").where((F.col("p.node") > F.col("q.node")) & may_link("p", "q"))
     links = verified(paired.select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct())
 
     roots = components(links)
-    named = postings.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = several.select(*posting).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = named.groupBy("v").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("v")
     open_ = materialise(named.join(mixed, "v", "left_semi"), "join-open")
     rest = open_.alias("p").join(open_.alias("q"), "v").where((F.col("p.node") > F.col("q.node")) & (F.col("p.root") != F.col("q.root")) & may_link("p", "q"))
@@ -226,14 +284,6 @@ def jaccard_classes(
     final = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
     group = classes.select("k1", "k2", "node").join(final, "node", "left").select("k1", "k2", F.coalesce("root", "node").alias("root"))
 
-    def emit_sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column(3)
-            for a, b in K.slices(column):
-                size = Shingles(column.slice(a, b - a), width).size
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(3)), pa.array(size.astype(np.int64))], names=["_id", "k1", "k2", "n_shingles"])
-
-    sized = materialise(keyed.mapInArrow(emit_sizes, f"_id {kind}, k1 long, k2 long, n_shingles long"), "join-sizes")
     # Classes without a partner are components of their own.
     own = sized.groupBy("k1", "k2").agg(F.min("_id").alias("least"))
     least = own.join(group, ["k1", "k2"], "left")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import WORD, hash_filter, in_filter, materialise, text_key
+from .common import WORD, HashFilter, hash_filter, materialise, text_key
 
 #: Words of an anchor: the run of the smallest hash in a window.
 ANCHOR = 16
@@ -46,11 +46,11 @@ class Windows:
         high = K.sliding(np.concatenate([edge, np.where(self.valid, self.low, np.uint64(0)), edge]), self.span, np.maximum)
         return np.flatnonzero((high == self.runs) & (high > 0))
 
-    def candidates(self, bitmap: np.ndarray) -> np.ndarray:
+    def candidates(self, maybe: HashFilter) -> np.ndarray:
         """Places of the windows whose smallest run may occur elsewhere."""
         if not len(self.low):
             return np.empty(0, np.int64)
-        kept = np.where(in_filter(bitmap, self.runs), self.runs, _MOST)
+        kept = np.where(maybe(self.runs), self.runs, _MOST)
         return np.flatnonzero((self._lowest(kept) == self.low) & self.valid)
 
     def row_of(self, places: np.ndarray) -> np.ndarray:
@@ -71,7 +71,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     1. Equal texts are one class. A class of two or more rows is removed whole if it has a window at all.
     2. Each window's anchor is its run of ``ANCHOR`` words with the smallest hash; equal windows have equal anchors.
-       Anchors (a tenth of all words) are counted; a bitmap of fixed size of those that repeat tells the windows that
+       Anchors (a tenth of all words) are counted; a filter of bounded size of those that repeat tells the windows that
        may repeat. Most texts have none and their bytes are not shuffled.
     3. The Rabin-Karp hashes (96 bits) of all windows that may repeat are counted in one pre-aggregated shuffle. What
        occurs once sends back its text and place; all others are repeated and merge into intervals.
