@@ -90,8 +90,8 @@ def find_contamination(
     Texts and items become templates. Windows of ``width`` template words (items': with at least ``literals`` words
     that are no slots) are hashed; a bitmap of fixed size of the items' hashes leaves the few places of a text that
     may match, and these are joined with the items' windows by hash. A match must have the same template, and its
-    slots must be consistent: equal values stand for equal values both ways. Over a whole item, a value that stands
-    for several others speaks against it: at least ``similarity`` of an item's slot values must stand for one each.
+    slots must be consistent: equal values stand for equal values both ways. Over a whole item, values that stand
+    for several others speak against it: at least ``similarity`` of both sides' slot values must stand for one each.
 
     A text's windows stay in its row until the bitmap has been asked, so nothing is shuffled but matches. Null text:
     no words. Null ids are kept; rows that repeat give one row. Items of fewer than ``width`` words or without a
@@ -129,12 +129,17 @@ def find_contamination(
     slot = F.filter(F.arrays_zip(F.col("typed").alias("t"), F.col("raw").alias("a"), F.col("mine").alias("b")), lambda x: _is_slot(x["t"]))
     pairs = F.array_distinct(F.transform(slot, lambda x: F.struct(F.lower(x["a"]).alias("a"), F.lower(x["b"]).alias("b"))))
     one_to_one = (F.size(F.array_distinct(pairs["a"])) == F.size(pairs)) & (F.size(F.array_distinct(pairs["b"])) == F.size(pairs))
-    match = match.withColumn("pairs", pairs).where(one_to_one)
-
     key = ["_id", "k1", "k2", "item"]
+    # Written once: the counts below would each read all texts again.
+    match = materialise(match.withColumn("pairs", pairs).where(one_to_one).select(*key, "place", "pairs"), "template-matches")
+
     counted = match.select(*key, "place").distinct().groupBy(*key).agg(F.count("*").alias("n_windows"))
-    values = match.select(*key, F.explode("pairs").alias("p")).distinct().groupBy(*key, F.col("p.a").alias("a")).agg(F.count("*").alias("n"), F.max((F.col("p.a") == F.col("p.b")).cast("int")).alias("same"))
-    slots = values.groupBy(*key).agg(F.count("*").alias("n_slots"), F.sum((F.col("n") == 1).cast("int")).alias("n_single"), F.sum(1 - F.col("same")).alias("n_changed"))
+    values = match.select(*key, F.explode("pairs").alias("p")).distinct().select(*key, "p.a", "p.b")
+    # Values of the item that stand for one value of the text, and the other way round.
+    theirs = values.groupBy(*key, "a").agg(F.count("*").alias("n"), F.max((F.col("a") == F.col("b")).cast("int")).alias("same"))
+    mine = values.groupBy(*key, "b").agg(F.count("*").alias("n"), F.lit(1).alias("same"))
+    both = theirs.drop("a").unionByName(mine.drop("b"))
+    slots = both.groupBy(*key).agg(F.count("*").alias("n_slots"), F.sum((F.col("n") == 1).cast("int")).alias("n_single"), F.sum(1 - F.col("same")).alias("n_changed"))
     whole = windows.groupBy("item").agg(F.count("*").alias("item_windows"))
     same_row = [F.col(f"c.{c}").eqNullSafe(F.col(f"s.{c}")) for c in key]
     joined = counted.alias("c").join(slots.alias("s"), same_row, "left").join(whole.alias("w"), F.col("c.item").eqNullSafe(F.col("w.item")))
