@@ -6,7 +6,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -208,7 +207,7 @@ def jaccard_classes(
                 at, _ = s.prefixes(num, den)
                 some = np.zeros(b - a, bool)
                 some[s.row[at][bitmap.value(s.v[at])]] = True
-                text = pc.if_else(pa.array(some), part.cast(pa.string()), pa.scalar(None, pa.string()))
+                text = part.take(pa.array(np.arange(b - a), mask=~some))
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(3)), pa.array(s.size.astype(np.int64)), text], names=["_id", "k1", "k2", "n_shingles", "_text"])
 
     sized = materialise(keyed.mapInArrow(sized_and_partnered, f"_id {kind}, k1 long, k2 long, n_shingles long, _text string"), "join-sizes")
