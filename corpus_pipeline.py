@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ordina.llm import decontaminate, jaccard, mixing, quality, secrets
-from ordina.llm.common import materialise, text_key
+from ordina.llm.common import free_name, materialise, text_key
 
 #: Documents of a lower probability of good quality are rejected.
 LEAST_QUALITY = 0.3
@@ -25,7 +25,8 @@ MIX_COLUMNS = ("size", "source_size", "target", "taken")
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labels that are not held out, does not reject."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(docs, model, name="_score").where(F.col("_score") >= LEAST_QUALITY).drop("_score")
+    score = free_name(docs, "_score")
+    return quality.score(docs, model, name=score).where(F.col(score) >= LEAST_QUALITY).drop(score)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,15 +39,15 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text holds no benchmark item."""
     found = decontaminate.find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    gone = materialise(found.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).distinct(), "contaminated")
+    names = [free_name(docs, x) for x in ("_k1", "_k2")]
+    gone = materialise(found.select(F.col("k1").alias(names[0]), F.col("k2").alias(names[1])).distinct(), "contaminated")
     k1, k2 = text_key(F.coalesce("text", F.lit("")))
-    return docs.join(gone, (k1 == F.col("_k1")) & (k2 == F.col("_k2")), "left_anti").select(*docs.columns)
+    return docs.join(gone, (k1 == F.col(names[0])) & (k2 == F.col(names[1])), "left_anti").select(*docs.columns)
 
 
 def mark_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets replaced by a mark and ``n_chars`` following the text."""
-    clean = secrets.redact(docs)
-    return clean.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else clean
+    return secrets.redact(docs, length_col="n_chars" if "n_chars" in docs.columns else None)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

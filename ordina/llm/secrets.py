@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import free_name, materialise
 
 #: Fixed patterns of the base scan, by kind, and the least length of what must be found.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -148,10 +148,11 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mark: str = "[secret]") -> DataFrame:
+def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mark: str = "[secret]", length_col: str | None = None) -> DataFrame:
     """``docs`` with every span that :func:`scan_secrets` reports replaced by ``mark``; all rows and columns stay.
 
-    Spans that meet become one mark. Texts without a finding are not changed; a null text stays null.
+    Spans that meet become one mark, and ``length_col`` gets the new length. Rows without a finding are not changed; a
+    null text stays null.
     """
     found = scan_secrets(docs, id_col=id_col, text_col=text_col).where("spans <> ''")
     spans = F.array_sort(F.transform(F.concat("base_spans", "linked_spans"), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))))
@@ -164,9 +165,20 @@ def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", m
         return F.when(x["end"] <= state["at"], state).otherwise(F.struct(x["end"].alias("at"), more.alias("out")))
 
     cut = F.aggregate(spans, zero, add, lambda s: s["out"])
-    cuts = found.select(F.col(id_col).alias("_fid"), F.col("text_sha256").alias("_fdigest"), cut.alias("_cuts")).dropDuplicates(["_fid", "_fdigest"])
+    fid, fdigest, digest, cuts = (free_name(docs, x) for x in ("_fid", "_fdigest", "_digest", "_cuts"))
+    found = found.select(F.col(id_col).alias(fid), F.col("text_sha256").alias(fdigest), cut.alias(cuts)).dropDuplicates([fid, fdigest])
     text = F.col(text_col)
-    whole = docs.withColumn("_digest", F.sha2(F.coalesce(text, F.lit("")), 256)).join(cuts, F.col(id_col).eqNullSafe(F.col("_fid")) & (F.col("_digest") == F.col("_fdigest")), "left")
-    before = F.transform("_cuts", lambda x, i: F.concat(F.substring(text, F.coalesce(F.get("_cuts", i - 1)["end"], F.lit(0)) + 1, x["start"] - F.coalesce(F.get("_cuts", i - 1)["end"], F.lit(0))), F.when((i > 0) & (F.get("_cuts", i - 1)["end"] == x["start"]), "").otherwise(mark)))
-    changed = F.concat(F.array_join(before, ""), F.substr(text, F.get("_cuts", F.size("_cuts") - 1)["end"] + 1))
-    return whole.withColumn(text_col, F.when(F.col("_cuts").isNull(), text).otherwise(changed)).select(*docs.columns)
+    whole = docs.withColumn(digest, F.sha2(F.coalesce(text, F.lit("")), 256)).join(found, F.col(id_col).eqNullSafe(F.col(fid)) & (F.col(digest) == F.col(fdigest)), "left")
+
+    def end_before(i: Column) -> Column:
+        return F.coalesce(F.get(cuts, i - 1)["end"], F.lit(0))
+
+    def kept_and_mark(x: Column, i: Column) -> Column:
+        meets = (i > 0) & (end_before(i) == x["start"])
+        return F.concat(F.substring(text, end_before(i) + 1, x["start"] - end_before(i)), F.when(meets, "").otherwise(mark))
+
+    changed = F.concat(F.array_join(F.transform(cuts, kept_and_mark), ""), F.substr(text, end_before(F.size(cuts)) + 1))
+    new = {text_col: F.when(F.col(cuts).isNull(), text).otherwise(changed)}
+    if length_col is not None:
+        new[length_col] = F.when(F.col(cuts).isNull(), F.col(length_col)).otherwise(F.length(changed).cast(dict(docs.dtypes)[length_col]))
+    return whole.withColumns(new).select(*docs.columns)

@@ -71,7 +71,7 @@ def test_secret_stage(steps):
     kept = {str(r) for r in before}
     for r in after:
         assert not _secret_spans(r.text or "")
-        assert str(r) in kept or "[secret]" in r.text and r.n_chars == len(r.text)
+        assert str(r) in kept or ("[secret]" in r.text and r.n_chars == len(r.text))
     assert sum("[secret]" in (r.text or "") for r in after) == sum(bool(_secret_spans(r.text or "")) for r in before) > 0
 
 
