@@ -101,3 +101,8 @@ def vocabulary(df: DataFrame, *, tokens: str) -> DataFrame:
 def encode(df: DataFrame, vocab: DataFrame, *, token: str, default: int = 1) -> DataFrame:
     """Ids of tokens; those that the vocabulary lacks get ``default``."""
     return df.join(vocab.select(F.col("token").alias(token), "id"), token, "left").withColumn("id", F.coalesce("id", F.lit(default)))
+
+
+def take_accepted(df: DataFrame, *, key: str, seed: str, accepted: Column, n: int) -> DataFrame:
+    """The first ``n`` accepted rows in hash order, as if rows were examined one by one."""
+    return sample_exact(df.where(accepted), key=key, seed=seed, n=n)

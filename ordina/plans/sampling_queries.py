@@ -105,3 +105,9 @@ def encode_oov(spark, sf):
 def unseen_tokens(spark, sf):
     docs = table(spark, sf, "documents").select("lang", F.explode(F.split("text", " ")).alias("token"))
     return docs.where("lang = 'fr'").select("token").subtract(docs.where("lang = 'en'").select("token"))
+
+
+@query(f"SELECT doc_id FROM documents WHERE n_chars > 500 QUALIFY {_RANK.format('build', 'doc_id')} <= 50")
+def take_accepted(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "n_chars")
+    return P.take_accepted(docs, key="doc_id", seed="build", accepted=F.col("n_chars") > 500, n=50).select("doc_id")

@@ -172,3 +172,18 @@ def piece_rejection(spark, sf):
     pieces = rows.select("piece").distinct().select("piece", F.when(F.col("piece") % 10 == 0, 240).otherwise(480).alias("resolution"), F.when(F.col("piece") % 10 == 1, 0).otherwise(1).alias("n_meters"))
     bars = rows.select("piece").distinct().select("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7680).cast("long"), F.lit(1920).cast("long"))).alias("time"))
     return notes.piece_reasons(pieces, rows, bars)
+
+
+@query()
+def augmented_texts(spark, sf):
+    """Each user's events as typed text of two voices, with lyrics, dynamics and harmony beside them."""
+    from ..operators import augment
+    from ..sources.readers import parse_kern
+
+    token = F.when(F.col("event_type") == "error", "=").otherwise(F.concat(F.lit("4"), F.get(F.array(*map(F.lit, _LETTERS)), (F.col("k") % 7).cast("int"))))
+    line = F.when(token == "=", "=\t=").otherwise(F.concat(token, F.lit("\t."))).alias("line")
+    rows = with_k(events(spark, sf)).groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", line))), lambda x: x["line"]), "\n").alias("body"))
+    text = rows.select(F.concat(F.lit("u"), "user_id").alias("path"), F.concat(F.lit("**kern\t**kern\n*clefF4\t*clefG2\n"), "body", F.lit("\n*-\t*-")).alias("value"))
+    chosen = augment.options(text.select("path", F.lit(2).alias("n_spines")), seed="augment")
+    done = augment.augment(parse_kern(text), chosen, seed="augment", syllables=[["Ky-", "ri-", "e"]])
+    return done.select("path", F.size(F.split("text", "\n")).alias("n_lines"), F.size(F.split(F.element_at(F.split("text", "\n"), -1), "\t")).alias("n_fields"))

@@ -206,3 +206,22 @@ def test_streaming_collapse(spark, tmp_path):
     counts.processAllAvailable()
     counts.stop()
     assert {r.event_type: r.n for r in spark.table("counted").collect()} == {"a": 4, "view": 1, "b": 2}
+
+
+def test_augmented_spines(spark):
+    from ordina.operators import augment
+
+    text = spark.createDataFrame([("p", "!!!c\n**kern\t**kern\n*clefF4\t*clefG2\n4c\t4e\n[4d\t.\n=1\t=1\n4d]\t8r\n4c\t4gg\n*-\t*-")], "path string, value string")
+    records = readers.parse_kern(text).persist()
+    chosen = spark.createDataFrame([("p", 2, True, 1, [0], True)], "path string, n_spines int, lyrics boolean, verses int, dynamic_voices array<int>, harmony boolean")
+    assert [(r.role, r.spine) for r in augment.layout(chosen).orderBy("pos").collect()] == [("kern", 0), ("dynam", 0), ("text", 0), ("kern", 1), ("text", 1), ("harm", 1)]
+    words = augment.attach_lyrics(augment.events(records), [["Ky-", "rie"]], verses=1)
+    assert {(r.spine, r.line_no): r.text for r in words.collect()} == {(0, 4): "Ky-", (0, 5): "rie", (0, 8): "Ky-", (1, 4): "Ky-", (1, 8): "rie"}
+    lines = augment.augment(records, chosen, seed="s", syllables=[["Ky-", "rie"]]).first().text.split("\n")
+    assert lines[:4] == ["!!!c", "**kern\t**dynam\t**text\t**kern\t**text\t**mxhm", "*\t*\t*\t*\t*\t*above", "*clefF4\t*\t*\t*clefG2\t*\t*"]
+    assert [x.split("\t")[2] for x in lines[4:]] == ["Ky-", "rie", "=1", ".", "Ky-", "*-"]
+    assert all(len(x.split("\t")) == 6 for x in lines[1:])
+    plan = augment.hairpin_marks("k", 60)
+    assert plan == augment.hairpin_marks("k", 60) and all(0 <= m["at"] < 60 for m in plan) and augment.hairpin_marks("k", 5) == []
+    drawn = augment.options(spark.range(300).selectExpr("concat('p', id) as path", "4 as n_spines"), seed="s").collect()
+    assert 200 < sum(r.lyrics for r in drawn) < 250 and 60 < sum(r.harmony for r in drawn) < 150
