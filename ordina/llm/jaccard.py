@@ -266,11 +266,18 @@ def jaccard_classes(
         return (low * den >= high * num) & (most + before >= need) & (apart <= low + high - 2 * need)
 
     posting = ["v", "node", "size", "place", *sketch]
-    pivots = postings.groupBy("v").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last").select("v", "first")
-    several = materialise(postings.join(pivots, "v"), "join-lists")
-    heads = several.where("node = first").select(*posting)
-    paired = several.alias("p").join(heads.alias("q"), "v").where((F.col("p.node") > F.col("q.node")) & may_link("p", "q"))
-    links = verified(paired.select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct())
+    lists = postings.groupBy("v").agg(F.count("*").alias("n")).where("n > 1")
+    several = materialise(postings.join(lists, "v"), "join-lists")
+    discard(postings)
+    # The pivot is the text whose prefix most texts share: what near copies were made from rather than one of them,
+    # as they may be near to it and not to each other.
+    shared_by = several.groupBy("node").agg(F.sum("n").alias("weight"))
+    weighed = materialise(several.select("v", "node").join(shared_by, "node"), "join-weights")
+    pivots = weighed.groupBy("v").agg(F.max(F.struct("weight", "node")).alias("p")).select("v", F.col("p.node").alias("node"))
+    heads = several.join(pivots, ["v", "node"]).select(*posting)
+    paired = several.alias("p").join(heads.alias("q"), "v").where((F.col("p.node") != F.col("q.node")) & may_link("p", "q"))
+    links = verified(paired.select(F.greatest("p.node", "q.node").alias("a"), F.least("p.node", "q.node").alias("b")).distinct())
+    discard(weighed)
 
     roots = components(links)
     named = several.select(*posting).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -281,6 +288,7 @@ def jaccard_classes(
     more = verified(rest)
 
     final = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+    discard(several, open_, links, more, roots)
     group = classes.select("k1", "k2", "node").join(final, "node", "left").select("k1", "k2", F.coalesce("root", "node").alias("root"))
 
     # Classes without a partner are components of their own.
