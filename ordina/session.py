@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 #: UTC, ANSI arithmetic and adaptive execution; sizes (memory, partitions) are the cluster's to set.
@@ -20,3 +24,19 @@ def session(name: str = "ordina", **settings: str) -> SparkSession:
     for key, value in {**SETTINGS, **{k.replace("_", "."): v for k, v in settings.items()}}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in the executors' Python, wherever the driver runs from; once an application."""
+    context, folder = spark.sparkContext, Path(__file__).parent
+    if context.applicationId in _shipped or not folder.is_dir():
+        return
+    archive = Path(tempfile.mkdtemp(prefix="ordina-")) / "ordina.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(folder.rglob("*.py")):
+            out.write(file, file.relative_to(folder.parent))
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
