@@ -9,6 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..session import ship
+
 #: The template: ``### Role: text</turn>`` and a line end for each turn. Inside texts the two control strings and the
 #: backslash get a backslash in front; inside roles the colon, too.
 OPEN, CLOSE = "### ", "</turn>"
@@ -92,6 +94,7 @@ def format_chat(
     text; rows that repeat are turns of their own. Rows without a conversation id form one conversation without id.
     An empty table gives an empty result; other columns are ignored.
     """
+    ship(turns.sparkSession)
     with open(tokenizer_file, encoding="utf-8") as f:
         model = turns.sparkSession.sparkContext.broadcast(f.read())
     learned = frozenset(loss_roles)
@@ -153,6 +156,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
     ``conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars``: turns are parsed from the formatted
     text; the text under the loss mask is that of the loss spans, unescaped.
     """
+    ship(formatted.sparkSession)
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .common import components, materialise
 
 #: Vectors of a block; a tile compares two blocks, so a task holds two blocks whatever the group.
@@ -112,6 +113,7 @@ def near_duplicates(
     without label or id, link with nothing. Rows that repeat are vectors of their own that share an id. An empty
     table gives an empty result; other columns are ignored.
     """
+    ship(vectors.sparkSession)
     types = dict(vectors.dtypes)
     rows = vectors.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_label"), F.transform(F.col(vector_col), lambda x: x.cast("double")).alias("_v"))
     good = F.forall("_v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))) & F.exists("_v", lambda x: x != 0)

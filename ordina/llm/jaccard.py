@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from . import kernels as K
 from .common import ascii_lower, components, discard, hash_filter, materialise, text_key
 
@@ -140,6 +141,7 @@ def jaccard_classes(
     text; it is smallest only where all are null. Rows that repeat are kept. An empty table gives an empty result;
     other columns are ignored.
     """
+    ship(docs.sparkSession)
     spark = docs.sparkSession
     num, den = percent, 100
     kind = dict(docs.dtypes)[id_col]

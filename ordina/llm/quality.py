@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ship
 from . import kernels as K
 
 #: Word slots (words are hashed), numbers in a vector, non-zero numbers in an index vector, words of context each side.
@@ -161,6 +162,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     The sample (ids of a documented bound, the smallest by hash) is broadcast to the texts; only its pooled vectors
     come to the driver. Labels other than 0 and 1 are ignored. Ids that repeat count once a row, up to the bound.
     """
+    ship(docs.sparkSession)
     vectors = word_vectors(docs, text_col)
     held = docs.sparkSession.sparkContext.broadcast(vectors)
 
@@ -189,6 +191,7 @@ def score(docs: DataFrame, model: Classifier, *, text_col: str = "text", name: s
     Null and empty texts and texts of white space get the score of no words. Rows that repeat are scored each and
     columns of other types pass through; an empty table gives an empty result.
     """
+    ship(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from . import kernels as K
 from .common import WORD, HashFilter, hash_filter, materialise, text_key
 
@@ -80,6 +81,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     places are all that meet in one row. Null text: no words. Null ids and rows that repeat keep their row. Texts
     shorter than ``width`` words lose nothing. An empty table gives an empty result; other columns are ignored.
     """
+    ship(docs.sparkSession)
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     keyed = rows.select("_id", *text_key(F.col("_text")), "_text")
