@@ -19,6 +19,8 @@ from ordina.llm.common import free_name, materialise, text_key
 
 #: Documents of a lower probability of good quality are rejected.
 LEAST_QUALITY = 0.3
+#: Near copies share this many hundredths of their runs of so many words; op6 has thresholds of its own.
+NEAR_WIDTH, NEAR_PERCENT = 5, 80
 MIX_COLUMNS = ("size", "source_size", "target", "taken")
 
 
@@ -31,7 +33,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near copies; rows that repeat an id stay with it."""
-    found = jaccard.jaccard_classes(docs)
+    found = jaccard.jaccard_classes(docs, width=NEAR_WIDTH, percent=NEAR_PERCENT)
     gone = materialise(found.where("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 

@@ -59,6 +59,21 @@ def test_jaccard_stage(steps):
     assert sorted(map(str, want)) == sorted(map(str, after)) and len(after) < len(before)
 
 
+def test_jaccard_stage_takes_five_words_and_four_fifths(spark):
+    """Copies with a sixth of the text added in the middle or cut off, and ones with more, against brute force at 5/80."""
+    rows = []
+    for k in range(3):
+        base = [f"v{k}_{i}" for i in range(120)]
+        more = [f"u{k}_{i}" for i in range(60)]
+        versions = [base, base[:100], base[:50] + more[:20] + base[50:], base[:50] + more[20:] + base[50:], [*more[:40], *base[40:]]]
+        rows += [(len(rows) + i, " ".join(v)) for i, v in enumerate(versions)]
+    sets = [shingles(t, 5) for _, t in rows]
+    links = [(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    want = [i for i, root in enumerate(least_reachable(len(rows), links, [r[0] for r in rows])) if root == i]
+    got = P.keep_one_of_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted(r.doc_id for r in got) == want and len(want) == 9
+
+
 def test_decontamination_stage(steps):
     before, after = steps[1][2][1], steps[1][3][1]
     held = [r for r in before if re.search("brown Fox runs over", r.text or "")]
