@@ -64,9 +64,9 @@ def item_windows(benchmark: DataFrame, *, id_col: str, text_col: str, width: int
     """Windows of the items with at least ``literals`` words that are not slots: item, words and template, by hash."""
     text = plain(F.col(text_col))
     rows = benchmark.select(F.col(id_col).alias("item"), F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)).alias("raw"), template(text).alias("typed"))
-    places = with_windows(rows, width).select("item", "raw", "typed", F.posexplode("h").alias("place", "h"))
+    places = with_windows(rows, width).select("item", "raw", "typed", F.size("raw").alias("n_words"), F.posexplode("h").alias("place", "h"))
     cut = [F.slice(c, F.col("place") + 1, F.lit(width)).alias(c) for c in ("raw", "typed")]
-    return places.select("item", "place", "h", *cut).where(F.size(F.filter("typed", lambda x: ~_is_slot(x))) >= literals)
+    return places.select("item", "n_words", "place", "h", *cut).where(F.size(F.filter("typed", lambda x: ~_is_slot(x))) >= literals)
 
 
 def find_contamination(
@@ -90,8 +90,10 @@ def find_contamination(
     Texts and items become templates. Windows of ``width`` template words (items': with at least ``literals`` words
     that are no slots) are hashed; a bitmap of fixed size of the items' hashes leaves the few places of a text that
     may match, and these are joined with the items' windows by hash. A match must have the same template, and its
-    slots must be consistent: equal values stand for equal values both ways. Over a whole item, values that stand
-    for several others speak against it: at least ``similarity`` of both sides' slot values must stand for one each.
+    slots must be consistent: equal values stand for equal values both ways. Over an occurrence of an item, values that
+    stand for several others speak against it: at least ``similarity`` of both sides' slot values must stand for one each.
+    Share and consistency are judged for each occurrence (matches that place the item at one start, or at starts within
+    half an item) and for the text as a whole; one that passes is enough, and the figures are those of the best.
 
     A text's windows stay in its row until the bitmap has been asked, so nothing is shuffled but matches. Null text:
     no words. Null ids are kept; rows that repeat give one row. Items of fewer than ``width`` words or without a
@@ -122,7 +124,7 @@ def find_contamination(
     # Only texts with a place that may match are looked at word by word.
     found = asked.where("size(places) > 0 and _row >= 0").withColumn("raw", F.regexp_extract_all(plain(F.col("_text")), F.lit(TOKEN), F.lit(0)))
     hits = found.select("_id", *text_key(F.col("_text")), "raw", "typed", "h", F.explode("places").alias("i")).select(
-        "_id", "k1", "k2", F.get("h", F.col("i")).alias("h"), F.slice("raw", F.col("i") + 1, F.lit(width)).alias("mine"), F.slice("typed", F.col("i") + 1, F.lit(width)).alias("shape")
+        "_id", "k1", "k2", "i", F.get("h", F.col("i")).alias("h"), F.slice("raw", F.col("i") + 1, F.lit(width)).alias("mine"), F.slice("typed", F.col("i") + 1, F.lit(width)).alias("shape")
     )
 
     match = hits.join(windows, "h").where(F.col("shape") == F.col("typed"))
@@ -131,27 +133,39 @@ def find_contamination(
     one_to_one = (F.size(F.array_distinct(pairs["a"])) == F.size(pairs)) & (F.size(F.array_distinct(pairs["b"])) == F.size(pairs))
     key = ["_id", "k1", "k2", "item"]
     # Written once: the counts below would each read all texts again.
-    match = materialise(match.withColumn("pairs", pairs).where(one_to_one).select(*key, "place", "pairs"), "template-matches")
-
-    counted = match.select(*key, "place").distinct().groupBy(*key).agg(F.count("*").alias("n_windows"))
-    values = match.select(*key, F.explode("pairs").alias("p")).distinct().select(*key, "p.a", "p.b")
+    match = match.withColumn("pairs", pairs).where(one_to_one).select(*key, (F.col("i") - F.col("place")).alias("start"), "place", "n_words", "pairs")
+    match = materialise(match.distinct(), "template-matches")
+
+    # An occurrence: one start of the item in the text; starts within half an item, where words were added or left out;
+    # or the whole text. Stretches overlap by half, and two whole items side by side share none.
+    half = F.greatest(F.lit(1), F.expr("n_words div 2"))
+    stretch = F.floor(F.col("start") / half)
+    views = [(0, F.col("start").cast("long")), (1, stretch), (1, stretch - 1), (2, F.lit(0).cast("long"))]
+    match = match.withColumn("at", F.explode(F.array(*[F.struct(F.lit(k).alias("view"), g.alias("part")) for k, g in views])))
+    group = [*key, "at"]
+    whole = windows.groupBy(F.col("item").alias("w_item")).agg(F.count("*").alias("item_windows"))
+    counted = match.select(*group, "place").distinct().groupBy(*group).agg(F.count("*").alias("n_windows"))
+    share = F.col("n_windows") / F.col("item_windows")
+    counted = counted.join(whole, F.col("item").eqNullSafe(F.col("w_item"))).withColumn("share", share).where(share >= similarity)
+    values = match.select(*group, F.explode("pairs").alias("p")).distinct().select(*group, "p.a", "p.b")
     # Values of the item that stand for one value of the text, and the other way round.
-    theirs = values.groupBy(*key, "a").agg(F.count("*").alias("n"), F.max((F.col("a") == F.col("b")).cast("int")).alias("same"))
-    mine = values.groupBy(*key, "b").agg(F.count("*").alias("n"), F.lit(1).alias("same"))
+    theirs = values.groupBy(*group, "a").agg(F.count("*").alias("n"), F.max((F.col("a") == F.col("b")).cast("int")).alias("same"))
+    mine = values.groupBy(*group, "b").agg(F.count("*").alias("n"), F.lit(1).alias("same"))
     both = theirs.drop("a").unionByName(mine.drop("b"))
-    slots = both.groupBy(*key).agg(F.count("*").alias("n_slots"), F.sum((F.col("n") == 1).cast("int")).alias("n_single"), F.sum(1 - F.col("same")).alias("n_changed"))
-    whole = windows.groupBy("item").agg(F.count("*").alias("item_windows"))
-    same_row = [F.col(f"c.{c}").eqNullSafe(F.col(f"s.{c}")) for c in key]
-    joined = counted.alias("c").join(slots.alias("s"), same_row, "left").join(whole.alias("w"), F.col("c.item").eqNullSafe(F.col("w.item")))
-    share = F.col("n_windows") / F.col("item_windows")
+    slots = both.groupBy(*group).agg(F.count("*").alias("n_slots"), F.sum((F.col("n") == 1).cast("int")).alias("n_single"), F.sum(1 - F.col("same")).alias("n_changed"))
+    same_row = [F.col(f"c.{c}").eqNullSafe(F.col(f"s.{c}")) for c in group]
     steady = F.coalesce(F.col("n_single") >= similarity * F.col("n_slots"), F.lit(True))
-    return joined.where((share >= similarity) & steady).select(
-        F.col("c._id").alias(id_col),
-        F.col("c.item").alias("item_id"),
-        "n_windows",
-        "item_windows",
-        share.alias("share"),
-        F.coalesce("n_changed", F.lit(0)).cast("long").alias("n_changed"),
-        F.col("c.k1").alias("k1"),
-        F.col("c.k2").alias("k2"),
+    passed = counted.alias("c").join(slots.alias("s"), same_row, "left").where(steady).select(
+        *[F.col(f"c.{c}").alias(c) for c in key], "share", F.coalesce("n_changed", F.lit(0)).cast("long").alias("n_changed"), "n_windows", "item_windows"
+    )
+    best = F.max(F.struct("share", (-F.col("n_changed")).alias("same"), "n_windows", "item_windows")).alias("best")
+    return passed.groupBy(*key).agg(best).select(
+        F.col("_id").alias(id_col),
+        F.col("item").alias("item_id"),
+        "best.n_windows",
+        "best.item_windows",
+        "best.share",
+        (-F.col("best.same")).alias("n_changed"),
+        "k1",
+        "k2",
     )

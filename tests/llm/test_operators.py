@@ -217,6 +217,19 @@ def test_slots_must_agree(spark):
     assert {r.doc_id for r in got.collect()} == {1}
 
 
+def test_one_occurrence_is_enough(spark):
+    """An item beside versions of itself with other values, also where a word was added in the middle of each."""
+    item = "A train leaves Boston at 40 km per hour and after 3 hours it meets another train from Paris that left 2 hours later at noon"
+    other = item.replace("Boston", "Berlin").replace("40", "75").replace("3", "5").replace("Paris", "Rome").replace("2", "9")
+    third = item.replace("Boston", "Madrid").replace("40", "66").replace("3", "4").replace("Paris", "Oslo").replace("2", "8")
+    added = [x.replace("hours it meets", "hours it then meets") for x in (item, other)]
+    texts = {1: f"{item} {other}", 2: f"{third}. Then {other}. So {item}", 3: f"{other} {third}", 4: " and so on ".join(added), 5: "A train from Paris left at noon. " * 9}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.find_contamination(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()}
+    assert sorted(got) == [1, 2, 3, 4]
+    assert got[1].n_changed == got[2].n_changed == 0 < got[3].n_changed and got[1].share == 1.0
+
+
 def test_archive(spark, tmp_path):
     pages = [(3, "http://a/\r\nx", "<p>é</p>"), (1, None, "<p>é</p>"), (2, "u", None), (4, "u", ""), (5, "v", "long" * 50_000), (None, "w", "<p>é</p>"), (5, "v", "long" * 50_000)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("digest", F.lit("x"))
