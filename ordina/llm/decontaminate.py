@@ -42,16 +42,24 @@ def template(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(whole), F.lit(rf"[{NAME}{NUMBER}{UNIT}]|\p{{L}}+"), F.lit(0))
 
 
-def with_windows(rows: DataFrame, width: int) -> DataFrame:
-    """``rows`` with ``h``: a 64-bit hash of each run of ``width`` words of ``typed``, by place.
+def folded(text: Column) -> Column:
+    """The words of a plain text, whatever their case; as many as :data:`TOKEN` finds in the text."""
+    out = F.lower(F.replace(text, F.lit("\u0130"), F.lit("i")))
+    for a, b in (("\u0131", "i"), ("\u03c2", "\u03c3"), ("\u00df", "ss")):  # letters that capitals do not come back to
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return F.regexp_extract_all(out, F.lit(TOKEN), F.lit(0))
+
+
+def with_windows(rows: DataFrame, width: int, words: str, h: str) -> DataFrame:
+    """``rows`` with ``h``: a 64-bit hash of each run of ``width`` words of the column ``words``, by place.
 
     Hashes of shorter runs are combined, each in a column of its own so that it is computed once.
     """
-    have, rows = 1, rows.withColumn("h", F.transform("typed", lambda x: F.xxhash64(x)))
+    have, rows = 1, rows.withColumn(h, F.transform(words, lambda x: F.xxhash64(x)))
     while have < width:
         step = min(have, width - have)
-        short = F.greatest(F.size("h") - step, F.lit(0))
-        rows = rows.withColumn("h", F.zip_with(F.slice("h", F.lit(1), short), F.slice("h", F.lit(step + 1), short), lambda a, b: F.xxhash64(a, b)))
+        short = F.greatest(F.size(h) - step, F.lit(0))
+        rows = rows.withColumn(h, F.zip_with(F.slice(h, F.lit(1), short), F.slice(h, F.lit(step + 1), short), lambda a, b: F.xxhash64(a, b)))
         have += step
     return rows
 
@@ -61,12 +69,19 @@ def _is_slot(x: Column) -> Column:
 
 
 def item_windows(benchmark: DataFrame, *, id_col: str, text_col: str, width: int, literals: int) -> DataFrame:
-    """Windows of the items with at least ``literals`` words that are not slots: item, words and template, by hash."""
+    """Windows of the items by hash: of their templates, with at least ``literals`` words that are not slots
+    (``rich``), and all of their folded words. ``words`` are what was hashed, ``raw`` and ``typed`` the same place's."""
     text = plain(F.col(text_col))
-    rows = benchmark.select(F.col(id_col).alias("item"), F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)).alias("raw"), template(text).alias("typed"))
-    places = with_windows(rows, width).select("item", "raw", "typed", F.size("raw").alias("n_words"), F.posexplode("h").alias("place", "h"))
-    cut = [F.slice(c, F.col("place") + 1, F.lit(width)).alias(c) for c in ("raw", "typed")]
-    return places.select("item", "n_words", "place", "h", *cut).where(F.size(F.filter("typed", lambda x: ~_is_slot(x))) >= literals)
+    words = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+    rows = benchmark.select(F.col(id_col).alias("item"), words.alias("raw"), template(text).alias("typed"), folded(text).alias("folded"))
+
+    def of(kind: str) -> DataFrame:
+        places = with_windows(rows, width, kind, "h").select("item", F.size("raw").alias("n_words"), "raw", "typed", F.col(kind).alias("words"), F.posexplode("h").alias("place", "h"))
+        cut = [F.slice(c, F.col("place") + 1, F.lit(width)).alias(c) for c in ("raw", "typed", "words")]
+        rich = F.size(F.filter("typed", lambda x: ~_is_slot(x))) >= literals
+        return places.select("item", "n_words", "place", "h", F.lit(kind).alias("kind"), *cut).withColumn("rich", rich)
+
+    return of("typed").where("rich").unionByName(of("folded"))
 
 
 def find_contamination(
@@ -88,12 +103,13 @@ def find_contamination(
     the item's), ``k1`` and ``k2`` (the text's key).
 
     Texts and items become templates. Windows of ``width`` template words (items': with at least ``literals`` words
-    that are no slots) are hashed; a bitmap of fixed size of the items' hashes leaves the few places of a text that
-    may match, and these are joined with the items' windows by hash. A match must have the same template, and its
-    slots must be consistent: equal values stand for equal values both ways. Over an occurrence of an item, values that
+    that are no slots) are hashed, and so are windows of the words themselves, whatever their case; a bitmap of fixed size of the items' hashes leaves the few places of a text that
+    may match, and these are joined with the items' windows by hash. A match must have the same template, or the
+    same words but for their case, and its slots must be consistent: equal values stand for equal values both ways. Over an occurrence of an item, values that
     stand for several others speak against it: at least ``similarity`` of both sides' slot values must stand for one each.
     Share and consistency are judged for each occurrence (matches that place the item at one start, or at starts within
-    half an item) and for the text as a whole; one that passes is enough, and the figures are those of the best.
+    half an item) and for the text as a whole; one that passes is enough, and the figures are those of the best. The
+    share is of the windows with enough literal words, or of all where only that one suffices.
 
     A text's windows stay in its row until the bitmap has been asked, so nothing is shuffled but matches. Null text:
     no words. Null ids are kept; rows that repeat give one row. Items of fewer than ``width`` words or without a
@@ -117,23 +133,30 @@ def find_contamination(
             out = out & (F.getbit(F.get(bitmap, F.shiftright(p(h), 6).cast("int")), p(h).bitwiseAND(F.lit(63)).cast("int")) == 1)
         return out
 
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).withColumn("typed", template(plain(F.col("_text"))))
-    places = F.array_compact(F.transform("h", lambda h, i: F.when(maybe(h), i)))
+    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).withColumns({"typed": template(plain(F.col("_text"))), "folded": folded(plain(F.col("_text")))})
+    asked, kinds = rows, ("typed", "folded")
+    for kind in kinds:
+        asked = with_windows(asked, width, kind, f"h_{kind}").withColumn(f"at_{kind}", F.array_compact(F.transform(f"h_{kind}", lambda h, i: F.when(maybe(h), i))))
+
+    def tagged(kind: str) -> Column:
+        return F.transform(f"at_{kind}", lambda i: F.struct(F.lit(kind).alias("kind"), i.alias("i")))
+
     # The row number keeps the filter above the projection: pushed below, it would work out every array again.
-    asked = with_windows(rows, width).withColumns({"places": places, "_row": F.monotonically_increasing_id()})
+    asked = asked.withColumns({"places": F.concat(*map(tagged, kinds)), "_row": F.monotonically_increasing_id()})
     # Only texts with a place that may match are looked at word by word.
     found = asked.where("size(places) > 0 and _row >= 0").withColumn("raw", F.regexp_extract_all(plain(F.col("_text")), F.lit(TOKEN), F.lit(0)))
-    hits = found.select("_id", *text_key(F.col("_text")), "raw", "typed", "h", F.explode("places").alias("i")).select(
-        "_id", "k1", "k2", "i", F.get("h", F.col("i")).alias("h"), F.slice("raw", F.col("i") + 1, F.lit(width)).alias("mine"), F.slice("typed", F.col("i") + 1, F.lit(width)).alias("shape")
-    )
+    hits = found.select("_id", *text_key(F.col("_text")), "raw", *kinds, *[f"h_{k}" for k in kinds], F.inline("places"))
+    by_kind = [F.when(F.col("kind") == k, F.struct(F.get(f"h_{k}", F.col("i")).alias("h"), F.slice(k, F.col("i") + 1, F.lit(width)).alias("words"))) for k in kinds]
+    hits = hits.select("_id", "k1", "k2", "i", "kind", F.slice("raw", F.col("i") + 1, F.lit(width)).alias("mine"), F.coalesce(*by_kind).alias("w"))
+    hits = hits.select("_id", "k1", "k2", "i", "kind", "mine", "w.h", F.col("w.words").alias("same_words"))
 
-    match = hits.join(windows, "h").where(F.col("shape") == F.col("typed"))
+    match = hits.join(windows, ["h", "kind"]).where(F.col("same_words") == F.col("words"))
     slot = F.filter(F.arrays_zip(F.col("typed").alias("t"), F.col("raw").alias("a"), F.col("mine").alias("b")), lambda x: _is_slot(x["t"]))
     pairs = F.array_distinct(F.transform(slot, lambda x: F.struct(F.lower(x["a"]).alias("a"), F.lower(x["b"]).alias("b"))))
     one_to_one = (F.size(F.array_distinct(pairs["a"])) == F.size(pairs)) & (F.size(F.array_distinct(pairs["b"])) == F.size(pairs))
     key = ["_id", "k1", "k2", "item"]
     # Written once: the counts below would each read all texts again.
-    match = match.withColumn("pairs", pairs).where(one_to_one).select(*key, (F.col("i") - F.col("place")).alias("start"), "place", "n_words", "pairs")
+    match = match.withColumn("pairs", pairs).where(one_to_one).select(*key, (F.col("i") - F.col("place")).alias("start"), "place", "rich", "n_words", "pairs")
     match = materialise(match.distinct(), "template-matches")
 
     # An occurrence: one start of the item in the text; starts within half an item, where words were added or left out;
@@ -143,10 +166,13 @@ def find_contamination(
     views = [(0, F.col("start").cast("long")), (1, stretch), (1, stretch - 1), (2, F.lit(0).cast("long"))]
     match = match.withColumn("at", F.explode(F.array(*[F.struct(F.lit(k).alias("view"), g.alias("part")) for k, g in views])))
     group = [*key, "at"]
-    whole = windows.groupBy(F.col("item").alias("w_item")).agg(F.count("*").alias("item_windows"))
-    counted = match.select(*group, "place").distinct().groupBy(*group).agg(F.count("*").alias("n_windows"))
-    share = F.col("n_windows") / F.col("item_windows")
-    counted = counted.join(whole, F.col("item").eqNullSafe(F.col("w_item"))).withColumn("share", share).where(share >= similarity)
+    counts = [F.count("*").alias("n_all"), F.count_if("rich").alias("n_rich")]
+    whole = windows.where("kind <> 'typed'").groupBy(F.col("item").alias("w_item")).agg(*[c.alias(n) for c, n in zip(counts, ("w_all", "w_rich"))])
+    counted = match.select(*group, "place", "rich").distinct().groupBy(*group).agg(*counts)
+    counted = counted.join(whole, F.col("item").eqNullSafe(F.col("w_item")))
+    enough = F.coalesce(F.try_divide("n_rich", "w_rich") >= similarity, F.lit(False))
+    n, of = [F.when(enough, F.col(f"{x}_rich")).otherwise(F.col(f"{x}_all")) for x in ("n", "w")]
+    counted = counted.select(*group, n.alias("n_windows"), of.alias("item_windows"), (n / of).alias("share")).where(F.col("share") >= similarity)
     values = match.select(*group, F.explode("pairs").alias("p")).distinct().select(*group, "p.a", "p.b")
     # Values of the item that stand for one value of the text, and the other way round.
     theirs = values.groupBy(*group, "a").agg(F.count("*").alias("n"), F.max((F.col("a") == F.col("b")).cast("int")).alias("same"))

@@ -230,6 +230,18 @@ def test_one_occurrence_is_enough(spark):
     assert got[1].n_changed == got[2].n_changed == 0 < got[3].n_changed and got[1].share == 1.0
 
 
+def test_items_in_any_case(spark):
+    """Passages in capitals, in lower case and in title case, and items that are so themselves."""
+    item = "A train leaves \u0130zmir at 40 km per hour and after 3 hours it meets the Stra\u00dfe train from Paris that left 2 hours later at noon"
+    loud, title = "WHO SOLD SEVEN RED APPLES TO THE OLD MAN OF THE HILL", "How Many Green Pears Did The Young Farmer Sell In May"
+    bench = spark.createDataFrame([(1, item), (2, loud), (3, title)], "item_id long, text string")
+    forms = {"as it is": str, "upper": str.upper, "lower": lambda x: x.replace("\u0130", "i").lower()}
+    texts = [(f"{k}|{i}", f"well {f(x)} so") for k, f in forms.items() for i, x in enumerate((item, loud, title), 1)]
+    texts += [("other|0", "WELL " + " ".join(reversed(item.upper().split(" "))) + " How Many Red Hens Did The Old Baker Buy In June")]
+    got = decontaminate.find_contamination(spark.createDataFrame(texts, "doc_id string, text string"), bench).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == sorted((t[0], int(t[0][-1])) for t in texts[:-1])
+
+
 def test_archive(spark, tmp_path):
     pages = [(3, "http://a/\r\nx", "<p>é</p>"), (1, None, "<p>é</p>"), (2, "u", None), (4, "u", ""), (5, "v", "long" * 50_000), (None, "w", "<p>é</p>"), (5, "v", "long" * 50_000)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("digest", F.lit("x"))
