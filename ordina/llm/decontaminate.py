@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, text_key
@@ -21,6 +21,8 @@ TOKEN = r"[0-9]+(?:[.,][0-9]+)*|\p{L}+"
 #: One character each for a name, a number and a unit while texts are canonicalised; texts lose these characters.
 NAME, NUMBER, UNIT = "\ue000", "\ue001", "\ue002"
 WIDTH = 5
+#: A run of matched windows is enough where it covers so many widths, or a share of the item's words, but so many words.
+RUN_WIDTHS, RUN_SHARE, LEAST_RUN = 3, (2, 3), 8
 #: The prefilter's bits: as many a window, but not over a fixed size; what passes by mistake is dropped by the join.
 BITS_PER_WINDOW, MAX_BITS = 512, 1 << 22
 
@@ -99,7 +101,7 @@ def find_contamination(
     """Benchmark items that texts hold, word for word or with other numbers, names and units.
 
     Returns one row per document and item: id, ``item_id``, ``n_windows`` (of the item's that were found),
-    ``item_windows``, ``share`` (their quotient, at least ``similarity``), ``n_changed`` (slots with another value than
+    ``item_windows``, ``share`` (their quotient, below ``similarity`` only where a run was enough), ``n_changed`` (slots with another value than
     the item's), ``k1`` and ``k2`` (the text's key).
 
     Texts and items become templates. Windows of ``width`` template words (items': with at least ``literals`` words
@@ -109,7 +111,8 @@ def find_contamination(
     stand for several others speak against it: at least ``similarity`` of both sides' slot values must stand for one each.
     Share and consistency are judged for each occurrence (matches that place the item at one start, or at starts within
     half an item) and for the text as a whole; one that passes is enough, and the figures are those of the best. The
-    share is of the windows with enough literal words, or of all where only that one suffices.
+    share is of the windows with enough literal words, or of all where that one does not suffice. Whatever the share, a
+    consistent run of matches is enough that covers three widths, or two thirds of the item's words and at least 8.
 
     A text's windows stay in its row until the bitmap has been asked, so nothing is shuffled but matches. Null text:
     no words. Null ids are kept; rows that repeat give one row. Items of fewer than ``width`` words or without a
@@ -163,16 +166,24 @@ def find_contamination(
     # or the whole text. Stretches overlap by half, and two whole items side by side share none.
     half = F.greatest(F.lit(1), F.expr("n_words div 2"))
     stretch = F.floor(F.col("start") / half)
-    views = [(0, F.col("start").cast("long")), (1, stretch), (1, stretch - 1), (2, F.lit(0).cast("long"))]
-    match = match.withColumn("at", F.explode(F.array(*[F.struct(F.lit(k).alias("view"), g.alias("part")) for k, g in views])))
+    # Or a run: windows at one start that leave no word out between them.
+    along = Window.partitionBy(*key, "start").orderBy("place")
+    match = match.withColumn("_cut", F.coalesce((F.col("place") - F.lag("place").over(along) > width).cast("long"), F.lit(0)))
+    match = match.withColumn("run", F.sum("_cut").over(along.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
+    start, none = F.col("start").cast("long"), F.lit(0).cast("long")
+    views = [(0, start, none), (1, stretch, none), (1, stretch - 1, none), (2, none, none), (3, start, F.col("run"))]
+    match = match.withColumn("at", F.explode(F.array(*[F.struct(F.lit(k).alias("view"), g.alias("part"), r.alias("run")) for k, g, r in views])))
     group = [*key, "at"]
     counts = [F.count("*").alias("n_all"), F.count_if("rich").alias("n_rich")]
     whole = windows.where("kind <> 'typed'").groupBy(F.col("item").alias("w_item")).agg(*[c.alias(n) for c, n in zip(counts, ("w_all", "w_rich"))])
-    counted = match.select(*group, "place", "rich").distinct().groupBy(*group).agg(*counts)
+    covered = F.max("place") - F.min("place") + width
+    least = F.least(F.lit(RUN_WIDTHS * width), F.greatest(F.lit(LEAST_RUN), F.ceil(F.max("n_words") * RUN_SHARE[0] / RUN_SHARE[1])))
+    long = (F.col("at.view") == 3) & (covered >= least)
+    counted = match.select(*group, "place", "rich", "n_words").distinct().groupBy(*group).agg(*counts, long.alias("long"))
     counted = counted.join(whole, F.col("item").eqNullSafe(F.col("w_item")))
     enough = F.coalesce(F.try_divide("n_rich", "w_rich") >= similarity, F.lit(False))
     n, of = [F.when(enough, F.col(f"{x}_rich")).otherwise(F.col(f"{x}_all")) for x in ("n", "w")]
-    counted = counted.select(*group, n.alias("n_windows"), of.alias("item_windows"), (n / of).alias("share")).where(F.col("share") >= similarity)
+    counted = counted.select(*group, n.alias("n_windows"), of.alias("item_windows"), (n / of).alias("share"), "long").where((F.col("share") >= similarity) | F.col("long"))
     values = match.select(*group, F.explode("pairs").alias("p")).distinct().select(*group, "p.a", "p.b")
     # Values of the item that stand for one value of the text, and the other way round.
     theirs = values.groupBy(*group, "a").agg(F.count("*").alias("n"), F.max((F.col("a") == F.col("b")).cast("int")).alias("same"))

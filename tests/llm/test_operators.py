@@ -242,6 +242,23 @@ def test_items_in_any_case(spark):
     assert sorted((r.doc_id, r.item_id) for r in got) == sorted((t[0], int(t[0][-1])) for t in texts[:-1])
 
 
+def test_parts_of_items(spark):
+    """Long runs of an item are enough: a part of it, and what edited plain words leave; short runs are not."""
+    item = "A train leaves Boston at 40 km per hour and after 3 hours it meets another train from Paris that left 2 hours later at noon"
+    words = item.split(" ")
+    other = item.replace("Boston", "Berlin").replace("40", "75").replace("3", "5").replace("Paris", "Rome").split(" ")
+    short = "then Ann gave nine old books to her uncle Bob at once"
+    texts = {
+        1: words[:15], 2: words[-15:], 3: words[:14], 4: other[:18], 5: [*words[:2], "x", *words[3:20], "y", *words[21:]],
+        6: ["x" if i % 6 == 5 else w for i, w in enumerate(words)], 7: [*words[:8], *["z"] * 20, *words[18:]],
+        8: short.split(" ")[:8], 9: short.split(" ")[:7],
+    }
+    docs = spark.createDataFrame([(i, "so it is " + " ".join(w) + " or not so") for i, w in texts.items()], "doc_id long, text string")
+    got = decontaminate.find_contamination(docs, spark.createDataFrame([(1, item), (2, short)], "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(1, 1), (2, 1), (4, 1), (5, 1), (8, 2)}
+    assert all(r.share < 0.8 for r in got if r.doc_id in (1, 2, 8))
+
+
 def test_archive(spark, tmp_path):
     pages = [(3, "http://a/\r\nx", "<p>é</p>"), (1, None, "<p>é</p>"), (2, "u", None), (4, "u", ""), (5, "v", "long" * 50_000), (None, "w", "<p>é</p>"), (5, "v", "long" * 50_000)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("digest", F.lit("x"))
