@@ -21,6 +21,7 @@ TOKEN = r"[0-9]+(?:[.,][0-9]+)*|\p{L}+"
 #: One character each for a name, a number and a unit while texts are canonicalised; texts lose these characters.
 NAME, NUMBER, UNIT = "\ue000", "\ue001", "\ue002"
 WIDTH = 5
+SHORT = "short"
 #: A run of matched windows is enough where it covers so many widths, or a share of the item's words, but so many words.
 RUN_WIDTHS, RUN_SHARE, LEAST_RUN = 3, (2, 3), 8
 #: The prefilter's bits: as many a window, but not over a fixed size; what passes by mistake is dropped by the join.
@@ -72,18 +73,23 @@ def _is_slot(x: Column) -> Column:
 
 def item_windows(benchmark: DataFrame, *, id_col: str, text_col: str, width: int, literals: int) -> DataFrame:
     """Windows of the items by hash: of their templates, with at least ``literals`` words that are not slots
-    (``rich``), and all of their folded words. ``words`` are what was hashed, ``raw`` and ``typed`` the same place's."""
+    (``rich``), and all of their folded words. ``words`` are what was hashed, ``raw`` and ``typed`` the same place's.
+
+    An item of fewer words is one window of its own length: ``kind`` is :data:`SHORT` with that length."""
     text = plain(F.col(text_col))
     words = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
     rows = benchmark.select(F.col(id_col).alias("item"), words.alias("raw"), template(text).alias("typed"), folded(text).alias("folded"))
 
-    def of(kind: str) -> DataFrame:
-        places = with_windows(rows, width, kind, "h").select("item", F.size("raw").alias("n_words"), "raw", "typed", F.col(kind).alias("words"), F.posexplode("h").alias("place", "h"))
-        cut = [F.slice(c, F.col("place") + 1, F.lit(width)).alias(c) for c in ("raw", "typed", "words")]
+    def of(kind: str, source: str, n: int, rows: DataFrame = rows) -> DataFrame:
+        places = with_windows(rows, n, source, "h").select("item", F.size("raw").alias("n_words"), "raw", "typed", F.col(source).alias("words"), F.posexplode("h").alias("place", "h"))
+        cut = [F.slice(c, F.col("place") + 1, F.lit(n)).alias(c) for c in ("raw", "typed", "words")]
         rich = F.size(F.filter("typed", lambda x: ~_is_slot(x))) >= literals
         return places.select("item", "n_words", "place", "h", F.lit(kind).alias("kind"), *cut).withColumn("rich", rich)
 
-    return of("typed").where("rich").unionByName(of("folded"))
+    out = of("typed", "typed", width).where("rich").unionByName(of("folded", "folded", width))
+    for n in range(1, width):
+        out = out.unionByName(of(f"{SHORT}{n}", "folded", n, rows.where(F.size("folded") == n)))
+    return out
 
 
 def find_contamination(
@@ -115,9 +121,10 @@ def find_contamination(
     consistent run of matches is enough that covers three widths, or two thirds of the item's words and at least 8.
 
     A text's windows stay in its row until the bitmap has been asked, so nothing is shuffled but matches. Null text:
-    no words. Null ids are kept; rows that repeat give one row. Items of fewer than ``width`` words or without a
-    window of enough literal words cannot be told from chance and are never found. Empty tables give an empty
-    result; other columns are ignored.
+    no words. Null ids are kept; rows that repeat give one row. Items of fewer than ``width`` words are found where
+    all their words stand in a row, whatever the case, and items without a window of enough literal words by their
+    words as they are. Items without a word are never found. Empty tables give an empty result; other columns are
+    ignored.
     """
     windows = materialise(item_windows(benchmark, id_col=item_id_col, text_col=item_text_col, width=width, literals=literals), "item-windows")
     n = windows.select("h").distinct().count()
@@ -137,21 +144,42 @@ def find_contamination(
         return out
 
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).withColumns({"typed": template(plain(F.col("_text"))), "folded": folded(plain(F.col("_text")))})
-    asked, kinds = rows, ("typed", "folded")
+    # By kind, what is hashed and how many words a time; lengths of short items only where there are any.
+    kinds = {"typed": ("typed", width), "folded": ("folded", width)}
+    short = [r.kind for r in windows.where(F.col("kind").startswith(SHORT)).select("kind").distinct().collect()]  # width - 1 at most
+    kinds |= {k: ("folded", int(k.removeprefix(SHORT))) for k in sorted(short)}
+
+    asked = rows
+    for kind, (source, n) in kinds.items():
+        asked = with_windows(asked, n, source, f"h_{kind}")
+    # All kinds go past the bitmap in one array: each mention of it is a megabyte in the driver's plans. Of a short item's
+    # hash one place is enough.
+    parts = {k: F.array_distinct(f"h_{k}") if k.startswith(SHORT) else F.col(f"h_{k}") for k in kinds}
+    asked = asked.withColumn("h_all", F.concat(*parts.values()))
+    asked = asked.withColumn("passed", F.array_compact(F.transform("h_all", lambda x, i: F.when(maybe(x), i))))
+
+    def tagged(kind: str, first: Column) -> Column:
+        mine = F.filter("passed", lambda p: (p >= first) & (p < first + F.size(parts[kind])))
+        place = (lambda p: F.array_position(f"h_{kind}", F.get("h_all", p)).cast("int") - 1) if kind.startswith(SHORT) else (lambda p: p - first)
+        return F.transform(mine, lambda p: F.struct(F.lit(kind).alias("kind"), place(p).alias("i")))
+
+    starts, first = [], F.lit(0)
     for kind in kinds:
-        asked = with_windows(asked, width, kind, f"h_{kind}").withColumn(f"at_{kind}", F.array_compact(F.transform(f"h_{kind}", lambda h, i: F.when(maybe(h), i))))
-
-    def tagged(kind: str) -> Column:
-        return F.transform(f"at_{kind}", lambda i: F.struct(F.lit(kind).alias("kind"), i.alias("i")))
-
+        starts.append(first)
+        first = first + F.size(parts[kind])
     # The row number keeps the filter above the projection: pushed below, it would work out every array again.
-    asked = asked.withColumns({"places": F.concat(*map(tagged, kinds)), "_row": F.monotonically_increasing_id()})
+    asked = asked.withColumn("_row", F.monotonically_increasing_id())
     # Only texts with a place that may match are looked at word by word.
-    found = asked.where("size(places) > 0 and _row >= 0").withColumn("raw", F.regexp_extract_all(plain(F.col("_text")), F.lit(TOKEN), F.lit(0)))
-    hits = found.select("_id", *text_key(F.col("_text")), "raw", *kinds, *[f"h_{k}" for k in kinds], F.inline("places"))
-    by_kind = [F.when(F.col("kind") == k, F.struct(F.get(f"h_{k}", F.col("i")).alias("h"), F.slice(k, F.col("i") + 1, F.lit(width)).alias("words"))) for k in kinds]
-    hits = hits.select("_id", "k1", "k2", "i", "kind", F.slice("raw", F.col("i") + 1, F.lit(width)).alias("mine"), F.coalesce(*by_kind).alias("w"))
-    hits = hits.select("_id", "k1", "k2", "i", "kind", "mine", "w.h", F.col("w.words").alias("same_words"))
+    found = asked.where("size(passed) > 0 and _row >= 0").withColumns({"raw": F.regexp_extract_all(plain(F.col("_text")), F.lit(TOKEN), F.lit(0)), "places": F.concat(*map(tagged, kinds, starts))})
+    hits = found.select("_id", *text_key(F.col("_text")), "raw", "typed", "folded", *[f"h_{k}" for k in kinds], F.inline("places"))
+
+    def window(kind: str) -> Column:
+        source, n = kinds[kind]
+        return F.struct(F.get(f"h_{kind}", F.col("i")).alias("h"), *[F.slice(c, F.col("i") + 1, F.lit(n)).alias(x) for c, x in (("raw", "mine"), (source, "same_words"))])
+
+    hits = hits.select("_id", "k1", "k2", "i", "kind", F.coalesce(*[F.when(F.col("kind") == k, window(k)) for k in kinds]).alias("w"))
+    # Written before the join, whose plan is then one without the bitmap.
+    hits = materialise(hits.select("_id", "k1", "k2", "i", "kind", "w.*"), "template-hits")
 
     match = hits.join(windows, ["h", "kind"]).where(F.col("same_words") == F.col("words"))
     slot = F.filter(F.arrays_zip(F.col("typed").alias("t"), F.col("raw").alias("a"), F.col("mine").alias("b")), lambda x: _is_slot(x["t"]))

@@ -259,6 +259,16 @@ def test_parts_of_items(spark):
     assert all(r.share < 0.8 for r in got if r.doc_id in (1, 2, 8))
 
 
+def test_short_items(spark):
+    """Items of one to four words, and longer ones of numbers and names only, are found where texts hold them exactly."""
+    items = {1: "What is 12 + 30?", 2: "Zygote", 3: "two words", 4: "Add: 7 8", 5: "12 13 14 15 16 17", 6: "Red Blue Green Black White Grey", 7: "?!"}
+    texts = {f"{i}": f"so {t} or {t.upper()} it is" for i, t in items.items()} | {"1b": "WHAT IS 12 30", "2b": "zygotes", "3b": "two more words", "1c": "what is 12 31", "5b": "12 13 14 15 18 17", "6b": "Red Blue Pink Black Cyan Grey"}
+    docs = spark.createDataFrame([*texts.items(), ("none", None)], "doc_id string, text string")
+    got = decontaminate.find_contamination(docs, spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [("1", 1), ("1b", 1), *[(str(i), i) for i in (2, 3, 4, 5, 6)]]
+    assert all(r.share == 1.0 and r.n_changed == 0 for r in got)
+
+
 def test_archive(spark, tmp_path):
     pages = [(3, "http://a/\r\nx", "<p>é</p>"), (1, None, "<p>é</p>"), (2, "u", None), (4, "u", ""), (5, "v", "long" * 50_000), (None, "w", "<p>é</p>"), (5, "v", "long" * 50_000)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("digest", F.lit("x"))
