@@ -27,10 +27,14 @@ def session(name: str = "ordina", **settings: str) -> SparkSession:
 
 
 _shipped: set[str] = set()
+#: Arrow batches are bounded by bytes, as rows may be long; a session that sets this itself keeps its value.
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
 
 def ship(spark: SparkSession) -> None:
     """Make this package importable in the executors' Python, wherever the driver runs from; once an application."""
+    if BATCH_BYTES[0] not in spark.conf.getAll:
+        spark.conf.set(*BATCH_BYTES)
     context, folder = spark.sparkContext, Path(__file__).parent
     if context.applicationId in _shipped or not folder.is_dir():
         return
