@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import tempfile
 import uuid
 
@@ -39,7 +38,7 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if found is None:
-        if not context.master.startswith("local"):
+        if context.master.partition("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="ordina-")
         context.setCheckpointDir(found)
@@ -106,38 +105,38 @@ def text_key(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")]
 
 
-#: Bits a hash and least and most bits of a prefilter: it follows the number of hashes up to 64 MB, whatever the corpus.
-#: What it lets through by mistake, more of it beyond some 50 million hashes, is dropped by the exact steps that follow.
-BITS_PER_HASH, LEAST_BITS, MOST_BITS = 16, 20, 29
-#: Bits by which the probes of a hash are shifted.
-_SHIFTS = (0, 7, 14, 21, 28, 35)
+#: Hashes a 64-bit word of a prefilter, and least and most words: it follows the number of hashes up to 64 MB, whatever
+#: the corpus. What it lets through by mistake, more of it beyond some 50 million hashes, is dropped by the exact steps
+#: that follow.
+PER_WORD, LEAST_WORDS, MOST_WORDS = 4, 1 << 14, 1 << 23
+#: The bits of a hash lie in the word that its lowest bits number; these shifts give the slices that number the bits.
+_SHIFTS = (34, 40, 46, 52, 58)
 
 
 class HashFilter:
-    """A Bloom filter of 64-bit hashes that are already mixed: each probe is a slice of the hash."""
+    """A blocked Bloom filter of 64-bit hashes that are already mixed: slices of a hash number its word and bits."""
 
-    def __init__(self, bitmap: np.ndarray, probes: int):
-        self.bitmap, self.probes = bitmap, probes
+    def __init__(self, words: np.ndarray):
+        self.words = words
 
     def __call__(self, hashes: np.ndarray) -> np.ndarray:
         """Whether each hash may be among those that the filter was made of."""
-        last = np.uint64(len(self.bitmap) * 8 - 1)
-        out = np.ones(len(hashes), bool)
-        for shift in _SHIFTS[: self.probes]:
-            at = (hashes >> np.uint64(shift)) & last
-            out &= (self.bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
-        return out
+        bits = np.zeros(len(hashes), np.uint64)
+        for shift in _SHIFTS:
+            bits |= np.uint64(1) << ((hashes >> np.uint64(shift)) & np.uint64(63))
+        return self.words[(hashes & np.uint64(len(self.words) - 1)).astype(np.int64)] & bits == bits
 
 
 def hash_filter(hashes: DataFrame) -> HashFilter:
-    """A filter of the long column ``v``; its bits are put together by Spark and come to the driver as words."""
+    """A filter of the long column ``v``; its words are put together by Spark, one row a hash before they are."""
     kept = materialise(hashes.select("v"), "hashes")
     n = max(1, kept.count())
-    bits = 1 << min(MOST_BITS, max(LEAST_BITS, (BITS_PER_HASH * n - 1).bit_length()))
-    probes = min(len(_SHIFTS), max(1, round(bits / n * math.log(2))))
-    at = kept.select(F.explode(F.array(*[F.shiftrightunsigned("v", s).bitwiseAND(F.lit(bits - 1)) for s in _SHIFTS[:probes]])).alias("at"))
-    words = at.groupBy(F.shiftright("at", 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("set")).toArrow()
-    out = np.zeros(bits // 64, np.uint64)
-    out[words.column("word").to_numpy()] = words.column("set").to_numpy().view(np.uint64)
+    words = 1 << min(MOST_WORDS.bit_length() - 1, max(LEAST_WORDS.bit_length() - 1, (n // PER_WORD).bit_length()))
+    bits = F.lit(0).cast("long")
+    for shift in _SHIFTS:
+        bits = bits.bitwiseOR(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(v, {shift}) & 63L as int))"))
+    found = kept.groupBy(F.col("v").bitwiseAND(F.lit(words - 1)).cast("int").alias("word")).agg(F.bit_or(bits).alias("set")).toArrow()
+    out = np.zeros(words, np.uint64)
+    out[found.column("word").to_numpy()] = found.column("set").to_numpy().view(np.uint64)
     discard(kept)
-    return HashFilter(out.view(np.uint8), probes)
+    return HashFilter(out)

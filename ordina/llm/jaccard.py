@@ -11,14 +11,18 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from . import kernels as K
-from .common import ascii_lower, components, discard, hash_filter, materialise, text_key
+from .common import components, discard, free_name, hash_filter, materialise, text_key
 
 #: Shingles and words whose counts order the prefixes, and slots of the tables of them that all tasks get (10 MB). The
 #: sizes are fixed whatever the corpus, and any order gives the same result: it only tells how many candidates arise.
 HEAVY, WORDS = 1 << 17, 1 << 16
 HEAVY_SLOTS, WORD_SLOTS = 1 << 22, 1 << 20
-#: 64-bit words of a set's sketch for the suffix filter.
-SKETCH = 4
+#: Shingles a range of the suffix filter, at most and on average.
+PER_RANGE = 16
+#: 64-bit words that tell, a bit each, in which of as many ranges a set has an odd number of shingles.
+ODD = 8
+#: Texts that are verified against one copy of a pivot's text.
+PER_PIVOT = 1024
 
 
 class Order:
@@ -96,57 +100,61 @@ class Shingles:
         keep = place < length[self.row]
         return order[keep], place[keep]
 
-    def sketches(self) -> list[np.ndarray]:
-        """For each row ``SKETCH`` words of which each bit tells whether an odd number of shingles falls to it."""
-        out, some = [], np.flatnonzero(self.size)
-        word, bit = (self.v >> np.uint64(6)) % np.uint64(SKETCH), np.uint64(1) << (self.v & np.uint64(63))
-        for i in range(SKETCH):
-            sketch = np.zeros(len(self.size), np.uint64)
-            if len(some):
-                sketch[some] = np.bitwise_xor.reduceat(np.where(word == i, bit, np.uint64(0)), self.first[some])
-            out.append(sketch)
+    def ranges(self) -> list[bytes]:
+        """For each row how many shingles fall into each of 2**k equal ranges of the hash, a byte each.
+
+        No bytes where a count does not fit one (adversarial hashes only): such a set passes the suffix filter.
+        """
+        out = []
+        for size, a, b in zip(self.size.tolist(), self.first[:-1].tolist(), self.first[1:].tolist(), strict=True):
+            bits = max(0, -(-size // PER_RANGE) - 1).bit_length()
+            count = np.bincount((self.v[a:b] >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits) if bits else np.array([size])
+            out.append(count.astype(np.uint8).tobytes() if count.max() < 256 else b"")
         return out
 
 
-def overlap(a: Column, b: Column, num: int, den: int) -> Column:
-    """Least number of common shingles with which sets of these sizes link."""
-    return F.ceil((a + b) * num / F.lit(num + den))
+    def odd(self) -> np.ndarray:
+        """For each row ``ODD`` words: in which of 64 * ``ODD`` ranges of the hash an odd number of its shingles lies."""
+        out, some = np.zeros((len(self.size), ODD), np.uint64), np.flatnonzero(self.size)
+        at = self.v >> np.uint64(64 - (64 * ODD).bit_length() + 1)
+        word, bit = at >> np.uint64(6), np.uint64(1) << (at & np.uint64(63))
+        for i in range(ODD if len(some) else 0):
+            out[some, i] = np.bitwise_xor.reduceat(np.where(word == i, bit, np.uint64(0)), self.first[some])
+        return out
 
 
-def jaccard_classes(
-    docs: DataFrame,
-    *,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    width: int = 4,
-    percent: int = 85,
-) -> DataFrame:
-    """Link texts whose sets of ``width``-word shingles have a Jaccard similarity of ``percent`` / 100 or more.
+def most_common(a: bytes, b: bytes) -> int:
+    """Most shingles that two sets with these counts by range can share: in each range the smaller count."""
+    if not a or not b:
+        return 1 << 62
+    x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
+    if len(x) < len(y):
+        y = y.reshape(len(x), -1).sum(axis=1)
+    return int(np.minimum(x, y).sum())
 
-    Words are split at space and the ASCII controls 9 to 13, A-Z count as a-z. Returns one row per document: id,
-    ``n_shingles`` (size of its set) and ``component_id`` (the smallest id that links reach, its own included).
 
-    1. Equal texts are one class. Shingles are ordered by frequency, rarest first: as counted for the ``HEAVY`` most
-       frequent of those that tasks see repeat, as expected from their words' counts for all others. Two linked sets
-       share a shingle of their prefixes.
-    2. Prefix shingles are counted by class in one pre-aggregated shuffle. A filter of bounded size of those in
-       several classes tells which texts may have a partner; only these are shuffled and kept.
-    3. Each prefix shingle pairs its texts with one of them, the pivot. What passes the length, positional and suffix
-       filters is verified once on whole sets, and links are contracted to components.
-    4. Shingles that still meet several components pair all texts of different components; these are filtered and
-       verified alike, so no link between components is lost, and none inside one needs to be made.
+def least_overlap(a, b, num: int, den: int):
+    """Least number of common shingles with which sets of these sizes link: more than which is less than the ratio."""
+    return -(-(a + b) * num // (num + den))
 
-    A group of copies or near copies, whatever its size, thus costs a pair a text. No step gathers rows by a shingle.
-    Null text, empty text and white space have no set and link with nothing. A null id joins the component of its
-    text; it is smallest only where all are null. Rows that repeat are kept. An empty table gives an empty result;
-    other columns are ignored.
-    """
+
+def size_bands(num: int, den: int, most: int = 1 << 31) -> list[int]:
+    """Least sizes of bands: a set links only with sets of its own band and the two beside it."""
+    out = [1]
+    while out[-1] < most and len(out) < 4096:
+        out.append(out[-1] * den // num + 1)
+    return out
+
+
+def _found(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """``_id, k1, k2, n_shingles`` of all rows, and ``k1, k2, root`` of the texts that link with others."""
     ship(docs.sparkSession)
     spark = docs.sparkSession
     num, den = percent, 100
     kind = dict(docs.dtypes)[id_col]
-    folded = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
-    keyed = docs.select(F.col(id_col).alias("_id"), *text_key(folded), folded.alias("_text"))
+    bands = size_bands(num, den)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    keyed = docs.select(F.col(id_col).alias("_id"), *text_key(text), text.alias("_text"))
 
     def local_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """What occurs in several different texts of a run of rows: shingles (kind 0) and words (1); 2 has the words' number."""
@@ -163,12 +171,7 @@ def jaccard_classes(
             yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.array([0], pa.int64()), pa.array([sum(map(len, words))], pa.int64())], names=["kind", "v", "n"])
 
         for batch in batches:
-            fresh = np.zeros(len(batch), bool)
-            for i, key in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                if key not in seen:
-                    seen.add(key)
-                    fresh[i] = True
-            column = batch.column(2).filter(pa.array(fresh))
+            column = batch.column(2).filter(pa.array(_first_seen(batch, seen)))
             for a, b in K.slices(column):
                 s = Shingles(column.slice(a, b - a), width)
                 shingles.append(s.v)
@@ -197,110 +200,239 @@ def jaccard_classes(
 
     prefix = keyed.select("k1", "_text").mapInArrow(emit_prefixes, "v long, k1 long")
     shared = prefix.groupBy("v").agg(F.min("k1").alias("a"), F.max("k1").alias("b")).where("a <> b")
-    bitmap = spark.sparkContext.broadcast(hash_filter(shared))
+    repeated = spark.sparkContext.broadcast(hash_filter(shared))
 
     def sized_and_partnered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sizes of all sets, and the texts of those that may have a partner."""
-        for batch in batches:
-            column = batch.column(3)
-            for a, b in K.slices(column):
-                part = column.slice(a, b - a)
-                s = Shingles(part, width, order.value)
-                at, _ = s.prefixes(num, den)
-                some = np.zeros(b - a, bool)
-                some[s.row[at][bitmap.value(s.v[at])]] = True
-                text = part.take(pa.array(np.arange(b - a), mask=~some))
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(3)), pa.array(s.size.astype(np.int64)), text], names=["_id", "k1", "k2", "n_shingles", "_text"])
-
-    sized = materialise(keyed.mapInArrow(sized_and_partnered, f"_id {kind}, k1 long, k2 long, n_shingles long, _text string"), "join-sizes")
-    classes = sized.where("_text is not null").groupBy("k1", "k2").agg(F.first("_text").alias("_text"))
-    classes = materialise(classes.withColumn("node", F.monotonically_increasing_id()), "join-texts")
-
-    sketch = [f"s{i}" for i in range(SKETCH)]
-
-    def emit_postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sizes of all sets; of texts that may have a partner the prefix shingles that may be shared, once a run of rows."""
+        names = ["_id", "k1", "k2", "n_shingles", "band", "hits", "places", "ranges", "odd"]
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
-            node, column = batch.column(0).to_numpy(), batch.column(1)
-            for a, b in K.slices(column):
-                s = Shingles(column.slice(a, b - a), width, order.value)
+            fresh = _first_seen(batch, seen, 1)
+            if len(seen) > 1 << 20:
+                seen.clear()
+            for a, b in K.slices(batch.column(3)):
+                s = Shingles(batch.column(3).slice(a, b - a), width, order.value)
                 at, place = s.prefixes(num, den)
-                hit = bitmap.value(s.v[at])
+                hit = repeated.value(s.v[at]) & fresh[a:b][s.row[at]]
                 at, place = at[hit], place[hit]
-                row = s.row[at]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(s.v[at].view(np.int64)), pa.array(node[a:b][row]), pa.array(s.size[row].astype(np.int32)), pa.array(place.astype(np.int32)), *(pa.array(x[row].view(np.int64)) for x in s.sketches())],
-                    names=["v", "node", "size", "place", *sketch],
-                )
-
-    postings = classes.select("node", "_text").mapInArrow(emit_postings, "v long, node long, size int, place int, " + ", ".join(f"{x} long" for x in sketch))
-    postings = materialise(postings, "join-postings")
-
-    def emit_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                first = np.searchsorted(s.row[at], np.arange(b - a + 1))
+                none = np.diff(first) == 0
+                edge = pa.array(first.astype(np.int32), mask=np.append(none, False))
+                lists = [pa.ListArray.from_arrays(edge, pa.array(x)) for x in (s.v[at].view(np.int64), place.astype(np.int32))]
+                ranges = pa.array([None if x else r for x, r in zip(none.tolist(), s.ranges(), strict=True)], pa.binary())
+                eight = pa.array(np.arange(b - a + 1, dtype=np.int32) * ODD, mask=np.append(none, False))
+                odd = pa.ListArray.from_arrays(eight, pa.array(s.odd().view(np.int64).ravel()))
+                band = pa.array(np.searchsorted(bands, s.size, "right").astype(np.int32))
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(3)), pa.array(s.size.astype(np.int64)), band, *lists, ranges, odd], names=names)
+
+    schema = f"_id {kind}, k1 long, k2 long, n_shingles long, band int, hits array<long>, places array<int>, ranges binary, odd array<long>"
+    sized = materialise(keyed.mapInArrow(sized_and_partnered, schema), "join-sizes")
+    classes = sized.where("hits is not null").select("k1", "k2", F.col("n_shingles").cast("int").alias("size"), "band", "hits", "places", "ranges", "odd").dropDuplicates(["k1", "k2"])
+    classes = materialise(classes.withColumn("node", F.monotonically_increasing_id()), "join-classes")
+
+    # The pivot of a shingle is the text most of whose prefix is shared: what near copies were made from rather than one
+    # of them, as they may be near to it and not to each other.
+    length = F.col("size") - F.ceil(F.col("size") * num / F.lit(den)) + 1
+    weight = (F.size("hits") * 1000 / length).cast("int")
+    posting = ["v", "node", "size", "place", "before", "band"]
+    listed = F.posexplode(F.arrays_zip(F.col("hits").alias("v"), F.col("places").alias("place"))).alias("before", "hit")
+    postings = classes.select("node", "size", "band", weight.alias("weight"), listed).select("node", "size", "band", "weight", "before", "hit.v", "hit.place")
+    pivots = postings.groupBy("v").agg(F.max(F.struct("weight", "node", "size", "place", "before")).alias("p"), F.count("*").alias("n")).where("n > 1")
+    pivots = materialise(pivots.select("v", "n", "p.node", "p.size", "p.place", "p.before"), "join-pivots")
+    lists = postings.alias("p").join(pivots.alias("q"), "v").where("p.node <> q.node")
+    near = _may_link("p", "q", num, den)
+    other = F.when(near, F.col("q.node")).alias("pivot")
+    lists = materialise(lists.where(near | F.expr("q.n > 2")).select("v", "p.node", "p.size", "p.place", "p.before", "p.band", "q.n", other), "join-lists")
+
+    features = classes.select("node", "k1", "k2", "size", "ranges")
+
+    def suffix_filter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, column = batch.column(0), batch.column(1)
-            for a, b in K.slices(column):
-                s = Shingles(column.slice(a, b - a), width)
-                yield pa.RecordBatch.from_arrays([node.slice(a, b - a), pa.ListArray.from_arrays(pa.array(s.first.astype(np.int32)), pa.array(s.v.view(np.int64)))], names=["node", "set"])
+            x, y = batch.column("x").to_pylist(), batch.column("y").to_pylist()
+            need = least_overlap(batch.column("a_size").to_numpy().astype(np.int64), batch.column("b_size").to_numpy(), num, den)
+            keep = [most_common(p, q) >= n for p, q, n in zip(x, y, need.tolist(), strict=True)]
+            yield batch.select(["a", "a1", "a2", "b", "b1", "b2"]).filter(pa.array(keep, pa.bool_()))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by pivot and part, the pivot first; its set is held until the next one's."""
+        held = np.empty(0, np.uint64)
+        for batch in batches:
+            b, pivot, node, column = batch.column(0), batch.column(1).to_pylist(), batch.column(2), batch.column(3)
+            linked = np.zeros(len(batch), bool)
+            for low, high in K.slices(column):
+                s = Shingles(column.slice(low, high - low), width)
+                for i in range(high - low):
+                    mine = s.v[s.first[i] : s.first[i + 1]]
+                    if pivot[low + i]:
+                        held = mine.copy()
+                    elif len(held) and len(mine):
+                        common = int((held[np.minimum(np.searchsorted(held, mine), len(held) - 1)] == mine).sum())
+                        linked[low + i] = common * den >= num * (len(held) + len(mine) - common)
+            yield pa.RecordBatch.from_arrays([node, b], names=["a", "b"]).filter(pa.array(linked))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """The links among distinct candidate pairs ``a, b``."""
-        left = materialise(pairs, "join-pairs")
-        nodes = left.select(F.col("a").alias("node")).union(left.select("b")).distinct()
-        needed = classes.join(nodes, "node", "left_semi").select("node", "_text")
-        sets = materialise(needed.mapInArrow(emit_sets, "node long, set array<long>"), "join-sets")
-        whole = left.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
-        common = F.size(F.array_intersect("x", "y"))
-        links = materialise(whole.where(common * den >= num * (F.size("x") + F.size("y") - common)).select("a", "b"), "join-links")
-        discard(left, sets)
+        """The links among distinct candidate pairs ``a, b``; each pair is verified once, on whole sets."""
+        pairs = materialise(pairs, "join-pairs")
+        left, right = (features.select(*[F.col(c).alias(n) for c, n in zip(features.columns, names, strict=True)]) for names in (("a", "a1", "a2", "a_size", "x"), ("b", "b1", "b2", "b_size", "y")))
+        both = pairs.join(left, "a").join(right, "b").select("a", "a1", "a2", "a_size", "x", "b", "b1", "b2", "b_size", "y")
+        likely = materialise(both.mapInArrow(suffix_filter, "a long, a1 long, a2 long, b long, b1 long, b2 long"), "join-likely")
+        # Texts meet their pivot's in parts, so that a pivot of many texts is verified by many tasks.
+        parts = materialise(likely.groupBy("b").agg(F.ceil(F.count("*") / PER_PIVOT).alias("parts")), "join-parts")
+        dealt = likely.join(parts, "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")))
+        members = dealt.select(F.col("a1").alias("k1"), F.col("a2").alias("k2"), "b", "part", F.lit(False).alias("pivot"), F.col("a").alias("node"))
+        heads = dealt.select(F.col("b1").alias("k1"), F.col("b2").alias("k2"), "b", "part", F.lit(True).alias("pivot"), F.col("b").alias("node")).distinct()
+        ends = materialise(members.unionByName(heads), "join-ends")
+        needed = spark.sparkContext.broadcast(hash_filter(ends.select(F.col("k1").alias("v")).distinct()))
+
+        def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: set[tuple[int, int]] = set()
+            for batch in batches:
+                batch = batch.filter(pa.array(needed.value(batch.column(0).to_numpy().view(np.uint64))))
+                if len(seen) > 1 << 20:
+                    seen.clear()
+                yield batch.filter(pa.array(_first_seen(batch, seen)))
+
+        texts = keyed.select("k1", "k2", "_text").mapInArrow(wanted, "k1 long, k2 long, _text string")
+        # Only rows whose text is asked for are shuffled, and once more to where their pivots are.
+        texts = texts.groupBy("k1", "k2").agg(F.first("_text").alias("_text"))
+        rows = ends.join(texts, ["k1", "k2"]).select("b", "pivot", "node", "_text", "part")
+        rows = rows.repartition("b", "part").sortWithinPartitions("b", "part", F.desc("pivot"), "node").drop("part")
+        links = materialise(rows.mapInArrow(verify, "a long, b long"), "join-links")
+        discard(pairs, likely, parts, ends)
         return links
 
-    def may_link(a: str, b: str) -> Column:
-        """Length, positional and suffix filters on two postings of one shingle."""
-        low, high = F.least(f"{a}.size", f"{b}.size"), F.greatest(f"{a}.size", f"{b}.size")
-        most = F.least(F.col(f"{a}.size") - F.col(f"{a}.place"), F.col(f"{b}.size") - F.col(f"{b}.place"))
-        # Shingles before these places in both orders may be shared, too.
-        before = F.least(f"{a}.place", f"{b}.place")
-        need = overlap(low, high, num, den)
-        # Each shingle that only one set holds flips one bit: sets differ by as many as their sketches do, at least.
-        apart = F.lit(0)
-        for x in sketch:
-            apart = apart + F.bit_count(F.col(f"{a}.{x}").bitwiseXOR(F.col(f"{b}.{x}")))
-        return (low * den >= high * num) & (most + before >= need) & (apart <= low + high - 2 * need)
-
-    posting = ["v", "node", "size", "place", *sketch]
-    lists = postings.groupBy("v").agg(F.count("*").alias("n")).where("n > 1")
-    several = materialise(postings.join(lists, "v"), "join-lists")
-    discard(postings)
-    # The pivot is the text whose prefix most texts share: what near copies were made from rather than one of them,
-    # as they may be near to it and not to each other.
-    shared_by = several.groupBy("node").agg(F.sum("n").alias("weight"))
-    weighed = materialise(several.select("v", "node").join(shared_by, "node"), "join-weights")
-    pivots = weighed.groupBy("v").agg(F.max(F.struct("weight", "node")).alias("p")).select("v", F.col("p.node").alias("node"))
-    heads = several.join(pivots, ["v", "node"]).select(*posting)
-    paired = several.alias("p").join(heads.alias("q"), "v").where((F.col("p.node") != F.col("q.node")) & may_link("p", "q"))
-    links = verified(paired.select(F.greatest("p.node", "q.node").alias("a"), F.least("p.node", "q.node").alias("b")).distinct())
-    discard(weighed)
-
+    # Each pair once, turned so that a pivot comes second.
+    ends = [F.greatest("node", "pivot").alias("high"), F.least("node", "pivot").alias("low")]
+    pairs = lists.where("pivot is not null").groupBy(*ends).agg(F.max("pivot").alias("b"))
+    links = verified(pairs.select((F.col("high") + F.col("low") - F.col("b")).alias("a"), "b"))
     roots = components(links)
-    named = several.select(*posting).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    # What a pivot leaves: shingles whose other texts are of several components. Two of them are compared if their bands
+    # of sizes meet: the larger one also stands in the band below its own. As many near copies may meet here that are
+    # near to none of them, the suffix filter is part of the join: sets differ by one at least in each range in which
+    # only one of them has an odd number.
+    named = lists.where("n > 2").select(*posting).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = named.groupBy("v").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("v")
-    open_ = materialise(named.join(mixed, "v", "left_semi"), "join-open")
-    rest = open_.alias("p").join(open_.alias("q"), "v").where((F.col("p.node") > F.col("q.node")) & (F.col("p.root") != F.col("q.root")) & may_link("p", "q"))
-    rest = rest.select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct()
-    more = verified(rest)
+    odd = [F.get("odd", F.lit(i)).alias(f"odd{i}") for i in range(ODD)]
+    open_ = materialise(named.join(mixed, "v", "left_semi").join(classes.select("node", *odd), "node"), "join-open")
+    below = open_.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") - 1)))
+    apart = F.lit(0)
+    for i in range(ODD):
+        apart = apart + F.bit_count(F.col(f"p.odd{i}").bitwiseXOR(F.col(f"q.odd{i}")))
+    both = F.col("p.size") + F.col("q.size")
+    near = _may_link("p", "q", num, den) & (apart <= both - 2 * F.ceil(both * num / F.lit(num + den)))
+    once = F.expr("p.root <> q.root and (p.size < q.size or p.size = q.size and p.node < q.node)")
+    rest = open_.alias("p").join(below.alias("q"), ["v", "band"]).where(once & near)
+    more = verified(rest.select(F.greatest("p.node", "q.node").alias("a"), F.least("p.node", "q.node").alias("b")).distinct())
 
     final = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
-    discard(several, open_, links, more, roots)
-    group = classes.select("k1", "k2", "node").join(final, "node", "left").select("k1", "k2", F.coalesce("root", "node").alias("root"))
-
-    # Classes without a partner are components of their own.
-    own = sized.groupBy("k1", "k2").agg(F.min("_id").alias("least"))
-    least = own.join(group, ["k1", "k2"], "left")
-    joint = least.where("root is not null").groupBy("root").agg(F.min("least").alias("joint"))
-    least = least.join(joint, "root", "left").select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), F.coalesce("joint", "least").alias("least"))
-    out = sized.join(least, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")))
-    return out.select(
+    root = final.unionByName(final.select(F.col("root").alias("node"), "root").distinct())
+    linked = materialise(classes.select("node", "k1", "k2").join(root, "node").select("k1", "k2", "root"), "join-linked")
+    discard(classes, pivots, lists, links, open_, more, roots, final)
+    return sized.select("_id", "k1", "k2", "n_shingles"), linked
+
+
+def _first_seen(batch: pa.RecordBatch, seen: set[tuple[int, int]], at: int = 0) -> np.ndarray:
+    """Whether each row's text key, in the columns ``at`` and the next, is new to ``seen``."""
+    out = np.zeros(len(batch), bool)
+    for i, key in enumerate(zip(batch.column(at).to_pylist(), batch.column(at + 1).to_pylist(), strict=True)):
+        if key not in seen:
+            seen.add(key)
+            out[i] = True
+    return out
+
+
+def _may_link(a: str, b: str, num: int, den: int) -> Column:
+    """Length and positional filters on two postings of one shingle.
+
+    Of the shingles before it only those may be shared that stand in several prefixes (``before``): what both sets hold
+    and one of them holds before the shingle is in both prefixes. So edits, which make rare shingles, tell texts apart.
+    """
+    low, high = F.least(f"{a}.size", f"{b}.size"), F.greatest(f"{a}.size", f"{b}.size")
+    most = F.least(F.col(f"{a}.size") - F.col(f"{a}.place"), F.col(f"{b}.size") - F.col(f"{b}.place"))
+    before = F.least(f"{a}.before", f"{b}.before")
+    return (low * den >= high * num) & (most + before >= F.ceil((low + high) * num / F.lit(num + den)))
+
+
+def _with_components(rows: DataFrame, linked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``k1, k2``, ``first``: a text's least id (null ids last) and how many rows repeat that, and ``chosen``: the same of
+    its component, with the text's key behind it; and the table that this reads besides ``rows``."""
+    ids = rows.groupBy("k1", "k2", "_id").agg(F.count("*").alias("n"))
+    own = ids.groupBy("k1", "k2").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), "n")).alias("first"))
+    # Texts without a partner stay out of the join by component: they would all meet in one task.
+    grouped = materialise(linked.join(own, ["k1", "k2"]), "join-grouped")
+    best = materialise(grouped.groupBy("root").agg(F.min(F.struct("first", "k1", "k2")).alias("chosen")), "join-chosen")
+    joint = materialise(grouped.select("k1", "k2", "root").join(best, "root"), "join-joint")
+    discard(grouped, best)
+    return own.join(joint.drop("root"), ["k1", "k2"], "left").withColumn("chosen", F.coalesce("chosen", F.struct("first", "k1", "k2"))), joint
+
+
+def jaccard_classes(
+    docs: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    width: int = 4,
+    percent: int = 85,
+) -> DataFrame:
+    """Link texts whose sets of ``width``-word shingles have a Jaccard similarity of ``percent`` / 100 or more.
+
+    Words are split at space and the ASCII controls 9 to 13, A-Z count as a-z. Returns one row per document: id,
+    ``n_shingles`` (size of its set) and ``component_id`` (the smallest id that links reach, its own included).
+
+    1. Shingles are ordered by frequency, rarest first: as counted for the ``HEAVY`` most frequent of those that tasks
+       see repeat, as expected from their words' counts for all others. Two linked sets share a shingle of their
+       prefixes.
+    2. Prefix shingles are counted by text in one pre-aggregated shuffle. A filter of bounded size of those in several
+       texts leaves few; equal texts become one class, a row with those shingles and their places.
+    3. Each prefix shingle pairs its texts with one of them, the pivot, by length and positional filter. Distinct pairs
+       meet the suffix filter: sets are cut at fixed places of the hash, and two of them share no more in a range than
+       the smaller count there. What is left is verified once on whole sets, and links become components.
+    4. Shingles whose other texts still belong to several components pair these within bands of sizes, filtered and
+       verified alike, so no link between components is lost, and none inside one needs to be made. There a shingle of
+       n texts that are near to none of each other costs n * n comparisons of some 100 bytes in the join, without rows.
+
+    A group of copies or near copies, whatever its size, thus costs a pair a text. No step gathers rows by a shingle.
+    Null text, empty text and white space have no set and link with nothing. A null id joins the component of its
+    text; it is smallest only where all are null. Rows that repeat are kept. An empty table gives an empty result;
+    other columns are ignored.
+    """
+    rows, linked = _found(docs, id_col, text_col, width, percent)
+    own, joint = _with_components(rows, linked)
+    own = materialise(own.select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), F.col("chosen.first.id").alias("least")), "join-least")
+    out = rows.join(own, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2"))).select(
         F.col("_id").alias(id_col),
         "n_shingles",
         F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("_id")).alias("component_id"),
     )
+    out = materialise(out, "join-result")
+    discard(rows, linked, joint, own)
+    return out
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of each component of :func:`jaccard_classes`, and all rows without a word.
+
+    The row with the smallest id stays, null ids last; of rows that share id and text, one of them, whichever. All
+    columns stay as they are.
+    """
+    rows, linked = _found(docs, id_col, text_col, width, percent)
+    own, joint = _with_components(rows, linked)
+    # A row goes unless it has the chosen text and id; what repeats both is kept once below.
+    chosen = own.select(F.col("k1").alias("s1"), F.col("k2").alias("s2"), "chosen")
+    told = rows.where("n_shingles > 0").join(chosen, (F.col("k1") == F.col("s1")) & (F.col("k2") == F.col("s2")))
+    is_it = F.expr("k1 = chosen.k1 and k2 = chosen.k2 and _id <=> chosen.first.id")
+    told = told.select("_id", "k1", "k2", is_it.alias("again"), F.col("chosen.first.n").alias("n")).where("not again or n > 1").drop("n").distinct()
+    told = materialise(told, "join-gone")
+    discard(rows, linked, joint)
+    k1, k2, l1, l2, lid = (free_name(docs, x) for x in ("_k1", "_k2", "_l1", "_l2", "_lid"))
+    key = text_key(F.coalesce(F.col(text_col), F.lit("")))
+    keyed = docs.withColumns({k1: key[0], k2: key[1]})
+    same = (F.col(k1) == F.col(l1)) & (F.col(k2) == F.col(l2)) & F.col(id_col).eqNullSafe(F.col(lid))
+    listed = told.select(F.col("_id").alias(lid), F.col("k1").alias(l1), F.col("k2").alias(l2), "again")
+    out = keyed.join(listed.drop("again"), same, "left_anti").select(*docs.columns)
+    again = listed.where("again").drop("again")
+    if again.isEmpty():
+        return out
+    some = keyed.join(again, same, "left_semi")
+    return out.unionByName(some.dropDuplicates([id_col, k1, k2]).select(*docs.columns))

@@ -158,6 +158,47 @@ def test_jaccard_of_a_large_group(spark):
 
 def test_jaccard_of_nothing(none):
     assert jaccard.jaccard_classes(none).collect() == []
+    assert jaccard.keep_one(none).collect() == []
+
+
+def test_one_row_of_each_component_stays(docs):
+    """Null ids and rows that repeat id and text are copies too; texts without a word all stay."""
+    rows, df = docs
+    rows = [*rows, (None, "a text of its own without an id", "a", 1, 0.5, "x"), (None, "a text of its own without an id", "b", 1, 0.5, "x")]
+    df = df.sparkSession.createDataFrame(rows, DOCS).withColumn("_k1", F.lit(1)).repartition(3)
+    sets = [shingles(r[1], 5) for r in rows]
+    links = [(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    group = least_reachable(len(rows), links, list(range(len(rows))))
+    got = jaccard.keep_one(df)
+    assert got.columns == df.columns
+    stayed = [(r.doc_id, r.text) for r in got.collect()]
+    want: dict = {}
+    for r, g, s in zip(rows, group, sets):
+        if s:
+            want[g] = min(want.get(g, r[0]), r[0], key=lambda x: (x is None, x or 0))
+    assert sorted(map(str, (x for x, t in stayed if shingles(t, 5)))) == sorted(map(str, want.values()))
+    assert sum(not shingles(t, 5) for _, t in stayed) == sum(not s for s in sets)
+
+
+def test_filters_keep_what_links():
+    """The suffix filter's bounds never fall below what sets share, whatever their sizes; bands of sizes meet."""
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(900)]
+    texts = [" ".join(base[a : a + n] + [f"x{k}_{i}" for i in range(m)]) for k, (a, n, m) in enumerate((rng.randint(0, 300), rng.randint(1, 600), rng.randint(0, 40)) for _ in range(40))]
+    s = jaccard.Shingles(pa.array(texts), 4)
+    sets, ranges, odd = [set(s.v[a:b].tolist()) for a, b in zip(s.first, s.first[1:])], s.ranges(), s.odd()
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        common = len(sets[i] & sets[j])
+        assert jaccard.most_common(ranges[i], ranges[j]) >= common
+        assert sum(int(x).bit_count() for x in odd[i] ^ odd[j]) <= len(sets[i]) + len(sets[j]) - 2 * common
+    assert jaccard.most_common(b"", ranges[0]) > 1 << 60
+    for num in (85, 80, 30, 100):
+        bands = jaccard.size_bands(num, 100)
+        for size in range(1, 3000):
+            a, b = np.searchsorted(bands, [size, size * 100 // num], "right")
+            assert b - a <= 1
 
 
 def test_embeddings(spark):
