@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +17,8 @@ from .common import WORD, HashFilter, hash_filter, materialise, text_key
 #: Words of an anchor: the run of the smallest hash in a window.
 ANCHOR = 16
 _MOST = np.uint64(2**64 - 1)
+#: Bytes of text that a Python worker takes at a time (or one whole text): its arrays hold some 30 times as many.
+SLICE = 1 << 20
 
 
 class Windows:
@@ -58,6 +61,29 @@ class Windows:
         return np.searchsorted(self.first, places, "right") - 1
 
 
+def _kept(w: Windows, gone: np.ndarray, lost: np.ndarray) -> pa.Array:
+    """The words that stay, joined by one space; null for rows that lose nothing."""
+    out: list[bytes | None] = [None] * len(lost)
+    for i in np.flatnonzero(lost).tolist():
+        places = np.flatnonzero(~gone[w.first[i] : w.first[i + 1]]) + w.first[i]
+        out[i] = b" ".join(bytes(w.data[s:e]) for s, e in zip(w.starts[places].tolist(), w.ends[places].tolist(), strict=True))
+    return pa.array(out, pa.binary()).cast(pa.string())
+
+
+def _intervals(w: Windows, gone: np.ndarray) -> pa.Array:
+    """For each row the maximal runs of its words that go, as places in the row, end exclusive."""
+    begins, ends = gone.copy(), gone.copy()
+    begins[1:] &= ~gone[:-1]
+    ends[:-1] &= ~gone[1:]
+    edge = w.first[1:-1][(w.first[1:-1] > 0) & (w.first[1:-1] < len(gone))]
+    begins[edge] |= gone[edge]
+    ends[edge - 1] |= gone[edge - 1]
+    start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    row = w.row_of(start)
+    runs = pa.StructArray.from_arrays([pa.array((x - w.first[row]).astype(np.int32)) for x in (start, end)], names=["start", "end"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(w.first))).astype(np.int32)), runs)
+
+
 def _long(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64), pa.int64())
 
@@ -89,7 +115,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     def emit_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k1, column = batch.column(0).to_numpy(), batch.column(1)
-            for a, b in K.slices(column):
+            for a, b in K.slices(column, SLICE):
                 w = Windows(column.slice(a, b - a), width)
                 at = w.anchors()
                 row, v = w.row_of(at), w.runs[at]
@@ -108,7 +134,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(2)
-            for a, b in K.slices(column):
+            for a, b in K.slices(column, SLICE):
                 w = Windows(column.slice(a, b - a), width)
                 found = np.zeros(b - a, bool)
                 found[w.row_of(w.candidates(bitmap.value))] = True
@@ -121,7 +147,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     def emit_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cid, column = batch.column(0).to_numpy(), batch.column(1)
-            for a, b in K.slices(column):
+            for a, b in K.slices(column, SLICE):
                 w = Windows(column.slice(a, b - a), width)
                 at = w.candidates(bitmap.value)
                 row = w.row_of(at)
@@ -136,32 +162,21 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     single = once.groupBy("cid").agg(F.collect_list("place").alias("single"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
-            column, single = batch.column(2), batch.column(3)
-            for a, b in K.slices(column):
-                w = Windows(column.slice(a, b - a), width)
-                at = w.candidates(bitmap.value)
-                row = w.row_of(at)
-                lone = [(w.first[i] + np.asarray(x, np.int64)) for i, x in enumerate(single.slice(a, b - a).to_pylist()) if x]
-                at = np.setdiff1d(at, np.concatenate(lone)) if lone else at
-                change = np.zeros(len(w.tokens) + 1, np.int32)
-                np.add.at(change, at, 1)
-                np.add.at(change, at + width, -1)
-                gone = np.cumsum(change[:-1]) > 0
-                kept, cuts, lost = [], [], []
-                for i in range(b - a):
-                    f, l = int(w.first[i]), int(w.first[i + 1])
-                    mine = gone[f:l]
-                    places = np.flatnonzero(~mine) + f
-                    kept.append(b" ".join(bytes(w.data[s:e]) for s, e in zip(w.starts[places].tolist(), w.ends[places].tolist(), strict=True)).decode())
-                    edge = np.flatnonzero(np.diff(np.concatenate([[0], mine.view(np.int8), [0]])))
-                    cuts.append([{"start": int(s), "end": int(e)} for s, e in edge.reshape(-1, 2)])
-                    lost.append(int(mine.sum()))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(lost, pa.int64()), pa.array(kept, pa.string()), pa.array(cuts, kind)],
-                    names=["k1", "k2", "lost", "cut_text", "cuts"],
-                )
+            for a, b in K.slices(batch.column(2), SLICE):
+                rows = batch.slice(a, b - a)
+                w = Windows(rows.column(2), width)
+                repeated = np.zeros(len(w.tokens), bool)
+                repeated[w.candidates(bitmap.value)] = True
+                single = rows.column(3)
+                n = pc.fill_null(pc.list_value_length(single), 0).to_numpy()
+                repeated[np.repeat(w.first[:-1], n) + single.flatten().to_numpy()] = False
+                # A word goes if one of the ``width`` windows up to its own place is repeated.
+                total = np.concatenate([np.zeros(width, np.int32), np.cumsum(repeated, dtype=np.int32)])
+                gone = total[width:] > total[:-width]
+                before = np.concatenate([[0], np.cumsum(gone)])
+                lost = before[w.first[1:]] - before[w.first[:-1]]
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(lost, pa.int64()), _kept(w, gone, lost), _intervals(w, gone)], names=["k1", "k2", "lost", "cut_text", "cuts"])
 
     cuts = (
         classes.join(single, "cid", "left")
