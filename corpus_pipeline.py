@@ -32,10 +32,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies; rows that repeat an id stay with it."""
-    found = jaccard.jaccard_classes(docs, width=NEAR_WIDTH, percent=NEAR_PERCENT)
-    gone = materialise(found.where("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near copies: the one with the smallest id, null ids last."""
+    return jaccard.keep_one(docs, width=NEAR_WIDTH, percent=NEAR_PERCENT)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
