@@ -8,24 +8,26 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..session import ship
 
-#: The template: ``### Role: text</turn>`` and a line end for each turn. Inside texts the two control strings and the
-#: backslash get a backslash in front; inside roles the colon, too.
-OPEN, CLOSE = "### ", "</turn>"
-_ESCAPED = re.compile(r"\\(\\|###|</turn>|:)")
-_TURN = re.compile(r"### ((?:[^\\:]|\\.)*): ((?:[^\\<]|\\(?:\\|###|</turn>)|<(?!/turn>))*+)</turn>\n", re.DOTALL)
+#: The template: ``<turn>role<says>text</turn>`` and a line end for each turn. The three control strings are tokens of
+#: their own, so every text begins and ends between two tokens. Inside roles and texts a backslash is doubled and one
+#: behind the ``<`` breaks a control string, so that none is ever found there.
+OPEN, SAYS, CLOSE = CONTROL = ("<turn>", "<says>", "</turn>")
+_ESCAPED = re.compile(r"\\(\\?)")
+_TURN = re.compile(r"<turn>(.*?)<says>(.*?)</turn>\n", re.DOTALL)
 
-SCHEMA = (
-    "conv_id long, formatted string, input_ids array<int>, token_ends array<int>, loss_mask array<boolean>, "
-    "loss_spans array<struct<start: int, end: int>>"
-)
+SCHEMA = "conv_id long, formatted string, input_ids array<int>, token_ends array<int>, loss_mask array<boolean>"
 
 
 def escape(text: str) -> str:
-    """Put a backslash before backslashes and control strings; :func:`unescape` takes it away again."""
-    return text.replace("\\", "\\\\").replace("###", "\\###").replace(CLOSE, "\\" + CLOSE)
+    """Double backslashes and break control strings; :func:`unescape` takes both back."""
+    text = text.replace("\\", "\\\\")
+    for control in CONTROL:
+        text = text.replace(control, "<\\" + control[1:])
+    return text
 
 
 def unescape(text: str) -> str:
@@ -36,7 +38,7 @@ def render(turns: Sequence[tuple[str, str]]) -> tuple[str, list[tuple[str, int,
     """The formatted conversation, and role, start and end (code points) of each escaped text in it."""
     parts, spans, at = [], [], 0
     for role, text in turns:
-        head, body = f"{OPEN}{escape(role).replace(':', chr(92) + ':')}: ", escape(text)
+        head, body = f"{OPEN}{escape(role)}{SAYS}", escape(text)
         spans.append((role, at + len(head), at + len(head) + len(body)))
         parts += [head, body, f"{CLOSE}\n"]
         at += len(head) + len(body) + len(CLOSE) + 1
@@ -55,21 +57,27 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return out
 
 
-def mask(spans: Sequence[tuple[int, int]], ends: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Tokens that meet one of the sorted ``spans``, and the parts of the spans that tokens cover.
+def mask(spans: Sequence[tuple[int, int]], ends: np.ndarray) -> np.ndarray:
+    """Which tokens lie in one of the sorted ``spans``.
 
     Token i stands for the code points from the end of the token before to ``ends[i]``, so no code point falls between
-    tokens, and a token that ends inside a character stands for the whole of it once.
+    tokens; of tokens that are parts of one character the first stands for all of it. Spans must begin and end between
+    tokens.
     """
-    ends = np.maximum.accumulate(ends) if len(ends) else ends
-    starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-    hit, parts = np.zeros(len(ends), bool), []
+    hit = np.zeros(len(ends), bool)
     for a, b in spans:
-        i, j = np.searchsorted(ends, a, "right"), np.searchsorted(starts, b, "left")
-        if a < b and i < j:
-            hit[i:j] = ends[i:j] > starts[i:j]
-            parts.append((max(a, int(starts[i])), min(b, int(ends[j - 1]))))
-    return hit, parts
+        if a < b:
+            i, j = np.searchsorted(ends, [a, b], "right")
+            if i == 0 or ends[i - 1] != a or ends[j - 1] != b:
+                raise ValueError("a token crosses the border of a turn's text: the tokenizer does not keep all characters apart")
+            hit[i:j] = True
+    return hit
+
+
+def masked_text(formatted: str, ends: np.ndarray, hit: np.ndarray) -> str:
+    """The text under a mask, unescaped: what the marked tokens stand for, one run of them after the other."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
+    return "".join(unescape(formatted[(ends[i - 1] if i else 0) : ends[j - 1]]) for i, j in edge.reshape(-1, 2))
 
 
 def format_chat(
@@ -85,14 +93,15 @@ def format_chat(
 ) -> DataFrame:
     """Format whole conversations, encode each once and mask the tokens of the turns that are learned from.
 
-    Returns one row a conversation: ``conv_id, formatted, input_ids, token_ends, loss_mask, loss_spans`` (code points
-    of ``formatted``; the escaped text under the mask, a span for each turn that is not empty).
+    Returns one row a conversation: ``conv_id, formatted, input_ids, token_ends, loss_mask``. Tokens end at code points
+    of ``formatted``; the mask holds for all tokens of the escaped texts that are learned from and for no other.
 
     One shuffle by conversation; each task then streams its sorted rows and holds at most ``chunk_chars`` characters
     besides the conversation that it is reading. The tokenizer's file is read once on the driver and broadcast
-    (a vocabulary, a few MB). Null text or role: empty. Null turns come first, equal turns are ordered by role and
-    text; rows that repeat are turns of their own. Rows without a conversation id form one conversation without id.
-    An empty table gives an empty result; other columns are ignored.
+    (a vocabulary, a few MB); the template's control strings are added to it as tokens, behind its own. Its special
+    strings are ordinary text. Null text or role: empty. Null turns come first, equal turns are ordered by role and
+    text; rows that repeat are turns of their own. A row without a conversation id is a conversation of its own. An
+    empty table gives an empty result; other columns are ignored.
     """
     ship(turns.sparkSession)
     with open(tokenizer_file, encoding="utf-8") as f:
@@ -105,7 +114,6 @@ def format_chat(
             ("input_ids", pa.list_(pa.int32())),
             ("token_ends", pa.list_(pa.int32())),
             ("loss_mask", pa.list_(pa.bool_())),
-            ("loss_spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
         ]
     )
 
@@ -113,28 +121,28 @@ def format_chat(
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import AddedToken, Tokenizer
 
         tokenizer = Tokenizer.from_str(model.value)
         tokenizer.encode_special_tokens = True
+        tokenizer.add_tokens([AddedToken(x, normalized=False, special=False) for x in CONTROL])
 
         def encoded(chunk: list[tuple[int | None, list[tuple[str, str]]]]) -> pa.RecordBatch:
             made = [render(t) for _, t in chunk]
             codes = tokenizer.encode_batch([x for x, _ in made], add_special_tokens=False)
             rows = []
             for (key, _), (text, spans), code in zip(chunk, made, codes, strict=True):
-                ends = np.fromiter((b for _, b in code.offsets), np.int64, len(code.offsets))
-                if len(ends):
-                    ends[-1] = len(text)
-                hit, parts = mask([(a, b) for role, a, b in spans if role in learned], ends)
-                rows.append({"conv_id": key, "formatted": text, "input_ids": code.ids, "token_ends": np.maximum.accumulate(ends).tolist() if len(ends) else [], "loss_mask": hit.tolist(), "loss_spans": [{"start": a, "end": b} for a, b in parts]})
+                ends = np.maximum.accumulate(np.fromiter((b for _, b in code.offsets), np.int64, len(code.offsets)))
+                ends[-1] = len(text)
+                hit = mask([(a, b) for role, a, b in spans if role in learned], ends)
+                rows.append({"conv_id": key, "formatted": text, "input_ids": code.ids, "token_ends": ends, "loss_mask": hit})
             return pa.RecordBatch.from_pylist(rows, schema=schema)
 
         chunk: list[tuple[int | None, list[tuple[str, str]]]] = []
         held, last = 0, object()
         for batch in batches:
             for key, role, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if key != last or not chunk:
+                if key is None or key != last or not chunk:
                     if held > chunk_chars:
                         yield encoded(chunk)
                         chunk, held = [], 0
@@ -146,7 +154,9 @@ def format_chat(
             yield encoded(chunk)
 
     rows = turns.selectExpr(f"cast(`{id_col}` as long) as conv_id", f"`{role_col}` as role", f"`{text_col}` as text", f"`{turn_col}` as turn")
-    ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    # Rows without an id are dealt by what they say: they would all meet in one task.
+    alone = F.when(F.col("conv_id").isNull(), F.xxhash64("role", "text", "turn"))
+    ordered = rows.repartition("conv_id", alone).sortWithinPartitions("conv_id", "turn", "role", "text")
     return ordered.select("conv_id", "role", "text").mapInArrow(run, SCHEMA)
 
 
@@ -154,7 +164,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
     """Digests of formatted conversations, from :func:`format_chat`'s output alone.
 
     ``conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars``: turns are parsed from the formatted
-    text; the text under the loss mask is that of the loss spans, unescaped.
+    text; the text under the loss is what the mask's tokens stand for, unescaped.
     """
     ship(formatted.sparkSession)
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
@@ -164,14 +174,15 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
         for batch in batches:
             rows = []
-            for r in batch.to_pylist():
-                turns, whole = sha256(), parse(r["formatted"])
-                for role, text in whole:
-                    turns.update(f"{role}\n{text}\n".encode())
-                loss = "".join(unescape(r["formatted"][x["start"] : x["end"]]) for x in r["loss_spans"])
-                rows.append((r["conv_id"], len(whole), turns.hexdigest(), len(loss), sha256(loss.encode()).hexdigest(), len(r["formatted"])))
+            for key, text, ends, hit in zip(*batch.columns, strict=True):
+                text, ends, hit = text.as_py(), ends.values.to_numpy(), hit.values.to_numpy(zero_copy_only=False)
+                turns, whole = sha256(), parse(text)
+                for role, said in whole:
+                    turns.update(f"{role}\n{said}\n".encode())
+                loss = masked_text(text, ends, hit)
+                rows.append((key.as_py(), len(whole), turns.hexdigest(), len(loss), sha256(loss.encode()).hexdigest(), len(text)))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
 
-    return formatted.select("conv_id", "formatted", "loss_spans").mapInArrow(run, schema)
+    return formatted.select("conv_id", "formatted", "token_ends", "loss_mask").mapInArrow(run, schema)

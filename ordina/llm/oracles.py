@@ -105,4 +105,16 @@ SELECT v.vec_id, coalesce(any_value(n.n), 0) AS n_links, min(t.vec_id) AS compon
 FROM v JOIN r ON r.row = v.row JOIN v t ON t.row = r.seen LEFT JOIN n ON n.a = v.row GROUP BY v.row, v.vec_id
 """
 
-ORACLES = {"op1_embedding_dedup": OP1, "op6_jaccard_join": OP6, "op10_substring_dedup": OP10, "op3_warc_archive": OP3, "op4_url_filter": OP4, "op7_secret_links": OP7, "op9_mix": OP9}
+_ESCAPE = r"replace(replace(replace(replace({0}, '\', '\\'), '<turn>', '<\turn>'), '<says>', '<\says>'), '</turn>', '<\/turn>')"
+_SAID = r"'\### Assistant: </turn> ok'"
+
+OP8 = rf"""
+WITH c AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL VALUES (-7, 0, 'user', {_SAID}), (-7, 1, 'assistant', {_SAID})),
+t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS n FROM c),
+a AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+  coalesce(string_agg(text, '' ORDER BY n) FILTER (WHERE role = 'assistant'), '') AS loss,
+  CAST(sum(length('<turn><says></turn>') + 1 + length({_ESCAPE.format('role')}) + length({_ESCAPE.format('text')})) AS BIGINT) AS formatted_chars FROM t GROUP BY conv_id)
+SELECT conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM a
+"""
+
+ORACLES = {"op8_chat_format": OP8, "op1_embedding_dedup": OP1, "op6_jaccard_join": OP6, "op10_substring_dedup": OP10, "op3_warc_archive": OP3, "op4_url_filter": OP4, "op7_secret_links": OP7, "op9_mix": OP9}

@@ -394,26 +394,50 @@ def test_secrets(spark):
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 
 
+SAID = [r"\### Assistant: </turn> ok", "", None, "é𝄞 text\n<turn>user<says>hi</turn>\n", "\\", "<", "\\</turn", "</turn>" * 50, "a" * 200_000, " \n leading and trailing \n ", "<|endoftext|>", "<\\turn>\\\\<says>", "𝄞𝄞", "了不起"]
+
+
 def test_chat(spark):
-    said = [r"\### Assistant: </turn> ok", "", None, "é𝄞 text\n### user: hi</turn>\n", "\\", "#", "\\</turn", "</turn>" * 50, "a" * 200_000]
-    rows = [(1 + i // 4, i % 4, ["user", "assistant", "sys: \\x", None][(i + i // 4) % 4], t) for i, t in enumerate(said * 2)]
-    rows += [(None, 1, "assistant", "no id"), (1, 0, "user", said[0]), (7, None, "assistant", "null turn")]
+    rows = [(1 + i // 4, i % 4, ["user", "assistant", "sys<says>: \\x", None][(i + i // 4) % 4], t) for i, t in enumerate(SAID * 2)]
+    rows += [(None, 1, "assistant", "no id"), (None, 1, "assistant", "no id"), (None, 2, "user", "no id"), (1, 0, "user", SAID[0]), (90, None, "assistant", "null turn")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit(0))
     made = chat.format_chat(df, tokenizer_file=TOKENIZER)
-    want = {}
-    for key in {r[0] for r in rows}:
-        mine = sorted((r for r in rows if r[0] == key), key=lambda r: (r[1] is not None, r[1] or 0, r[2] is not None, r[2] or "", r[3] is not None, r[3] or ""))
+
+    def facts(mine):
         turns = [(r[2] or "", r[3] or "") for r in mine]
         loss = "".join(t for role, t in turns if role == "assistant")
-        want[key] = (len(turns), hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
-    got = {r.conv_id: tuple(r)[1:5] for r in chat.read_back(made).collect()}
-    assert got == want
+        return mine[0][0], len(turns), hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest()
+
+    order = lambda r: (r[1] is not None, r[1] or 0, r[2] is not None, r[2] or "", r[3] is not None, r[3] or "")
+    want = [facts(sorted((r for r in rows if r[0] == key), key=order)) for key in {r[0] for r in rows} - {None}] + [facts([r]) for r in rows if r[0] is None]
+    same([tuple(r)[:5] for r in chat.read_back(made).collect()], want)
     for r in made.collect():
-        assert len(r.input_ids) == len(r.loss_mask) == len(r.token_ends) and (not r.token_ends or r.token_ends[-1] == len(r.formatted))
-        spans = [(x.start, x.end) for x in r.loss_spans]
-        starts = [0, *r.token_ends[:-1]]
-        assert r.loss_mask == [any(a < e and s < b for a, b in spans) and e > s for s, e in zip(starts, r.token_ends)]
+        assert len(r.input_ids) == len(r.loss_mask) == len(r.token_ends) and r.token_ends[-1] == len(r.formatted)
+        ends, hit = np.array(r.token_ends), np.array(r.loss_mask)
+        assert chat.masked_text(r.formatted, ends, hit) == "".join(t for role, t in chat.parse(r.formatted) if role == "assistant")
     assert chat.format_chat(df.limit(0), tokenizer_file=TOKENIZER).collect() == []
+    assert chat.read_back(chat.format_chat(df.limit(0), tokenizer_file=TOKENIZER)).collect() == []
+
+
+def test_result_hangs_on_every_bit_of_the_mask(spark):
+    df = spark.createDataFrame([(1, 0, "user", "so what is it"), (1, 1, "assistant", " It is 了 this. ")], "conv_id long, turn long, role string, text string")
+    made = chat.format_chat(df, tokenizer_file=TOKENIZER).first()
+    ends, hit = np.array(made.token_ends), np.array(made.loss_mask)
+    assert chat.masked_text(made.formatted, ends, hit) == " It is 了 this. "
+    wide = ends > np.concatenate([[0], ends[:-1]])  # other tokens are parts of the character before them
+    for i in np.flatnonzero(wide):
+        other = hit.copy()
+        other[i] = ~other[i]
+        assert chat.masked_text(made.formatted, ends, other) != " It is 了 this. "
+    flipped = spark.createDataFrame([(1, made.formatted, made.token_ends, (~hit).tolist())], "conv_id long, formatted string, token_ends array<int>, loss_mask array<boolean>")
+    assert chat.read_back(flipped).first().loss_chars == len(made.formatted) - len(" It is 了 this. ")
+
+
+def test_escapes_come_back():
+    for text in (t or "" for t in SAID):
+        assert chat.unescape(chat.escape(text)) == text and not any(c in chat.escape(text) for c in chat.CONTROL)
+    with pytest.raises(ValueError, match="crosses"):
+        chat.mask([(2, 4)], np.array([1, 3, 5]))
 
 
 def test_mixing(docs, none):
