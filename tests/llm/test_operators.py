@@ -224,6 +224,21 @@ def test_embeddings(spark):
     assert embeddings.near_duplicates(df.limit(0)).collect() == []
 
 
+def test_embeddings_of_many_sizes_and_ties(spark):
+    """90 numbers of dimensions with one pair each; cosines that are the threshold itself, or almost; huge and tiny numbers."""
+    rows = []
+    for n in range(1, 91):
+        x = [float((7 * n + i) % 11 - 5) or 1.0 for i in range(n)]
+        rows += [(len(rows), x, 1), (len(rows) + 1, [2 * v for v in x], 1)]
+    # 3-4-5 and 5-12-13: 0.6 exactly; beside it one that is larger and one that is less.
+    rows += [(500, [3.0, 4.0, 0.0], 2), (501, [5.0, 0.0, 0.0], 2), (502, [1e200, 1e190, 0.0], 3), (503, [1e-200, 0.0, 0.0], 3), (504, [5.0, 0.0, 1e-3], 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r for r in embeddings.near_duplicates(df).collect()}
+    assert all(got[i].n_links == 1 and got[i].component_id == i - i % 2 for i in range(180)) and got[502].n_links == got[503].n_links == 1
+    tied = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(df, threshold=0.6).where("vec_id >= 500").collect()}
+    assert tied == {500: (1, 500), 501: (2, 500), 502: (1, 502), 503: (1, 502), 504: (1, 500)}
+
+
 def test_tiles_stop_early():
     rng = np.random.default_rng(0)
     a = rng.normal(size=(50, 24))
@@ -231,7 +246,8 @@ def test_tiles_stop_early():
     b = np.concatenate([a[:10] + 0.01, rng.normal(size=(30, 24))])
     b /= np.linalg.norm(b, axis=1, keepdims=True)
     axes = np.linalg.qr(rng.normal(size=(24, 24)))[0]
-    i, j = embeddings.linked(a, b, a @ axes, b @ axes, 0.98)
+    i, j, sure = embeddings.near_pairs((a @ axes).astype(np.float32).astype(float), (b @ axes).astype(np.float32).astype(float), 0.98)
+    assert sure.all()
     want = {(x, y) for x, y in zip(*np.nonzero(a @ b.T >= 0.98))}
     assert set(zip(i.tolist(), j.tolist())) == want and len(want) == 10
 
