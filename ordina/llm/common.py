@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,6 +35,11 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def literals(spark: SparkSession, values: Sequence[str], name: str) -> DataFrame:
+    """A list of the driver's strings as a column, from one literal in the plan."""
+    return spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(list(values))), "array<string>")).alias(name))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset (local mode)."""
     context = spark.sparkContext

@@ -5,15 +5,22 @@ from __future__ import annotations
 _WORDS = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
 
 OP3 = """
-WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
-d AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS hex, payload FROM p),
-k AS (SELECT *, min(page_id) OVER (PARTITION BY payload) AS first FROM d)
-SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+WITH p AS (SELECT page_id, url, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (SELECT page_id, url, octet_length(payload) AS payload_bytes, sha1(payload) AS hex, payload FROM p),
+k AS (SELECT *, min(page_id) OVER (PARTITION BY payload) AS first FROM d),
+x AS (SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload, url,
   array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
     1 + CAST((CAST('0x' || substr(hex, CAST(5 * (i // 4) + 1 AS INT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS INT)) & 31 AS INT), 1)), '') AS payload_digest,
   CASE WHEN page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
-  CASE WHEN page_id IS NOT DISTINCT FROM first THEN NULL ELSE first END AS refers_to
-FROM k
+  CASE WHEN page_id IS NOT DISTINCT FROM first THEN NULL ELSE first END AS refers_to FROM k),
+h AS (SELECT *, 'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10) || 'Content-Length: ' || payload_bytes || chr(13) || chr(10) || chr(13) || chr(10) AS http FROM x),
+r AS (SELECT *, encode(array_to_string(list_filter(['WARC/1.1', 'WARC-Type: ' || record_type, 'WARC-Record-ID: <urn:x-page:' || coalesce(CAST(page_id AS VARCHAR), 'null') || '>', 'WARC-Date: 1970-01-01T00:00:00Z',
+    'WARC-Target-URI: ' || regexp_replace(coalesce(url, ''), '[\\x00-\\x20\\x7F]', '%20', 'g'), 'WARC-Payload-Digest: sha1:' || payload_digest,
+    CASE WHEN record_type = 'revisit' THEN 'WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest' END,
+    CASE WHEN record_type = 'revisit' THEN 'WARC-Refers-To: <urn:x-page:' || refers_to || '>' END, 'Content-Type: application/http; msgtype=response',
+    'Content-Length: ' || (octet_length(encode(http)) + CASE WHEN record_type = 'response' THEN payload_bytes ELSE 0 END), '', http], lambda y: y IS NOT NULL), chr(13) || chr(10))) AS head FROM h),
+w AS (SELECT *, head || CASE WHEN record_type = 'response' THEN payload ELSE encode('') END || encode(chr(13) || chr(10) || chr(13) || chr(10)) AS record FROM r)
+SELECT page_id, payload_bytes, payload_digest, record_type, refers_to, CAST(octet_length(record) AS BIGINT) AS record_bytes, sha256(record) AS record_sha256 FROM w
 """
 
 OP4 = r"""
@@ -50,20 +57,26 @@ FROM p
 OP7 = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 e AS (SELECT *, row_number() OVER () AS row FROM d),
-m AS (
-  SELECT row, 'assign' AS kind, 0 AS rank, regexp_extract_all(text, a) AS hits, regexp_split_to_array(text, a) AS gaps FROM e,
-    (SELECT '(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+' AS a)
-  UNION ALL SELECT row, 'access', 1, regexp_extract_all(text, 'AKIA[A-Z0-9]+'), regexp_split_to_array(text, 'AKIA[A-Z0-9]+') FROM e
-  UNION ALL SELECT row, 'hex', 2, regexp_extract_all(text, '[0-9a-f]+'), regexp_split_to_array(text, '[0-9a-f]+') FROM e),
+p(kind, rank, pattern) AS (VALUES
+  ('assign', 0, '(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+'),
+  ('access', 1, 'AKIA[A-Z0-9]+'), ('hex', 2, '[0-9a-f]+'), ('weak_access', 3, '(?:AKIA|ASIA|ABIA|ACCA)[A-Z0-9]{8,}'),
+  ('endpoint', 5, '(?:https?|wss?|ftp|jdbc:[a-z]+|postgres(?:ql)?|mysql|redis|mongodb|amqp)://[A-Za-z0-9._~:@/-]+')),
+m AS (SELECT row, kind, rank, CASE kind WHEN 'assign' THEN regexp_extract_all(text, (SELECT pattern FROM p WHERE kind = 'assign')) WHEN 'access' THEN regexp_extract_all(text, 'AKIA[A-Z0-9]+')
+    WHEN 'hex' THEN regexp_extract_all(text, '[0-9a-f]+') WHEN 'weak_access' THEN regexp_extract_all(text, '(?:AKIA|ASIA|ABIA|ACCA)[A-Z0-9]{8,}') ELSE regexp_extract_all(text, (SELECT pattern FROM p WHERE kind = 'endpoint')) END AS hits,
+  regexp_split_to_array(text, pattern) AS gaps FROM e, p),
 x AS (SELECT row, kind, rank, unnest(hits) AS hit, unnest(list_slice(gaps, 1, len(hits))) AS gap, generate_subscripts(hits, 1) AS i FROM m WHERE len(hits) > 0),
-y AS (SELECT *, sum(length(gap) + length(hit)) OVER (PARTITION BY row, kind ORDER BY i) AS stop FROM x),
-z AS (SELECT row, kind, rank, CAST(stop - length(hit) AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop FROM y WHERE CASE kind
-  WHEN 'assign' THEN length(regexp_replace(hit, '^[A-Za-z_]+["'']?\x20*[:=]\x20*["'']?', '')) >= 12
-  WHEN 'access' THEN length(hit) >= 18 ELSE length(hit) >= 16 END),
+y AS (SELECT *, sum(length(gap) + length(hit)) OVER (PARTITION BY row, kind ORDER BY i) AS stop, length(regexp_replace(hit, '^[A-Za-z_]+["'']?\x20*[:=]\x20*["'']?', '')) AS value FROM x),
+s AS (SELECT row, CASE WHEN kind = 'assign' AND value < 12 THEN 'weak_secret' ELSE kind END AS kind, CASE WHEN kind = 'assign' AND value < 12 THEN 4 ELSE rank END AS rank,
+    CAST(stop - length(hit) AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop FROM y
+  WHERE CASE kind WHEN 'assign' THEN value >= 6 WHEN 'access' THEN length(hit) >= 18 WHEN 'hex' THEN length(hit) >= 16
+    WHEN 'weak_access' THEN length(hit) < 18 OR NOT starts_with(hit, 'AKIA') ELSE true END),
+r AS (SELECT *, CASE WHEN kind IN ('assign', 'hex', 'weak_secret') THEN 'secret' WHEN kind IN ('access', 'weak_access') THEN 'access' ELSE 'endpoint' END AS role FROM s),
+k AS (SELECT *, kind IN ('assign', 'access', 'hex') AS base FROM r WHERE kind IN ('assign', 'access', 'hex') OR EXISTS (SELECT 1 FROM r q WHERE q.row = r.row AND q.start <= r.stop + 400 AND q.stop >= r.start - 400
+  AND CASE r.kind WHEN 'weak_secret' THEN q.role IN ('access', 'endpoint') ELSE q.role = 'secret' END)),
 g AS (SELECT row, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex,
-  string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS joined FROM z GROUP BY row)
+  string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (WHERE base) AS based, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank, stop) AS joined FROM k GROUP BY row)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
-  sha256(coalesce(joined, '')) AS base_sha256, coalesce(joined, '') AS spans
+  sha256(coalesce(based, '')) AS base_sha256, coalesce(joined, '') AS spans
 FROM e LEFT JOIN g USING (row)
 """
 

@@ -33,8 +33,8 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_table(spark, "archive")
     warc.write_archive(table(spark, sf_dir, "pages"), path)
-    read = warc.read_archive(spark, path, payloads=False)
-    return read.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+    read = warc.original_records(warc.read_archive(spark, path))
+    return read.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", F.octet_length("record").cast("long").alias("record_bytes"), F.sha2("record", 256).alias("record_sha256"))
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

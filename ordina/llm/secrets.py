@@ -21,30 +21,46 @@ ENDPOINT = r"(?:https?|wss?|ftp|jdbc:[a-z]+|postgres(?:ql)?|mysql|redis|mongodb|
 PARTNERS = {"weak_access": ("secret",), "weak_secret": ("access", "endpoint"), "endpoint": ("secret",)}
 
 
-def _matches(text: Column, pattern: str) -> Column:
-    """Leftmost non-overlapping matches as structs start, end (code points), text.
+#: Matches that are folded at a time: a text's matches are walked in two levels, so that no long array is copied for each.
+CHUNK = 64
 
-    Splitting by the pattern gives the gaps, extracting gives the matches: running lengths give the places.
+
+def _steps(text: Column, pattern: str) -> Column:
+    """Leftmost non-overlapping matches as structs of the gap's length before them and the match.
+
+    Splitting by the pattern gives the gaps, extracting gives the matches.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    step = F.filter(F.arrays_zip(found.alias("hit"), gaps.alias("gap")), lambda x: x["hit"].isNotNull())
-    zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,hit:string>>)").alias("out"))
+    return F.transform(F.filter(F.arrays_zip(found.alias("hit"), gaps.alias("gap")), lambda x: x["hit"].isNotNull()), lambda x: F.struct(F.length(x["gap"]).alias("gap"), x["hit"].alias("hit")))
+
+
+def _matches(steps: str) -> Column:
+    """Structs start, end (code points), hit of the matches in a column of :func:`_steps`: running lengths give the places."""
+    span = "struct<start:int,end:int,hit:string>"
+    none = F.expr(f"cast(array() as array<{span}>)")
+    chunks = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(steps) - 1) / CHUNK), F.lit(0)).cast("int")), lambda c: F.slice(steps, c * CHUNK + 1, F.lit(CHUNK)))
 
     def add(state: Column, x: Column) -> Column:
-        start = state["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("hit")))).alias("out"))
+        begin = state["at"] + x["gap"]
+        end = begin + F.length(x["hit"])
+        return F.struct(end.alias("at"), F.concat(state["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["hit"].alias("hit")))).alias("out"))
+
+    def add_chunk(state: Column, chunk: Column) -> Column:
+        spans = F.aggregate(chunk, F.struct(state["at"].alias("at"), none.alias("out")), add, lambda s: s["out"])
+        length = F.aggregate(chunk, F.lit(0), lambda n, x: n + x["gap"] + F.length(x["hit"]))
+        return F.struct((state["at"] + length).alias("at"), F.concat(state["out"], F.array(spans)).alias("out"))
 
-    return F.aggregate(step, zero, add, lambda s: s["out"])
+    zero = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<array<{span}>>)").alias("out"))
+    return F.flatten(F.aggregate(chunks, zero, add_chunk, lambda s: s["out"]))
 
 
 def _guarded(text: Column, pattern: str, if_any: list[Column]) -> Column:
-    """The pattern's matches, looked for only in texts with one of the strings without which it cannot match."""
+    """The pattern's steps, looked for only in texts with one of the strings without which it cannot match."""
     some = if_any[0]
     for x in if_any[1:]:
         some = some | x
-    return F.when(some, _matches(text, pattern)).otherwise(F.expr("cast(array() as array<struct<start:int,end:int,hit:string>>)"))
+    return F.when(some, _steps(text, pattern)).otherwise(F.expr("cast(array() as array<struct<gap:int,hit:string>>)"))
 
 
 def _value(hit: Column) -> Column:
@@ -91,10 +107,11 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         _guarded(F.col("_text"), ASSIGN, [F.contains(F.lower("_text"), F.lit(x)) for x in ("password", "passwd", "secret", "token", "apikey", "api_key")]).alias("assign"),
         _guarded(F.col("_text"), ACCESS, [F.contains("_text", F.lit("AKIA"))]).alias("access"),
         _guarded(F.col("_text"), WEAK_ACCESS, [F.contains("_text", F.lit(x)) for x in ("AKIA", "ASIA", "ABIA", "ACCA")]).alias("ids"),
-        _matches(F.col("_text"), HEX).alias("hex"),
+        _steps(F.col("_text"), HEX).alias("hex"),
         _guarded(F.col("_text"), ENDPOINT, [F.contains("_text", F.lit("://"))]).alias("endpoint"),
         F.sha2("_text", 256).alias("_digest"),
     )
+    rows = rows.withColumns({c: _matches(c) for c in ("assign", "access", "ids", "hex", "endpoint")})
     base = F.concat(
         _spans(F.col("assign"), "assign", lambda x: F.length(_value(x["hit"])) >= LEAST["assign"]),
         _spans(F.col("access"), "access", lambda x: F.length(x["hit"]) >= LEAST["access"]),

@@ -9,12 +9,17 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, discard, materialise
+from .common import ascii_lower, discard, literals, materialise
 
-#: A cascade is part of the plan that every task gets. It takes a few bits for each listed key, whatever the corpus.
+#: A cascade is part of the plan that every task gets. It takes a few bits for each listed key, whatever the corpus. Lists
+#: whose first level would take more are joined instead, with the same results.
 MAX_BITS = 1 << 24
 
 
+class TooLarge(ValueError):
+    """A list whose cascade would pass :data:`MAX_BITS`."""
+
+
 @dataclass(frozen=True)
 class Level:
     """One Bloom filter: ``bits`` positions, ``probes`` hashes, the set positions as 64-bit words."""
@@ -41,7 +46,7 @@ def _level(number: int, keys: DataFrame, n: int, rate: float) -> Level:
     """The Bloom filter of ``n`` distinct keys at a rate of false positives."""
     bits = 64 * max(1, math.ceil(-n * math.log(rate) / math.log(2) ** 2 / 64))
     if bits > MAX_BITS:
-        raise ValueError(f"the filter of {n} keys takes {bits} bits; the bound is {MAX_BITS}: join with the list instead")
+        raise TooLarge(f"the filter of {n} keys takes {bits} bits; the bound is {MAX_BITS}")
     empty = Level(number, bits, max(1, math.ceil(-math.log2(rate))), ())
     at = keys.select(F.explode(F.array(*empty.positions(F.col("key")))).alias("at"))
     one = F.expr("shiftleft(1L, cast(at % 64 as int))")
@@ -140,7 +145,8 @@ def judge_urls(
 
     A rule is a host followed by the start of a path; it fits that host and its subdomains. The longest rule wins. Where
     none fits, a host that is listed in ``blocked_hosts``, or under one that is, is blocked and all others allowed.
-    Three cascades (allowed, blocked, blocked hosts) over the keys of all URLs answer by themselves; no join is made.
+    Three cascades (allowed, blocked, blocked hosts) over the keys of all URLs answer by themselves; no join is made
+    unless a list is so long that its cascade would pass ``MAX_BITS``: then the keys of all three are joined with the lists.
 
     A null URL or one without ``://`` has an empty host and path, which no rule fits. Rows that repeat are judged each;
     a null id stays null; an empty table gives an empty result; other columns are ignored.
@@ -148,28 +154,35 @@ def judge_urls(
     spark = pages.sparkSession
     host, path = host_and_path(F.col(url_col))
     rows = pages.select(F.col(id_col).alias(id_col), host.alias("host"), path.alias("path"))
-
-    def cascade(listed: Sequence[str], keys: Column | None) -> Cascade:
-        if not listed:
-            return Cascade(())
-        return build_cascade(spark.createDataFrame([(x,) for x in listed], "key string"), rows.select(F.explode(keys).alias("key")))
-
     rules = [*allow, *block]
     keys = rule_keys(F.col("host"), F.col("path"), rules) if rules else F.array().cast("array<string>")
     parents = rule_keys(F.col("host"), F.lit(""), blocked_hosts) if blocked_hosts else F.array().cast("array<string>")
-    allowed, blocked, bad = cascade(allow, keys), cascade(block, keys), cascade(blocked_hosts, parents)
 
+    def cascade(listed: Sequence[str], keys: Column) -> Cascade:
+        return build_cascade(literals(spark, listed, "key"), rows.select(F.explode(keys).alias("key"))) if listed else Cascade(())
+
+    try:
+        allowed, blocked, bad = cascade(allow, keys), cascade(block, keys), cascade(blocked_hosts, parents)
+    except TooLarge:
+        return _judge_by_join(rows, id_col, keys, parents, allow, block, blocked_hosts)
     hit = F.transform(keys, lambda k: F.struct(F.length(k).alias("n"), k.alias("rule"), allowed.contains(k).alias("allow"), blocked.contains(k).alias("block")))
     best = F.array_max(F.filter(hit, lambda x: x["allow"] | x["block"]))
-    listed = F.exists(parents, lambda k: bad.contains(k))
-    return (
-        rows.withColumn("_best", best)
-        .withColumn("_bad", listed)
-        .select(
-            id_col,
-            "host",
-            "path",
-            F.col("_best.rule").alias("rule"),
-            F.when(F.coalesce(F.col("_best.allow"), ~F.col("_bad")), "allow").otherwise("block").alias("verdict"),
-        )
-    )
+    return _verdicts(rows.withColumns({"_best": best, "_bad": F.exists(parents, lambda k: bad.contains(k))}), id_col)
+
+
+def _verdicts(judged: DataFrame, id_col: str) -> DataFrame:
+    verdict = F.when(F.coalesce(F.col("_best.allow"), ~F.col("_bad")), "allow").otherwise("block")
+    return judged.select(id_col, "host", "path", F.col("_best.rule").alias("rule"), verdict.alias("verdict"))
+
+
+def _judge_by_join(rows: DataFrame, id_col: str, keys: Column, parents: Column, allow: Sequence[str], block: Sequence[str], hosts: Sequence[str]) -> DataFrame:
+    """The verdicts by joins of the distinct hosts' and paths' keys with the lists, of whatever length."""
+    spark = rows.sparkSession
+    listed = literals(spark, allow, "key").select("key", F.lit("allow").alias("kind")).union(literals(spark, block, "key").select("key", F.lit("block"))).union(literals(spark, hosts, "key").select("key", F.lit("host")))
+    kinds = listed.groupBy("key").agg(F.max(F.col("kind") == "allow").alias("allow"), F.max(F.col("kind") == "block").alias("block"), F.max(F.col("kind") == "host").alias("bad"))
+    asked = F.concat(F.transform(keys, lambda k: F.struct(F.lit(False).alias("parent"), k.alias("key"))), F.transform(parents, lambda k: F.struct(F.lit(True).alias("parent"), k.alias("key"))))
+    places = rows.select("host", "path").distinct()
+    met = places.select("host", "path", F.inline(asked)).join(kinds, "key")
+    rule = F.when(~F.col("parent") & (F.col("allow") | F.col("block")), F.struct(F.length("key").alias("n"), F.col("key").alias("rule"), "allow", "block"))
+    found = met.groupBy("host", "path").agg(F.max(rule).alias("_best"), F.max(F.col("parent") & F.col("bad")).alias("_bad"))
+    return _verdicts(rows.join(found, ["host", "path"], "left").withColumn("_bad", F.coalesce("_bad", F.lit(False))), id_col)

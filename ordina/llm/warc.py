@@ -112,6 +112,6 @@ def _sql(name: str, value: str) -> str:
 
 
 def original_records(archive: DataFrame) -> DataFrame:
-    """``id, record``: the bytes of each record as a plain archive file would hold it; revisits hold no payload."""
+    """``archive`` with ``record``: the bytes of each record as a plain archive file would hold it; revisits hold no payload."""
     body = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
-    return archive.select("id", F.concat("head", body, F.lit(f"{CRLF}{CRLF}".encode())).alias("record"))
+    return archive.withColumn("record", F.concat("head", body, F.lit(f"{CRLF}{CRLF}".encode()))).drop("payload")
