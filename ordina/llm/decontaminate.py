@@ -37,12 +37,15 @@ def template(text: Column) -> Column:
 
     Other words are in lower case. There are as many words as :data:`TOKEN` finds in the text.
     """
-    named = F.regexp_replace(text, r"(?<!\p{L})\p{Lu}\p{L}+", NAME)
+    # Letters beyond the basic plane end in a low surrogate, which is all that a look behind sees of them.
+    named = F.regexp_replace(text, r"(?<![\p{L}\x{DC00}-\x{DFFF}])\p{Lu}\p{L}+", NAME)
     units = "|".join(sorted(UNITS, key=len, reverse=True))
     counted = F.regexp_replace(named, r"[0-9]+(?:[.,][0-9]+)*", NUMBER)
     measured = F.regexp_replace(counted, rf"({NUMBER}[^\p{{L}}{NAME}{NUMBER}]*)(?i:{units})(?!\p{{L}})", f"$1{UNIT}")
     whole = F.when(F.rlike(text, F.lit("[0-9]")), measured).otherwise(named)
-    return F.regexp_extract_all(F.lower(whole), F.lit(rf"[{NAME}{NUMBER}{UNIT}]|\p{{L}}+"), F.lit(0))
+    # The one letter that lower case turns into a letter and a mark, which would cut its word in two.
+    lower = F.lower(F.replace(whole, F.lit("\u0130"), F.lit("i")))
+    return F.regexp_extract_all(lower, F.lit(rf"[{NAME}{NUMBER}{UNIT}]|\p{{L}}+"), F.lit(0))
 
 
 def folded(text: Column) -> Column:

@@ -9,29 +9,38 @@ from pyspark.sql import functions as F
 
 from .common import materialise, word_count
 
-#: Targets are worked out on the driver, one number a source; more sources than this are refused.
-MAX_SOURCES = 1_000_000
 
+def numbered(rows: DataFrame, order: str, name: str) -> DataFrame:
+    """``rows`` as a table, numbered from 0 in ``order``: sorted by range, and counted by task for each task's first number."""
+    at = F.monotonically_increasing_id()
+    found = materialise(rows.orderBy(order).withColumn("_at", at), "mix-order").withColumns({"_task": F.shiftright("_at", 33), "_at": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))})
+    n = found.groupBy("_task").agg(F.count("*").alias("_n"))  # a row a task
+    first = n.select("_task", F.coalesce(F.sum("_n").over(Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_first"))
+    return found.join(first, "_task").withColumn(name, F.col("_first") + F.col("_at")).drop("_task", "_at", "_first")
 
-def targets(sizes: Sequence[int], *, weights: Sequence[float], share: float, cap: float) -> list[float]:
-    """Words to take from each source.
 
-    The sources, in the given order, weigh ``weights`` repeating and share ``share`` times all sizes. None gets more
-    than ``cap`` times its own size; what is above is shared again by weight among the rest until none is above.
+def targets(sizes: DataFrame, *, weights: Sequence[float], share: float, cap: float) -> DataFrame:
+    """``_source, source_size, target`` (words to take) of sources ``_source, n``, however many there are.
+
+    The sources, in order, weigh ``weights`` repeating and share ``share`` times all sizes. None gets more than ``cap``
+    times its own size; what is above is shared again by weight among the rest until none is above: the level is
+    raised by one aggregate a round, until no further source is cut off.
     """
-    weight = [weights[i % len(weights)] for i in range(len(sizes))]
-    order = sorted(range(len(sizes)), key=lambda i: (cap * sizes[i] / weight[i], i))
-    left, load = share * sum(sizes), sum(weight)
-    level = 0.0
-    for i in order:
-        level = left / load
-        if level <= cap * sizes[i] / weight[i]:
+    weight = F.get(F.array(*[F.lit(float(w)) for w in weights]), F.pmod("_i", F.lit(len(weights))).cast("int"))
+    found = materialise(numbered(sizes, "_source", "_i").select("_source", "n", weight.alias("_weight")), "mix-sources")
+    whole = found.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    level, cut = -1.0, -1
+    while True:
+        over = F.col("_weight") * F.lit(level) >= F.lit(float(cap)) * F.col("n")
+        got = found.agg(
+            F.count_if(over).alias("cut"), F.sum(F.when(over, F.lit(float(cap)) * F.col("n")).otherwise(0.0)).alias("given"), F.sum(F.when(over, 0.0).otherwise(F.col("_weight"))).alias("load")
+        ).first()
+        if got.cut == cut or not got.load:
             break
-        left -= cap * sizes[i]
-        load -= weight[i]
-    else:
-        level = float("inf")
-    return [min(w * level, cap * s) if s else 0.0 for s, w in zip(sizes, weight, strict=True)]
+        cut, level = got.cut, (share * whole - got.given) / got.load
+    level = level if got.load else float("inf")
+    goal = F.when(F.col("n") == 0, 0.0).otherwise(F.least(F.col("_weight") * F.lit(level), F.lit(float(cap)) * F.col("n")))
+    return found.select("_source", F.col("n").alias("source_size"), goal.alias("target"))
 
 
 def mix_sources(
@@ -70,14 +79,7 @@ def mix_sources(
     ).withColumn("_range", F.substring("_key", 1, key_digits))
 
     sums = materialise(rows.groupBy("_source", "_range").agg(F.sum("_size").alias("_sum")), "mix-sums")
-    by_source = sums.groupBy("_source").agg(F.sum("_sum").alias("n")).orderBy("_source").limit(MAX_SOURCES + 1).collect()
-    if len(by_source) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    goals = targets([r.n for r in by_source], weights=weights, share=share, cap=cap)
-    plan = docs.sparkSession.createDataFrame(
-        [(r._source, int(r.n), float(t)) for r, t in zip(by_source, goals, strict=True)],
-        "_source string, source_size long, target double",
-    )
+    plan = targets(sums.groupBy("_source").agg(F.sum("_sum").cast("long").alias("n")), weights=weights, share=share, cap=cap)
     before = Window.partitionBy("_source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.withColumn("_offset", F.coalesce(F.sum("_sum").over(before), F.lit(0))).join(plan, "_source").drop("_sum")
 

@@ -287,6 +287,96 @@ def test_one_occurrence_is_enough(spark):
     assert got[1].n_changed == got[2].n_changed == 0 < got[3].n_changed and got[1].share == 1.0
 
 
+def test_words_and_templates_have_the_same_places(spark):
+    """No letter of any script cuts or joins words when it is folded or becomes part of a template."""
+    letters = [chr(c) for c in range(32, 0x30000) if not 0xD800 <= c < 0xE000 and chr(c).isalpha()]
+    texts = [" ".join(f"di{c}yor {c}Ab a{c} 4 {c}km" for c in letters[i : i + 500]) for i in range(0, len(letters), 500)]
+    text = decontaminate.plain(F.col("t"))
+    sizes = [F.size(x) for x in (F.regexp_extract_all(text, F.lit(decontaminate.TOKEN), F.lit(0)), decontaminate.template(text), decontaminate.folded(text))]
+    got = spark.createDataFrame([(t,) for t in [*texts, "diİyor 12 İİ", ""]], "t string").select(F.array(*sizes).alias("n")).collect()
+    assert all(len(set(r.n)) == 1 for r in got) and got[0].n[0] > 2000
+
+
+def _occurrences(text: str, item: str, width: int = 5) -> bool:
+    """Plain-Python decontamination for texts of lower-case words, names and numbers: a consistent run or share at one start."""
+    words = lambda t: re.findall(r"[0-9]+(?:[.,][0-9]+)*|[^\W\d_]+", t)
+    kind = lambda w: "#" if w[0].isdigit() else "@" if len(w) > 1 and w[0].isupper() else w.lower()
+    mine, theirs = words(item), words(text)
+    if len(mine) < width:
+        return any([x.lower() for x in theirs[i : i + len(mine)]] == [x.lower() for x in mine] for i in range(len(theirs) - len(mine) + 1)) and bool(mine)
+    rich = [sum(kind(w) not in "#@" for w in mine[i : i + width]) >= 2 for i in range(len(mine) - width + 1)]
+
+    def one_to_one(pairs: set) -> bool:
+        return len({a for a, _ in pairs}) == len(pairs) == len({b for _, b in pairs})
+
+    def steady(pairs: set) -> bool:
+        a, b = [x for x, _ in pairs], [y for _, y in pairs]
+        single = [a.count(x) == 1 for x in set(a)] + [b.count(y) == 1 for y in set(b)]
+        return sum(single) >= 0.8 * len(single)
+
+    hits: dict = {}
+    for place in range(len(rich)):
+        for i in range(len(theirs) - width + 1):
+            x, y = mine[place : place + width], theirs[i : i + width]
+            pairs = {(p.lower(), q.lower()) for p, q in zip(x, y) if kind(p) in "#@"}
+            typed = rich[place] and list(map(kind, x)) == list(map(kind, y))
+            if (typed or [p.lower() for p in x] == [q.lower() for q in y]) and one_to_one(pairs):
+                hits.setdefault(i - place, {})[place] = pairs
+    half = max(1, len(mine) // 2)
+    groups = [[k] for k in hits] + [[k for k in hits if k // half in (s, s + 1)] for s in range(-2, len(theirs) // half + 2)] + [list(hits)]
+    for group in groups:
+        found = {p for k in group for p in hits[k]}
+        pairs = {x for k in group for p in hits[k].values() for x in p}
+        share = max(sum(rich[p] for p in found) / max(1, sum(rich)), len(found) / len(rich))
+        if found and share >= 0.8 and steady(pairs):
+            return True
+    least = min(3 * width, max(8, -(-2 * len(mine) // 3)))
+    for places in hits.values():
+        runs: list = []
+        for p in sorted(places):
+            if runs and p - runs[-1][-1] <= width:
+                runs[-1].append(p)
+            else:
+                runs.append([p])
+        if any(run[-1] - run[0] + width >= least and steady({x for q in run for x in places[q]}) for run in runs):
+            return True
+    return False
+
+
+def test_decontamination_against_brute_force(spark):
+    """Items whole, cut, edited, with other slots and shared phrases; a very long text; repeated rows."""
+    rng = random.Random(5)
+    plain = ["the", "of", "river", "green", "house", "goes", "walks", "and", "with", "sold", "old", "seven", "red", "many", "how", "per"]
+    names, numbers = ["Anna", "Ben", "Rome", "Oslo"], ["3", "40", "12", "7"]
+    make = lambda n: [rng.choice(rng.choices([plain, names, numbers], [8, 1, 1])[0]) for _ in range(n)]
+    prompt = "answer the following question with one old word".split()
+    items = [prompt + make(rng.randint(12, 30)) for _ in range(12)] + [make(n) for n in (3, 4, 5, 9, 20)]
+    texts = []
+    for k in range(70):
+        item = list(rng.choice(items))
+        how = k % 7
+        if how == 1:
+            item = [rng.choice(names) if w in names else rng.choice(numbers) if w in numbers else w for w in item]
+        elif how == 2:
+            item = item[: max(1, 3 * len(item) // 4)]
+        elif how == 3:
+            item[rng.randrange(len(item))] = "zzz"
+        elif how == 4:
+            item.insert(len(item) // 2, "zzz")
+        elif how == 5:
+            item = prompt + make(20)
+        elif how == 6:
+            item = make(25)
+        texts.append(" ".join(make(rng.randint(0, 12)) + item + make(rng.randint(0, 12))))
+    texts += [" ".join(make(20_000) + items[0]), "", None, texts[0], texts[0]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_contamination(docs, bench).collect()}
+    known = {t: [i for i, x in enumerate(items) if _occurrences(t or "", " ".join(x))] for t in set(texts) if len(t or "") < 50_000}
+    assert {p for p in got if p[0] != 70} == {(d, i) for d, t in enumerate(texts) if d != 70 for i in known[t]} and (70, 0) in got
+    assert len(got) > 40
+
+
 def test_items_in_any_case(spark):
     """Passages in capitals, in lower case and in title case, and items that are so themselves."""
     item = "A train leaves \u0130zmir at 40 km per hour and after 3 hours it meets the Stra\u00dfe train from Paris that left 2 hours later at noon"
@@ -486,6 +576,18 @@ def test_escapes_come_back():
         chat.mask([(2, 4)], np.array([1, 3, 5]))
 
 
+def goals_of(sizes: list[int], weights=(5, 2, 1), share=1.5, cap=2.0) -> list[float]:
+    """Targets by the rule, one source after the other in order of where it is cut off."""
+    weight = [weights[i % len(weights)] for i in range(len(sizes))]
+    left, load, level = share * sum(sizes), sum(weight), float("inf")
+    for i in sorted(range(len(sizes)), key=lambda i: (cap * sizes[i] / weight[i], i)):
+        if left / load <= cap * sizes[i] / weight[i]:
+            level = left / load
+            break
+        left, load = left - cap * sizes[i], load - weight[i]
+    return [min(w * level, cap * s) if s else 0.0 for s, w in zip(sizes, weight)]
+
+
 def test_mixing(docs, none):
     rows, df = docs
     got = mixing.mix_sources(df, keep=["k1"])
@@ -494,16 +596,20 @@ def test_mixing(docs, none):
     assert sorted(map(str, out)) == sorted(map(str, mixing.mix_sources(df.repartition(3), keep=["k1"]).collect()))
     sizes = [len(WORD.findall(r[1] or "")) for r in rows]
     by = {s: sum(n for n, r in zip(sizes, rows) if r[2] == s) for s in ("a", "b", None)}
-    goals = dict(zip(by.values(), mixing.targets(list(by.values()), weights=(5, 2, 1), share=1.5, cap=2.0)))
+    goals = dict(zip(by.values(), goals_of(list(by.values()))))
     assert sum(r.size for r in out) == sum(sizes) and all(0 <= r.taken <= 2 * r.size for r in out)
     for n, goal in goals.items():
         assert sum(r.taken for r in out if r.source_size == n) == int(goal)
     assert mixing.mix_sources(none).collect() == []
 
 
-def test_targets():
-    assert mixing.targets([100, 100, 100], weights=(5, 2, 1), share=1.5, cap=2.0) == [200.0, pytest.approx(166.6667), pytest.approx(83.3333)]
-    assert mixing.targets([], weights=(1,), share=1.5, cap=2.0) == [] and mixing.targets([0, 0], weights=(5, 2), share=1.5, cap=2) == [0.0, 0.0]
+def test_targets(spark):
+    assert goals_of([100, 100, 100]) == [200.0, pytest.approx(166.6667), pytest.approx(83.3333)]
+    rng = random.Random(2)
+    for sizes in ([100, 100, 100], [], [0, 0], [7], [rng.choice([0, 1, 50, 3000, 10**9]) for _ in range(300)]):
+        df = spark.createDataFrame([(f"s{i:04d}", n) for i, n in enumerate(sizes)], "_source string, n long")
+        got = [r.target for r in mixing.targets(df, weights=(5, 2, 1), share=1.5, cap=2.0).orderBy("_source").collect()]
+        assert got == pytest.approx(goals_of(sizes))
 
 
 def test_quality(spark):

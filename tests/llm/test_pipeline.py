@@ -9,10 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from ordina.llm import mixing, quality, secrets
+from ordina.llm import quality, secrets
 from ordina.llm.common import materialise
 
-from .test_operators import WORD, _secret_spans, corpus, least_reachable, shingles
+from .test_operators import WORD, _secret_spans, corpus, goals_of, least_reachable, shingles
 
 ITEM = "the quick brown Fox runs over 12 lazy dogs while Anna sings another very long song about rivers and green hills"
 
@@ -98,7 +98,7 @@ def test_mixing_stage(spark, steps):
     for r in before:
         by[r.source] = by.get(r.source, 0) + len(WORD.findall(r.text or ""))
     names = sorted(by, key=lambda s: (s is None, s or ""))
-    goals = dict(zip(names, mixing.targets([by[s] for s in names], weights=(5, 2, 1), share=1.5, cap=2.0)))
+    goals = dict(zip(names, goals_of([by[s] for s in names])))
     for s in names:
         assert sum(r.taken for r in after if r.source == s) == int(goals[s])
     assert all(0 < r.taken <= 2 * r.size for r in after)
