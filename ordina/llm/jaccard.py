@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import ship
 from . import kernels as K
@@ -430,7 +431,17 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     keyed = docs.withColumns({k1: key[0], k2: key[1]})
     same = (F.col(k1) == F.col(l1)) & (F.col(k2) == F.col(l2)) & F.col(id_col).eqNullSafe(F.col(lid))
     listed = told.select(F.col("_id").alias(lid), F.col("k1").alias(l1), F.col("k2").alias(l2), "again")
-    out = keyed.join(listed.drop("again"), same, "left_anti").select(*docs.columns)
+    # Most rows' texts have no key that is listed, as a filter of bounded size tells; only the others are shuffled.
+    spark, maybe, docs_columns = docs.sparkSession, free_name(docs, "_maybe"), docs.columns
+    keys = spark.sparkContext.broadcast(hash_filter(told.select(F.col("k1").alias("v")).distinct()))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = keys.value(batch.column(len(docs_columns)).to_numpy().view(np.uint64))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], names=[*batch.schema.names, maybe])
+
+    marked = keyed.mapInArrow(mark, T.StructType([*keyed.schema.fields, T.StructField(maybe, T.BooleanType())]))
+    out = marked.where(~F.col(maybe)).unionByName(marked.where(maybe).join(listed.drop("again"), same, "left_anti")).select(*docs_columns)
     again = listed.where("again").drop("again")
     if again.isEmpty():
         return out
