@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import materialise
+
 
 def hash_fraction(key: Column, seed: str) -> Column:
     """A number in [0, 1) from the first 32 bits of sha256(seed:key)."""
@@ -24,22 +26,58 @@ def categorical(key: Column, seed: str, options: Sequence) -> Column:
     return F.get(F.array(*map(F.lit, options)), at)
 
 
+def number_rows(df: DataFrame, *, order: Sequence, name: str) -> DataFrame:
+    """``df`` with the number of each row in a total order, from 1; ties are numbered in any way.
+
+    Rows are sorted by range and written once, so that all that follows sees the same ranges; a count a task gives each
+    range its first number. No task holds more than its range.
+    """
+    at = F.monotonically_increasing_id()  # the task in the upper bits, the row within it in the lower 33
+    table = materialise(df.orderBy(*order).withColumn("_at", at), "numbered").withColumn("_task", F.shiftright("_at", 33))
+    counts = table.groupBy("_task").agg(F.count("*").alias("_rows"))
+    before = F.coalesce(F.sum("_rows").over(Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a task
+    first = counts.select("_task", before.alias("_before"))
+    return table.join(first, "_task").withColumn(name, F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_at", "_task", "_before")
+
+
+def epoch_size(lines: DataFrame, *, first: Column, ratio: float) -> DataFrame:
+    """One row: lines of the first source and of the others, and of an epoch that takes ``ratio`` times as many of the
+    others as there are of the first, or all of them where that is not less."""
+    pools = lines.agg(F.count_if(first).alias("n_first"), F.count_if(~first).alias("n_other"))
+    want = F.bround(F.col("n_first") * F.lit(ratio), 0)
+    return pools.withColumn("epoch", (F.col("n_first") + F.least(want, F.col("n_other"))).cast("long"))
+
+
+def named_split(lines: DataFrame, names: DataFrame, *, key: str = "piece") -> DataFrame:
+    """The lines of the named pieces; refused if a piece has no line."""
+    missing = names.select(key).distinct().join(lines.select(key).distinct(), key, "left_anti")
+    some = [r[0] for r in missing.orderBy(key).limit(3).collect()]
+    if some:
+        raise ValueError(f"{missing.count()} pieces are missing, e.g. {some}")
+    return lines.join(names.select(key).distinct(), key, "left_semi")
+
+
+def option_key(options: str | Column) -> Column:
+    """The identity of a map of options, whatever the order of its entries."""
+    return F.to_json(F.array_sort(F.map_entries(options)))
+
+
 def rank_by_hash(df: DataFrame, *, key: str, seed: str, name: str = "rank") -> DataFrame:
     """Number rows in hash order, from 1.
 
     One number over all rows needs one order. Rows are dealt into ranges of the hash; ranges are numbered by prefix
     sums of their counts, so rows of one range are all that is sorted together.
     """
-    hashed = df.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))).withColumn("_range", F.substring("_h", 1, 2))
+    hashed = df.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))).withColumn("_range", F.substring("_h", 1, 3))
     counts = hashed.groupBy("_range").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # 256 rows at most
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # 4096 rows at most
     within = F.row_number().over(Window.partitionBy("_range").orderBy("_h", key))
     return hashed.join(counts.select("_range", before.alias("_before")), "_range").withColumn(name, (F.col("_before") + within).cast("long")).drop("_h", "_range", "_before")
 
 
 def sample_exact(df: DataFrame, *, key: str, seed: str, n: int) -> DataFrame:
-    """The ``n`` rows that come first in hash order."""
-    return rank_by_hash(df, key=key, seed=seed, name="_rank").where(F.col("_rank") <= n).drop("_rank")
+    """The ``n`` rows that come first in hash order: each task keeps its own first ``n`` only."""
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(n)
 
 
 def split_groups(df: DataFrame, *, group: str, seed: str, share: float = 0.1) -> DataFrame:
@@ -60,21 +98,19 @@ def ratio_mix(first: DataFrame, second: DataFrame, *, key: str, seed: str, ratio
 def shard(df: DataFrame, *, order: Sequence[str], k: int, n: int, limit: int | None = None) -> DataFrame:
     """Of the first ``limit`` rows in order each n-th, from the k-th (from 0): limit first, then stride."""
     kept = df.orderBy(*order).limit(limit) if limit is not None else df
-    return kept.withColumn("_n", F.row_number().over(Window.orderBy(*order))).where(F.pmod(F.col("_n") - 1, F.lit(n)) == k).drop("_n")
+    return number_rows(kept, order=order, name="_n").where(F.pmod(F.col("_n") - 1, F.lit(n)) == k).drop("_n")
 
 
 def evenly_spaced(df: DataFrame, *, order: Sequence[str], k: int) -> DataFrame:
     """``k`` rows at equal distances in order, the first and the last among them."""
-    n = F.count("*").over(Window.partitionBy())
-    at = F.row_number().over(Window.orderBy(*order)) - 1
-    rows = df.withColumns({"_n": n, "_at": at})
-    picks = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.floor(i * (F.col("_n") - 1) / F.lit(max(1, k - 1))))
-    return rows.where(F.array_contains(picks, F.col("_at").cast("long"))).drop("_n", "_at")
+    rows = number_rows(df, order=order, name="_n")
+    n = rows.count()
+    return rows.where((F.col("_n") - 1).isin([i * (n - 1) // max(1, k - 1) for i in range(k)])).drop("_n")
 
 
 def buckets(df: DataFrame, *, order: Sequence[str], size: int, name: str = "batch") -> DataFrame:
     """Number batches of ``size`` rows in order."""
-    return df.withColumn(name, F.floor((F.row_number().over(Window.orderBy(*order)) - 1) / size).cast("long"))
+    return number_rows(df, order=order, name=name).withColumn(name, F.floor((F.col(name) - 1) / size).cast("long"))
 
 
 def stable_key(path: Column, prefix: str = "pdmx_") -> Column:
@@ -95,12 +131,13 @@ def dedup_first(df: DataFrame, *, by: Sequence[str], order: Sequence[str]) -> Da
 def vocabulary(df: DataFrame, *, tokens: str) -> DataFrame:
     """Sorted distinct tokens with their ids from 1. The result is a dictionary: small beside its corpus."""
     distinct = df.select(F.explode(tokens).alias("token")).distinct()
-    return distinct.select("token", F.row_number().over(Window.orderBy("token")).cast("long").alias("id"))
+    return number_rows(distinct, order=["token"], name="id").select("token", "id")
 
 
 def encode(df: DataFrame, vocab: DataFrame, *, token: str, default: int = 1) -> DataFrame:
-    """Ids of tokens; those that the vocabulary lacks get ``default``."""
-    return df.join(vocab.select(F.col("token").alias(token), "id"), token, "left").withColumn("id", F.coalesce("id", F.lit(default)))
+    """Ids of tokens, and whether the vocabulary has them (``known``); those that it lacks get ``default``."""
+    found = df.join(vocab.select(F.col("token").alias(token), "id"), token, "left")
+    return found.withColumns({"known": F.col("id").isNotNull(), "id": F.coalesce("id", F.lit(default))})
 
 
 def take_accepted(df: DataFrame, *, key: str, seed: str, accepted: Column, n: int) -> DataFrame:

@@ -69,10 +69,8 @@ def stable_key(spark, sf):
 
 @query("SELECT name, row_number() OVER (ORDER BY a, b) AS place FROM (SELECT 's' || (s_suppkey % 120) || 'v' || s_suppkey AS name, s_suppkey % 120 AS a, s_suppkey AS b FROM supplier)")
 def natural_sort(spark, sf):
-    from pyspark.sql import Window
-
     names = table(spark, sf, "supplier").select(F.format_string("s%dv%d", F.col("s_suppkey") % 120, "s_suppkey").alias("name"))
-    return names.select("name", F.row_number().over(Window.orderBy(P.natural_key(F.col("name")))).cast("long").alias("place"))
+    return P.number_rows(names, order=[P.natural_key(F.col("name"))], name="place").select("name", "place")
 
 
 @query("SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY ALL")
@@ -96,9 +94,7 @@ def encode_oov(spark, sf):
     vocab = P.vocabulary(docs.where("lang = 'en'").select(F.split("text", " ").alias("tokens")), tokens="tokens")
     rows = docs.select("doc_id", F.explode(F.split("text", " ")).alias("token"))
     coded = P.encode(rows, vocab, token="token", default=1)
-    known = rows.join(vocab, "token", "left_semi").groupBy("doc_id").agg(F.count("*").alias("known"))
-    sums = coded.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("id").alias("id_sum"))
-    return sums.join(known, "doc_id", "left").select("doc_id", "n", F.coalesce("known", F.lit(0)).alias("known"), "id_sum")
+    return coded.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if("known").alias("known"), F.sum("id").alias("id_sum"))
 
 
 @query("SELECT token FROM (SELECT unnest(string_split(text, ' ')) AS token FROM documents WHERE lang = 'fr') EXCEPT SELECT unnest(string_split(text, ' ')) FROM documents WHERE lang = 'en'")
