@@ -74,37 +74,41 @@ def group_systems(ink: np.ndarray, staves: list[dict]) -> list[list[int]]:
     return out
 
 
-def padding(ink: np.ndarray, x0: int, x1: int, start: int, step: int, spacing: float, limit: float | None) -> int:
-    """Rows to add beside a staff: at least 2 and at most 3 spacings (less, if ``limit``), up to a clear gap."""
-    least, most, clear = int(round(2.0 * spacing)), int(round(3.0 * spacing)), max(1, int(round(0.8 * spacing)))
+def clear_rows(inked: np.ndarray, spacing: float, limit: float | None) -> int:
+    """How many rows beside a staff belong to it; ``inked`` tells of the rows from the staff outwards whether they hold ink.
+
+    At least 2 and at most 3 spacings, the latter bounded by ``limit`` and by the page: up to the first gap of 0.8
+    spacings that begins there.
+    """
+    least, most, gap = (int(round(x * spacing)) for x in (2.0, 3.0, 0.8))
     most = max(least, most if limit is None else min(most, int(limit)))
-    empty = 0
-    for pad in range(least, most):
-        y = start + step * (pad + 1)
-        if not 0 <= y < len(ink):
-            return pad
-        empty = 0 if ink[y, x0:x1].any() else empty + 1
-        if empty == clear:
-            return max(least, min(pad - empty + 1, most))
-    return most
+    empty = np.concatenate([[0], np.cumsum(~inked[least:most])])
+    gap = max(1, gap)
+    begins = np.flatnonzero(empty[gap:] - empty[:-gap] == gap) if len(empty) > gap else empty[:0]
+    return least + int(begins[0]) if len(begins) else max(least, min(most, len(inked)))
 
 
 def page_boxes(gray: np.ndarray) -> list[dict]:
     """Crop boxes of all staves of a gray page."""
     ink = gray < INK
     staves = group_staves(line_runs(ink))
-    out = []
-    for number, members in enumerate(group_systems(ink, staves)):
-        rows = ink[staves[members[0]]["top"] : staves[members[-1]]["bottom"] + 1]
-        columns = np.flatnonzero(rows.any(axis=0))
-        x0, x1 = (int(columns[0]), int(columns[-1]) + 1) if len(columns) else (0, ink.shape[1])
-        for voice, k in enumerate(members):
-            s = staves[k]
-            up = (s["top"] - staves[members[voice - 1]]["bottom"]) / 2 if voice else None
-            down = (staves[members[voice + 1]]["top"] - s["bottom"]) / 2 if voice + 1 < len(members) else None
-            pad_up, pad_down = padding(ink, x0, x1, s["top"], -1, s["line_spacing"], up), padding(ink, x0, x1, s["bottom"], 1, s["line_spacing"], down)
-            y0, y1 = max(0, s["top"] - pad_up), min(len(ink), s["bottom"] + pad_down)
-            out.append({"staff": k, "system": number, "voice": voice, "x": x0, "y": y0, "w": x1 - x0, "h": y1 - y0, "line_spacing": s["line_spacing"], "pad_up": pad_up, "pad_down": pad_down})
+    if not staves:
+        return []
+    systems = group_systems(ink, staves)
+    system = np.repeat(np.arange(len(systems)), [len(x) for x in systems])
+    tops, bottoms = (np.array([s[k] for s in staves]) for k in ("top", "bottom"))
+    # Half the gap to the next staff bounds what is added, where that one is of the same system.
+    halves = np.where(system[1:] == system[:-1], (tops[1:] - bottoms[:-1]) / 2, np.nan)
+    first, out = np.searchsorted(system, np.arange(len(systems))), []
+    for k, s in enumerate(staves):
+        members = np.flatnonzero(system == system[k])
+        columns = np.flatnonzero(ink[tops[members[0]] : bottoms[members[-1]] + 1].any(axis=0))
+        left, right = (int(columns[0]), int(columns[-1]) + 1) if len(columns) else (0, ink.shape[1])
+        inked = ink[:, left:right].any(axis=1)
+        sides = ((inked[: tops[k]][::-1], halves[k - 1] if k else np.nan), (inked[bottoms[k] + 1 :], halves[k] if k + 1 < len(staves) else np.nan))
+        up, down = (clear_rows(rows, s["line_spacing"], None if np.isnan(half) else float(half)) for rows, half in sides)
+        y, end = max(0, s["top"] - up), min(len(ink), s["bottom"] + down)
+        out.append({"staff": k, "system": int(system[k]), "voice": int(k - first[system[k]]), "x": left, "y": y, "w": right - left, "h": end - y, "line_spacing": s["line_spacing"], "pad_up": up, "pad_down": down})
     return out
 
 
