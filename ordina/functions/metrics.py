@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,9 +13,18 @@ from pyspark.sql import types as T
 EDITS = T.ArrayType(T.StructType([T.StructField(name, T.StringType()) for name in ("op", "ref", "hyp")]))
 
 
-def as_letters(tokens: Column, vocabulary: Column) -> Column:
-    """A string with one character a token, so that string distance is token distance; vocabularies of up to 50,000 tokens."""
-    return F.array_join(F.transform(tokens, lambda t: F.char(F.lit(48) + F.coalesce(F.array_position(vocabulary, t), F.lit(0)).cast("int"))), "")
+def as_letters(tokens: Column, dictionary: Column) -> Column:
+    """A string with one character a token, so that string distance is token distance.
+
+    Characters are numbered from 256 by a token's place in the dictionary, which must hold all tokens: up to 55,000.
+    """
+    return F.array_join(F.transform(tokens, lambda t: F.decode(F.unhex(F.lpad(F.hex(255 + F.array_position(dictionary, t)), 4, "0")), "UTF-16BE")), "")
+
+
+def token_error_rate(reference: Column, hypothesis: Column) -> Column:
+    """:func:`error_rate` of token arrays; the dictionary is that of the two sequences, so no token is unknown."""
+    dictionary = F.array_distinct(F.concat(reference, hypothesis))
+    return error_rate(as_letters(reference, dictionary), as_letters(hypothesis, dictionary))
 
 
 def error_rate(reference: Column, hypothesis: Column) -> Column:
@@ -25,19 +35,22 @@ def error_rate(reference: Column, hypothesis: Column) -> Column:
 
 def _script(reference: list[str], hypothesis: list[str]) -> list[dict]:
     n, m = len(reference), len(hypothesis)
-    cost = [list(range(m + 1))]
-    for i in range(1, n + 1):
-        row, above = [i], cost[-1]
-        for j in range(1, m + 1):
-            row.append(min(above[j - 1] + (reference[i - 1] != hypothesis[j - 1]), above[j] + 1, row[j - 1] + 1))
-        cost.append(row)
+    code = {t: i for i, t in enumerate({*reference, *hypothesis})}
+    hyp = np.array([code[t] for t in hypothesis], np.int64)
+    at = np.arange(m + 1)
+    cost = np.empty((n + 1, m + 1), np.int64)
+    cost[0] = at
+    for i, token in enumerate(reference, 1):
+        best = cost[i - 1] + 1
+        best[1:] = np.minimum(best[1:], cost[i - 1, :-1] + (hyp != code[token]))
+        cost[i] = np.minimum.accumulate(best - at) + at  # insertions: one more for each place to the right
     out, i, j = [], n, m
     while i or j:
-        if i and j and cost[i][j] == cost[i - 1][j - 1] + (reference[i - 1] != hypothesis[j - 1]):
+        if i and j and cost[i, j] == cost[i - 1, j - 1] + (reference[i - 1] != hypothesis[j - 1]):
             i, j = i - 1, j - 1
             if reference[i] != hypothesis[j]:
                 out.append({"op": "sub", "ref": reference[i], "hyp": hypothesis[j]})
-        elif i and cost[i][j] == cost[i - 1][j] + 1:
+        elif i and cost[i, j] == cost[i - 1, j] + 1:
             i -= 1
             out.append({"op": "del", "ref": reference[i], "hyp": None})
         else:

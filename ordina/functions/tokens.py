@@ -214,11 +214,42 @@ def duration_codes(length: Column, resolution: int = 480, most: int = 4) -> Colu
 
 
 def syllables(text: Column) -> Column:
-    """Words cut at hyphens; the hyphen stays with every syllable that another follows."""
+    """Words cut at hyphens; a hyphen stands on both sides of each cut: ``mei-nes`` gives ``mei-`` and ``-nes``."""
     words = F.filter(F.split(F.trim(text), r"\s+"), lambda w: w != "")
 
     def cut(word: Column) -> Column:
-        parts = F.filter(F.split(word, "-"), lambda p: p != "")
-        return F.transform(parts, lambda p, i: F.when(i < F.size(parts) - 1, F.concat(p, F.lit("-"))).otherwise(p))
+        parts = F.split(word, "-")
+        return F.transform(parts, lambda p, i: F.concat(F.when(i > 0, "-").otherwise(""), p, F.when(i < F.size(parts) - 1, "-").otherwise("")))
 
     return F.flatten(F.transform(words, cut))
+
+
+def strip_unprinted(tokens: Column, separator: str = "<b>") -> Column:
+    """Tokens that are drawn: without invisible rests, without what frames the spine, and no separator twice."""
+    seen = F.filter(tokens, lambda t: ~F.rlike(t, F.lit(r"^\d+\.*r.*yy")))
+
+    # From the first token that opens no spine to the last that closes none.
+    first = F.array_position(F.transform(seen, lambda t: ~t.isin("**kern", separator)), F.lit(True)).cast("int")
+    kept = F.when(first > 0, F.slice(seen, first, F.size(seen)))
+    last = F.array_position(F.transform(F.reverse(kept), lambda t: ~t.isin("*-", separator)), F.lit(True)).cast("int")
+    kept = F.when(last > 0, F.slice(kept, F.lit(1), F.size(kept) - last + 1))
+    pairs = F.zip_with(kept, F.concat(F.array(F.lit("")), F.slice(kept, F.lit(1), F.size(kept) - 1)), lambda t, before: F.struct(t.alias("t"), before.alias("before")))
+    printed = F.transform(F.filter(pairs, lambda x: (x["t"] != separator) | (x["before"] != separator)), lambda x: x["t"])
+    return F.coalesce(printed, F.array().cast("array<string>"))
+
+
+def is_repeat(barline: Column, direction: str) -> Column:
+    """Whether a barline (kind, direction) is a repeat sign of that direction; the kind decides, not the style."""
+    return F.coalesce((barline["kind"] == "repeat") & (barline["direction"] == direction), F.lit(False))
+
+
+def barline_token(barline: Column, next_repeats: Column) -> Column:
+    """The token of a measure's right barline (kind, direction, style), with a repeat that starts behind it folded in.
+
+    Null for what cannot be printed: a start on the right, an unknown style, a start behind a final or double bar.
+    """
+    style = F.coalesce(barline["style"], F.lit("regular"))
+    plain = F.when(style.isin("regular", "short", "tick"), "").when(style == "final", "=").when(style.isin("double", "light-light"), "||")
+    core = F.when(is_repeat(barline, "start"), F.lit(None)).when(is_repeat(barline, "end"), ":|!").otherwise(plain)
+    folded = F.when(core == "", "!|:").when(core == ":|!", ":|!|:")
+    return F.concat(F.lit("="), F.when(next_repeats, folded).otherwise(core))

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 #: Verdict names, fixed values; and the share of systems from which one size counts as the usual one.
 EMPTY, CLOSED, MIXED, SUSPECT, STEADY = "leer", "closed score", "wechselndes Satzbild", "verdaechtig", "konsistent"
 MIN_MAJORITY = 0.6
+#: Staves of a closed score, and the white share and run length up to which a page counts as a scan: fixed values.
+CLOSED_STAVES, SCAN_WHITE_MAX, SCAN_RUN_MAX = 2, 0.875318, 0.385546
 
 
 def mode(df: DataFrame, *, keys: Sequence[str], value: str, tie: str) -> DataFrame:
@@ -21,10 +23,9 @@ def mode(df: DataFrame, *, keys: Sequence[str], value: str, tie: str) -> DataFra
     return best.select(*keys, found.alias("mode"), (F.col("_best._n") / F.col("_all")).alias("share"))
 
 
-def upper_median(value: str | Column) -> Column:
-    """Element n // 2 (from 0) of the sorted values: the larger of the two in the middle."""
-    values = F.array_sort(F.collect_list(value))
-    return F.get(values, F.floor(F.size(values) / 2).cast("int"))
+def upper_median(value: str) -> Column:
+    """Element n // 2 (from 0) of the sorted values: the larger of the two in the middle. Values are counted, not gathered."""
+    return F.expr(f"percentile_disc(0.5) within group (order by `{value}` desc)")
 
 
 def median_or_zero(value: str | Column) -> Column:
@@ -37,17 +38,25 @@ def percentiles(value: str, points: Sequence[float]) -> list[Column]:
     return [F.percentile(value, p).cast("double").alias(f"p{round(100 * p)}") for p in points]
 
 
-def consistency(df: DataFrame, *, keys: Sequence[str], index: str, size: str) -> DataFrame:
+def consistency(df: DataFrame, *, keys: Sequence[str], index: str, size: str, pieces: DataFrame | None = None) -> DataFrame:
     """Whether the systems of a piece have one size: modal size, share, verdict and the suspect systems.
 
-    Fewer than the usual number makes a system suspect, more never does. Pieces of sizes up to 2 are closed scores.
+    A size of exactly two that is the usual one is a closed score; without a usual one (:data:`MIN_MAJORITY`) the layout
+    is mixed; otherwise systems of fewer than the usual number are suspect, and larger ones never. Only pieces with a
+    usual number have suspects. Of ``pieces``, if given, those without a system are empty: null size, share 0.
     """
     usual = mode(df, keys=keys, value=size, tie="larger")
-    joined = df.join(usual, list(keys))
     few = F.col(size) < F.col("mode")
-    found = joined.groupBy(*keys, "mode", "share").agg(F.array_sort(F.collect_list(F.when(few, F.struct(F.col(index).alias("system"), (F.col("mode") - F.col(size)).alias("missing"))))).alias("suspects"))
-    verdict = F.when(F.col("mode") <= 2, CLOSED).when(F.col("share") < MIN_MAJORITY, MIXED).when(F.size("suspects") > 0, SUSPECT).otherwise(STEADY)
-    return found.withColumn("verdict", verdict)
+    entry = F.struct(F.col(index).alias("system"), (F.col("mode") - F.col(size)).alias("missing"))
+    found = df.join(usual, list(keys)).groupBy(*keys, "mode", "share").agg(F.array_sort(F.collect_list(F.when(few, entry))).alias("_few"))
+    if pieces is not None:
+        found = pieces.select(*keys).distinct().join(found, list(keys), "left").withColumn("share", F.coalesce("share", F.lit(0.0)))
+    known = F.col("share") >= MIN_MAJORITY
+    verdict = (
+        F.when(F.col("mode").isNull(), EMPTY).when(known & (F.col("mode") == CLOSED_STAVES), CLOSED).when(~known, MIXED).when(F.size("_few") > 0, SUSPECT).otherwise(STEADY)
+    )
+    out = found.withColumn("verdict", verdict)
+    return out.withColumn("suspects", F.when(F.col("verdict") == SUSPECT, F.col("_few")).otherwise(F.slice("_few", 1, 0))).drop("_few")
 
 
 def top_n(df: DataFrame, *, value: str, n: int, first_seen: str | None = None) -> DataFrame:
@@ -84,10 +93,6 @@ def position_matches(a: str, b: str) -> Column:
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda x: x)).cast("long")
 
 
-#: Fixed values of the page rule: white share and run length up to which a page counts as a scan, closed scores' staves.
-SCAN_WHITE_MAX, SCAN_RUN_MAX, CLOSED_STAVES = 0.875318, 0.385546, 2
-
-
 def scan_decision(pages: DataFrame, systems: DataFrame, *, keys: Sequence[str]) -> DataFrame:
     """Verdict on each score: ``white, run, modal_staves, scan_suspected, reason, rejected``.
 

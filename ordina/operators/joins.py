@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sampling import number_rows
 from .sequence import over, running
 
 
@@ -64,12 +65,13 @@ def align_by_time(df: DataFrame, *, keys: Sequence[str], time: str, spine: str,
 
 
 def cyclic_lookup(df: DataFrame, dim: DataFrame, *, keys: Sequence[str], order: Sequence, dim_order: Sequence, dim_value: str, name: str) -> DataFrame:
-    """The k-th row of each key gets value k mod n of a small ordered list of n values."""
-    values = [r[0] for r in dim.orderBy(*dim_order).select(dim_value).limit(10_001).collect()]
-    if len(values) > 10_000:
-        raise ValueError("the list of a cyclic lookup holds at most 10,000 values")
-    number = F.row_number().over(over(keys, order)) - 1
-    return df.withColumn(name, F.get(F.array(*map(F.lit, values)), F.pmod(number, F.lit(len(values)))) if values else F.lit(None))
+    """The k-th row of each key gets value k mod n of an ordered list of n values."""
+    values = number_rows(dim.select(F.struct(*dim.columns).alias("_d")).select("_d.*"), order=dim_order, name="_i")
+    n = values.count()
+    if not n:
+        return df.withColumn(name, F.lit(None).cast(dict(dim.dtypes)[dim_value]))
+    numbered = df.withColumn("_i", F.pmod(F.row_number().over(over(keys, order)) - 1, F.lit(n)) + 1)
+    return numbered.join(values.select("_i", F.col(dim_value).alias(name)), "_i").drop("_i")
 
 
 def left_with_reason(left: DataFrame, right: DataFrame, *, on: Sequence[str], reason: str) -> DataFrame:
@@ -78,22 +80,45 @@ def left_with_reason(left: DataFrame, right: DataFrame, *, on: Sequence[str], re
     return left.join(hit, list(on), "left").withColumn("reason", F.when(F.col("_hit").isNull(), F.lit(reason))).drop("_hit")
 
 
-def parity(left: DataFrame, right: DataFrame, *, keys: Sequence[str], bar: str, cap: int) -> DataFrame:
-    """The first way in which bars differ, for each key: null where both sides agree.
+def parity(left: DataFrame, right: DataFrame, *, keys: Sequence[str], voice: str, bar: str) -> DataFrame:
+    """The first way in which the bars of two readings of a piece differ, for each key: null where they agree.
 
-    ``left`` and ``right`` have ``total`` and ``notes`` for each key and bar. Notes must be equal; totals may only grow
-    from left to right, by at most ``cap``; no bar may be missing on either side.
+    Both have ``total`` and ``notes`` by key, voice and bar. Bars of no length are left out on either side and the others
+    are matched by their place in the voice. Voices must be the same, then each voice's number of bars, then bar by bar
+    the notes; totals may be larger on the left, but not above the longest bar of the voice on the right. Voices come
+    in order, and a voice's number of bars before its bars.
     """
-    l = left.select(*keys, bar, F.col("total").alias("lt"), F.col("notes").alias("ln"))
-    r = right.select(*keys, bar, F.col("total").alias("rt"), F.col("notes").alias("rn"))
-    why = (
-        F.when(F.col("lt").isNull() | F.col("rt").isNull(), "bar count")
-        .when(F.col("ln") != F.col("rn"), "notes")
-        .when(F.col("rt") < F.col("lt"), "total shrank")
-        .when(F.col("rt") - F.col("lt") > cap, "total grew")
-    )
-    both = l.join(r, [*keys, bar], "full").withColumn("why", why)
-    return both.groupBy(*keys).agg(F.min_by("why", F.when(F.col("why").isNotNull(), F.col(bar))).alias("violation"), F.count_if(F.col("why").isNotNull()).alias("n_violations"))
+    by = [*keys, voice]
+    sides = left.select(*by).distinct().withColumn("_l", F.lit(True)).join(right.select(*by).distinct().withColumn("_r", F.lit(True)), by, "full")
+
+    def placed(df: DataFrame, side: str) -> DataFrame:
+        n = F.row_number().over(over(by, [bar]))
+        return df.where("total <> 0").select(*by, n.alias("_n"), F.col("total").alias(f"_{side}t"), F.col("notes").alias(f"_{side}n"))
+
+    l, r = placed(left, "l"), placed(right, "r")
+    counts = l.groupBy(*by).agg(F.count("*").alias("_lc")).join(r.groupBy(*by).agg(F.count("*").alias("_rc"), F.max("_rt").alias("_cap")), by, "full").na.fill(0, ["_lc", "_rc"])
+    bars = l.join(r, [*by, "_n"]).join(counts, by)
+    grown = (F.col("_lt") > F.col("_rt")) & (F.col("_lt") <= F.col("_cap"))
+    first = [
+        (sides, 0, F.lit(0), F.when(F.col("_l").isNull() | F.col("_r").isNull(), "voices")),
+        (counts, 1, F.lit(0), F.when(F.col("_lc") != F.col("_rc"), "bar count")),
+        (bars, 1, F.col("_n"), F.when(F.col("_ln") != F.col("_rn"), "notes").when((F.col("_lt") != F.col("_rt")) & ~grown, "total")),
+    ]
+    out = None
+    for df, rank, n, why in first:
+        part = df.select(*keys, F.struct(F.lit(rank).alias("rank"), F.col(voice).alias("voice"), n.cast("int").alias("n")).alias("_at"), why.alias("_why"))
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy(*keys).agg(F.min_by("_why", F.when(F.col("_why").isNotNull(), F.col("_at"))).alias("violation"))
+
+
+def same_sequences(left: DataFrame, right: DataFrame, *, keys: Sequence[str], order: Sequence[str], value: Sequence[str]) -> DataFrame:
+    """Whether the ordered values of each key are the same on both sides, null values being equal; keys of either side."""
+
+    def rows(df: DataFrame, side: str) -> DataFrame:
+        return df.select(*keys, F.row_number().over(over(keys, order)).alias("_n"), F.struct(*value).alias(side))
+
+    both = rows(left, "_l").join(rows(right, "_r"), [*keys, "_n"], "full")
+    return both.groupBy(*keys).agg(F.min(F.coalesce(F.col("_l").eqNullSafe(F.col("_r")), F.lit(False))).alias("same"))
 
 
 def overlaps(df: DataFrame, *, keys: Sequence[str], start: str, end: str, tie: Sequence[str]) -> DataFrame:

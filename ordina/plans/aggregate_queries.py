@@ -37,11 +37,14 @@ def mode_share(spark, sf):
     return A.mode(_sizes(spark, sf), keys=["o_custkey"], value="size", tie="larger")
 
 
-@query(f"""{_SHARE}, f AS (SELECT m.o_custkey, mode, share, count(*) FILTER (WHERE size < mode) AS n_suspects FROM m JOIN z ON m.o_custkey = z.o_custkey GROUP BY ALL)
-SELECT o_custkey, mode, share, CASE WHEN mode <= 2 THEN 'closed score' WHEN share < 0.6 THEN 'wechselndes Satzbild' WHEN n_suspects > 0 THEN 'verdaechtig' ELSE 'konsistent' END AS verdict, n_suspects FROM f""")
+@query(f"""{_SHARE}, f AS (SELECT m.o_custkey, mode, share, count(*) FILTER (WHERE size < mode) AS few FROM m JOIN z ON m.o_custkey = z.o_custkey GROUP BY ALL),
+v AS (SELECT c_custkey AS o_custkey, mode, coalesce(share, 0) AS share, few, CASE WHEN mode IS NULL THEN 'leer' WHEN mode = 2 AND share >= 0.6 THEN 'closed score' WHEN share < 0.6 THEN 'wechselndes Satzbild' WHEN few > 0 THEN 'verdaechtig' ELSE 'konsistent' END AS verdict
+  FROM customer LEFT JOIN f ON c_custkey = f.o_custkey)
+SELECT o_custkey, mode, share, verdict, CASE WHEN verdict = 'verdaechtig' THEN few ELSE 0 END AS n_suspects FROM v""")
 def consistency_verdict(spark, sf):
-    out = A.consistency(_sizes(spark, sf), keys=["o_custkey"], index="o_orderkey", size="size")
-    return out.select("o_custkey", "mode", "share", "verdict", F.size("suspects").cast("long").alias("n_suspects"))
+    pieces = table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"))
+    out = A.consistency(_sizes(spark, sf), keys=["o_custkey"], index="o_orderkey", size="size", pieces=pieces)
+    return out.select("o_custkey", "mode", "share", "verdict", F.coalesce(F.size("suspects"), F.lit(0)).cast("long").alias("n_suspects"))
 
 
 @query("""WITH p AS (SELECT user_id, median(CASE WHEN event_id % 4 = 0 THEN 0.80 ELSE 0.95 END + (user_id % 10) / 100.0) AS white, median(value / 100) AS run FROM events GROUP BY user_id),
@@ -162,7 +165,7 @@ def _lines(spark, sf):
 SELECT user_id, CAST(day AS TIMESTAMP) AS day, round(levenshtein(r, h) / length(r), 6) AS ser FROM l""")
 def ser(spark, sf):
     lines = _lines(spark, sf)
-    return lines.select("user_id", "day", F.round(metrics.error_rate(F.array_join("reference", ""), F.array_join("hypothesis", "")), 6).alias("ser"))
+    return lines.select("user_id", "day", F.round(metrics.token_error_rate(F.col("reference"), F.col("hypothesis")), 6).alias("ser"))
 
 
 @query()
@@ -219,3 +222,11 @@ SELECT 'pool' AS name, count(*) AS pieces, CAST(sum(lines) AS BIGINT) AS lines,
 def pool_sizes(spark, sf):
     lines = events(spark, sf).groupBy("user_id").agg(F.count("*").alias("lines"))
     return lines.agg(F.count("*").alias("pieces"), F.sum("lines").alias("lines"), F.count_if(F.col("user_id") % 10 < 3).alias("chor")).select(F.lit("pool").alias("name"), "pieces", "lines", "chor")
+
+
+@query("""WITH p AS (SELECT count(*) FILTER (WHERE user_id % 10 < 3) AS n_first, count(*) FILTER (WHERE user_id % 10 >= 3) AS n_other FROM events)
+SELECT n_first, n_other, CAST(n_first + least(round_even(n_first * 1.5, 0), n_other) AS BIGINT) AS epoch FROM p""")
+def epoch_size(spark, sf):
+    from ..operators.sampling import epoch_size as size
+
+    return size(events(spark, sf), first=F.col("user_id") % 10 < 3, ratio=1.5)

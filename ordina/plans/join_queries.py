@@ -46,14 +46,15 @@ def asof_inclusive(spark, sf):
     return J.asof_inclusive(rows.select("event_id", "user_id", "ts"), right, keys=USER, left_time="ts", right_time="ts", value="bar_id", name="bar").select("event_id", "bar")
 
 
-@query("""WITH l AS (SELECT o_custkey % 150 AS k, o_orderkey, row_number() OVER (PARTITION BY o_custkey % 150 ORDER BY o_orderkey) AS n, count(*) OVER (PARTITION BY o_custkey % 150) AS c FROM orders),
-r AS (SELECT user_id AS k, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, count(*) OVER (PARTITION BY user_id) AS c FROM events)
-SELECT l.k, CAST(l.n AS BIGINT) AS n, o_orderkey, event_id FROM l JOIN r ON l.k = r.k AND l.n = r.n WHERE l.c = r.c""")
+@query("""WITH l AS (SELECT c_custkey % 50 AS k, c_custkey, row_number() OVER (PARTITION BY c_custkey % 50 ORDER BY c_custkey) AS n, count(*) OVER (PARTITION BY c_custkey % 50) AS c FROM customer),
+r AS (SELECT c_custkey % 50 AS k, c_name, row_number() OVER (PARTITION BY c_custkey % 50 ORDER BY c_acctbal, c_custkey) AS n, count(*) OVER (PARTITION BY c_custkey % 50) AS c FROM customer WHERE c_custkey > 20)
+SELECT l.k, CAST(l.n AS BIGINT) AS n, c_custkey, c_name FROM l JOIN r ON l.k = r.k AND l.n = r.n WHERE l.c = r.c""")
 def positional_zip(spark, sf):
-    left = table(spark, sf, "orders").select((F.col("o_custkey") % 150).alias("k"), "o_orderkey")
-    right = events(spark, sf).select(F.col("user_id").alias("k"), "event_id")
-    pairs, _ = J.zip_rows(left, right, keys=["k"], left_order=["o_orderkey"], right_order=["event_id"])
-    return pairs.select("k", F.col("n").cast("long").alias("n"), "o_orderkey", "event_id")
+    """Customers by number beside customers by balance; keys that lack one on the right are left out whole."""
+    rows = table(spark, sf, "customer").withColumn("k", F.col("c_custkey") % 50)
+    right = rows.where("c_custkey > 20").select("k", F.col("c_custkey").alias("id"), "c_acctbal", "c_name")
+    pairs, _ = J.zip_rows(rows.select("k", "c_custkey"), right, keys=["k"], left_order=["c_custkey"], right_order=["c_acctbal", "id"])
+    return pairs.select("k", F.col("n").cast("long").alias("n"), "c_custkey", "c_name")
 
 
 @query("""WITH l AS (SELECT o_custkey % 150 AS k, count(*) AS n_left FROM orders GROUP BY 1), r AS (SELECT user_id AS k, count(*) AS n_right FROM events GROUP BY 1)
@@ -87,20 +88,32 @@ def time_pivot(spark, sf):
     return J.align_by_time(rows, keys=USER, time="t", spine="event_type", token="tok", order="event_id", spines=_SPINES)
 
 
-_BARS = "SELECT user_id, date_trunc('day', ts) AS bar, CAST(sum({0}) AS BIGINT) AS total, CAST(sum(CASE WHEN event_type = 'click' THEN {0} ELSE 0 END) AS BIGINT) AS notes FROM events WHERE {1} GROUP BY ALL"
-
-
-@query(f"""WITH l AS ({_BARS.format(K_SQL, 'event_id % 50 > 0')}), r AS ({_BARS.format(K_SQL, 'true')}),
-j AS (SELECT coalesce(l.user_id, r.user_id) AS user_id, coalesce(l.bar, r.bar) AS bar, CASE WHEN l.total IS NULL OR r.total IS NULL THEN 'bar count' WHEN l.notes <> r.notes THEN 'notes'
-WHEN r.total < l.total THEN 'total shrank' WHEN r.total - l.total > 20 THEN 'total grew' END AS why FROM l FULL JOIN r ON l.user_id = r.user_id AND l.bar = r.bar)
-SELECT user_id, arg_min(why, bar) FILTER (WHERE why IS NOT NULL) AS violation, count(why) AS n_violations FROM j GROUP BY user_id""")
+@query(f"""WITH b AS (SELECT user_id, event_id % 2 AS voice, date_trunc('week', ts) AS bar, sum({K_SQL}) AS a, sum(CASE WHEN event_type = 'signup' THEN 0 ELSE {K_SQL} END) AS w, sum(CASE WHEN event_type = 'click' THEN {K_SQL} ELSE 0 END) AS notes FROM events GROUP BY ALL),
+l AS (SELECT user_id, voice, row_number() OVER (PARTITION BY user_id, voice ORDER BY bar) AS n, a AS total, notes + CASE WHEN user_id % 5 = 0 AND bar > TIMESTAMP '2024-01-08' THEN 1 ELSE 0 END AS notes FROM b WHERE a <> 0 AND NOT (user_id % 11 = 0 AND voice = 1)),
+r AS (SELECT user_id, voice, row_number() OVER (PARTITION BY user_id, voice ORDER BY bar) AS n, w AS total, notes FROM b WHERE w <> 0),
+s AS (SELECT b.user_id, voice, user_id % 11 = 0 AND voice = 1 AS gone, (SELECT count(*) FROM l WHERE l.user_id = b.user_id AND l.voice = b.voice) AS nl, (SELECT count(*) FROM r WHERE r.user_id = b.user_id AND r.voice = b.voice) AS nr FROM (SELECT DISTINCT user_id, voice FROM b) b),
+c AS (SELECT user_id, voice, max(total) AS cap FROM r GROUP BY ALL),
+x AS (SELECT user_id, 0 AS rank, voice, 0 AS n, CASE WHEN gone THEN 'voices' END AS why FROM s UNION ALL SELECT user_id, 1, voice, 0, CASE WHEN nl <> nr THEN 'bar count' END FROM s UNION ALL
+SELECT l.user_id, 1, l.voice, l.n, CASE WHEN l.notes <> r.notes THEN 'notes' WHEN l.total <> r.total AND NOT (l.total > r.total AND l.total <= cap) THEN 'total' END FROM l JOIN r ON l.user_id = r.user_id AND l.voice = r.voice AND l.n = r.n JOIN c ON c.user_id = l.user_id AND c.voice = l.voice)
+SELECT user_id, arg_min(why, (rank, voice, n)) FILTER (WHERE why IS NOT NULL) AS violation FROM x GROUP BY user_id""")
 def parity_check(spark, sf):
-    rows = with_k(events(spark, sf)).withColumn("bar", F.date_trunc("day", "ts"))
-
-    def bars(x):
-        return x.groupBy("user_id", "bar").agg(F.sum("k").alias("total"), F.sum(F.when(F.col("event_type") == "click", F.col("k")).otherwise(0)).alias("notes"))
-
-    return J.parity(bars(rows.where("event_id % 50 > 0")), bars(rows), keys=USER, bar="bar", cap=20)
+    """A reading in which signups lengthen bars, one voice of some users is lost and others have a note too many."""
+    k, kind = F.col("k"), F.col("event_type")
+    rows = with_k(events(spark, sf)).groupBy("user_id", (F.col("event_id") % 2).alias("voice"), F.date_trunc("week", "ts").alias("bar"))
+    bars = rows.agg(F.sum("k").alias("a"), F.sum(F.when(kind == "signup", 0).otherwise(k)).alias("w"), F.sum(F.when(kind == "click", k).otherwise(0)).alias("notes"))
+    more = F.when((F.col("user_id") % 5 == 0) & (F.col("bar") > F.lit("2024-01-08").cast("timestamp")), 1).otherwise(0)
+    mine = bars.where("not (user_id % 11 = 0 and voice = 1)").select("user_id", "voice", "bar", F.col("a").alias("total"), (F.col("notes") + more).alias("notes"))
+    return J.parity(mine, bars.select("user_id", "voice", "bar", F.col("w").alias("total"), "notes"), keys=USER, voice="voice", bar="bar")
+
+
+@query("""WITH l AS (SELECT user_id, list(event_type ORDER BY event_id) AS a, list(event_type ORDER BY ts, event_id) AS b FROM events WHERE event_id % 3 > 0 OR user_id % 4 > 0 GROUP BY user_id)
+SELECT user_id, a = CASE WHEN user_id % 4 = 1 THEN b[2:] ELSE b END AS same FROM l""")
+def sequence_equality(spark, sf):
+    rows = events(spark, sf).where("event_id % 3 > 0 or user_id % 4 > 0")
+    n = F.row_number().over(J.over(USER, ORDER))
+    left = rows.select("user_id", F.row_number().over(J.over(USER, ["event_id"])).alias("n"), "event_type")
+    right = rows.select("user_id", n.alias("n"), "event_type").where("user_id % 4 <> 1 or n > 1")
+    return J.same_sequences(left, right, keys=USER, order=["n"], value=["event_type"])
 
 
 @query(f"""WITH n AS (SELECT user_id, event_id, event_id AS s, event_id + {K_SQL} AS e FROM events), x AS (SELECT *, lead(s) OVER (PARTITION BY user_id ORDER BY s, event_id) < e AS hit FROM n)

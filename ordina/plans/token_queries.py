@@ -112,11 +112,24 @@ def separator_interleave(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.size(T.with_separators(F.split("text", " "))).cast("long").alias("n"))
 
 
-@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'Ky- ri- e|e- lei- son' WHEN 1 THEN 'A- men' ELSE '' END AS syllables FROM events")
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'Ky- -ri- -e e- -lei- -son' WHEN 1 THEN 'A- -men' WHEN 2 THEN 'mei- -nes Herz' ELSE '' END AS syllables FROM events")
 def syllables(spark, sf):
-    text = _pick(["Ky-ri-e e-lei-son", " A-men ", ""], "event_id", 3)
-    parts = F.array_join(T.syllables(text), " ")
-    return events(spark, sf).select("event_id", F.regexp_replace(parts, "e e-", "e|e-").alias("syllables"))
+    text = _pick(["Ky-ri-e e-lei-son", " A-men ", "mei-nes  Herz", ""], "event_id", 4)
+    return events(spark, sf).select("event_id", F.array_join(T.syllables(text), " ").alias("syllables"))
+
+
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN '4c <b> 8d' WHEN 1 THEN '' WHEN 2 THEN '4r <b> =' ELSE '2a' END AS tokens FROM events""")
+def strip_unprinted(spark, sf):
+    text = _pick(["**kern <b> 4c <b> 2ryy <b> 8d <b> *-", "<b> 4.ryy <b> *-", "4r <b> <b> = <b>", "**kern 2a *-"], "event_id", 4)
+    return events(spark, sf).select("event_id", F.array_join(T.strip_unprinted(F.split(text, " ")), " ").alias("tokens"))
+
+
+@query("""SELECT event_id, ['=', '==', '=||', NULL, '=:|!', '=:|!|:', '=!|:', NULL][event_id % 8 + 1] AS token FROM events""")
+def barline_folding(spark, sf):
+    rows = events(spark, sf).select("event_id", *[_pick(v, "event_id", 8).alias(n) for n, v in (
+        ("kind", ["bar", "bar", "bar", "bar", "repeat", "repeat", "bar", "repeat"]), ("direction", ["", "", "", "", "end", "end", "", "start"]),
+        ("style", ["regular", "final", "double", "dotted", "final", "final", "tick", "final"]), ("following", ["n", "n", "n", "n", "n", "y", "y", "n"]))])
+    return rows.select("event_id", T.barline_token(F.struct("kind", "direction", "style"), F.col("following") == "y").alias("token"))
 
 
 @query("""SELECT path, CAST(n AS INT) AS n_tracks, genre FROM (SELECT path, try_cast(n AS INT) AS n, lower(trim(coalesce(nullif(genres, ''), 'NA'))) AS genre, license, lyr, ded FROM (
@@ -130,7 +143,7 @@ def catalogue_filter(spark, sf):
         return F.get(F.array(*map(F.lit, values)), (F.floor(F.col("event_id") / step) % len(values)).cast("int"))
 
     rows = events(spark, sf).select(
-        F.concat(F.lit("p"), F.col("event_id").cast("string")).alias("path"), F.lit("t").alias("title"), part(["abc", "1", "4", "8", "9"], 1).alias("n_tracks"), part(["", " Folk ", "Hymn"], 1).alias("genres"),
+        F.concat(F.lit("p"), F.col("event_id").cast("string")).alias("path"), F.lit("t").alias("title"), F.lit("9").alias("song_length.bars"), part(["abc", "1", "4", "8", "9"], 1).alias("n_tracks"), part(["", " Folk ", "Hymn"], 1).alias("genres"),
         part(["cc-zero", "cc-by", "publicdomain"], 3).alias("license"), part(["True", "true"], 7).alias("has_lyrics"), part(["True", "False"], 11).alias("subset:deduplicated"),
     )
     return candidates(rows).select("path", "n_tracks", "genre")
@@ -160,7 +173,7 @@ def _notes(spark, sf):
 def notate_voices(spark, sf):
     rows = _notes(spark, sf)
     bars = rows.groupBy("piece").agg(F.max("time").alias("t")).select("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("t"), F.lit(1920).cast("long"))).alias("time"))
-    meters = rows.select("piece").distinct().select("piece", F.lit(4).alias("num"), F.lit(4).alias("den"))
+    meters = rows.select("piece").distinct().select("piece", F.lit(0).cast("long").alias("time"), F.lit(4).alias("num"), F.lit(4).alias("den"))
     out = notes.notate(rows, bars, meters)
     return out.groupBy("piece", "track").agg(F.sum("ticks").alias("ticks"), F.count_if("is_rest").alias("rests"), F.count_if(F.rlike("token", F.lit("L"))).alias("beams"))
 
