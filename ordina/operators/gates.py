@@ -58,3 +58,27 @@ def same_set(left: DataFrame, right: DataFrame) -> DataFrame:
     """One row: whether both sides hold the same distinct rows, and how many are on one side only."""
     a, b = left.subtract(right).agg(F.count("*").alias("only_left")), right.subtract(left).agg(F.count("*").alias("only_right"))
     return a.join(b).withColumn("same", (F.col("only_left") == 0) & (F.col("only_right") == 0))
+
+
+def build_reasons() -> Column:
+    """Why the lines of a piece cannot be built, by the first check that fails.
+
+    Columns: ``text``, ``spine_types``, ``n_multirests``, ``n_systems``, ``n_detected`` (systems), and by system the arrays
+    ``pages``, ``detected_pages``, ``staves``, ``detected_staves``, ``fields`` (sorted), and ``kern_fields`` (sorted).
+    """
+    n = F.size("spine_types")
+
+    def differs(a: str, b: str) -> Column:
+        return F.exists(F.zip_with(a, b, lambda x, y: ~x.eqNullSafe(y)), lambda x: x)
+
+    return first_reason([
+        (F.contains("text", F.lit("*^")) | F.contains("text", F.lit("*v")), "spine split"),
+        (~n.between(2, 8), "spine count"),
+        (F.exists("spine_types", lambda t: t != "**kern"), "other spines"),
+        (F.col("n_multirests") > 0, "multirest"),
+        (F.col("n_systems") == 0, "no systems"),
+        (F.col("n_detected") != F.col("n_systems"), "system count"),
+        (differs("detected_pages", "pages"), "system on another page"),
+        (differs("detected_staves", "staves"), "staff count"),
+        (F.exists("fields", lambda f: ~f.eqNullSafe(F.col("kern_fields"))), "fields"),
+    ])

@@ -88,8 +88,7 @@ def classify(record: Column) -> Column:
         T.key_fifths(first).alias("keyFifths"),
         T.meter(first).alias("time"),
         F.when(sounding, F.get(lengths, F.lit(0))).alias("duration"),
-        F.when(note, F.get(pitches, F.lit(0))).alias("pitch"),
-        F.when(note, T.alter(names)).alias("alter"),
+        F.when(note, F.struct(F.get(pitches, F.lit(0))["step"].alias("step"), F.get(pitches, F.lit(0))["octave"].alias("octave"), T.alter(names).alias("alter"))).alias("pitch"),
         F.when(note, tie).alias("tie"),
         F.when(note, slur).alias("slur"),
         F.when(note, F.array_contains(names, ";")).alias("fermata"),
@@ -105,13 +104,17 @@ def line_elements(lines: DataFrame, events: str = "events") -> DataFrame:
     return with_records.withColumn("elements", F.filter(F.transform("_records", classify), lambda e: e.isNotNull())).drop("_records")
 
 
-def assemble(lines: DataFrame) -> dict[str, DataFrame]:
+def assemble(lines: DataFrame, verdicts: DataFrame | None = None) -> dict[str, DataFrame]:
     """Score documents from lines ``score, page, system, staff, truncated, elements``, staves from 0 in reading order.
 
     Returns ``structure`` (a row a score: staves per system, the most frequent number, ties the larger; first key and
     meter in reading order), ``clefs`` (first of each part), ``measures`` (score, part, measure, system it was opened
     in, events, attributes, barline) and ``warnings`` in order. Attributes and notes open a measure, a barline closes
     it, one without an open measure is dropped. Lines beyond the usual number of staves are warned of and left out.
+    ``systems`` (boxes of systems and their staves) is there if lines have ``x, y, w, h, spacing, norm_spacing``.
+
+    ``verdicts`` has ``score, rejected, reason, modal_staves, codes``: its codes come first among the warnings, and a number
+    of staves other than that of the lines is warned of.
     """
     counts = lines.groupBy("score", "page", "system").agg((F.max("staff") + 1).alias("found"))
     tally = counts.groupBy("score", "found").agg(F.count("*").alias("n"))
@@ -142,7 +145,7 @@ def assemble(lines: DataFrame) -> dict[str, DataFrame]:
             F.max_by("e.clef", F.when(F.col("e.clef").isNotNull(), F.col("_n"))).alias("clef"),
             F.max_by("e.keyFifths", F.when(F.col("e.keyFifths").isNotNull(), F.col("_n"))).alias("key_fifths"),
             F.max_by("e.time", F.when(F.col("e.time").isNotNull(), F.col("_n"))).alias("time"),
-            F.max(F.when(F.col("_bar"), F.col("e.type"))).alias("barline"),
+            F.max(F.when(F.col("_bar"), F.struct("e.type", "e.confidence", "e.tokens", "e.f0", "e.f1"))).alias("barline"),
         )
         .where("content > 0")
     )
@@ -157,15 +160,65 @@ def assemble(lines: DataFrame) -> dict[str, DataFrame]:
     cut = joined.where("truncated").select("score", F.lit(2).alias("seq"), F.lit("line-truncated").alias("code"), "page", "system", "staff", F.lit(-1).alias("at"), none.alias("found"), none.alias("expected"), F.lit(None).cast("array<string>").alias("tokens"))
     bad = rows.where("staff < staves and e.kind = 'unparseable'").select("score", F.lit(2).alias("seq"), F.lit("unparseable-tokens").alias("code"), "page", "system", "staff", "at", none.alias("found"), none.alias("expected"), F.col("e.tokens").alias("tokens"))
     warnings = uneven.unionByName(cut).unionByName(bad)
-    return {"structure": structure, "clefs": clefs, "measures": measures, "warnings": warnings}
+    out = {"structure": structure, "clefs": clefs, "measures": measures, "warnings": warnings}
+    if verdicts is not None:
+        nothing = [none.alias(c) for c in ("page", "system", "staff")]
+        given = verdicts.select("score", F.lit(-1).alias("seq"), F.posexplode("codes").alias("at", "code"), *nothing, none.alias("found"), none.alias("expected"), F.lit(None).cast("array<string>").alias("tokens"))
+        other = verdicts.join(usual, "score").where("modal_staves <> staves").select(
+            "score", F.lit(0).alias("seq"), F.lit("modal-staves-disagreement").alias("code"), *nothing, none.alias("at"), F.col("staves").alias("found"), F.col("modal_staves").cast("int").alias("expected"), F.lit(None).cast("array<string>").alias("tokens")
+        )
+        out |= {"warnings": warnings.unionByName(given).unionByName(other), "verdicts": verdicts}
+    if {"x", "y", "w", "h", "spacing", "norm_spacing"} <= set(lines.columns):
+        out["systems"] = systems_of(lines)
+    return out
+
 
+def systems_of(lines: DataFrame) -> DataFrame:
+    """``score, page, system, box, staves``: the box around each system's staves, and these from the top."""
+    box = F.array("x", "y", "w", "h")
+    staff = F.struct("y", F.col("staff").alias("part"), box.alias("bbox"), F.col("spacing").alias("lineSpacingPx"), F.bround(F.col("spacing") / F.col("norm_spacing"), 4).alias("normScale"))
+    joint = F.array(F.min("x"), F.min("y"), F.max(F.col("x") + F.col("w")) - F.min("x"), F.max(F.col("y") + F.col("h")) - F.min("y"))
+    staves = F.transform(F.array_sort(F.collect_list(staff)), lambda s: F.struct(s["part"].alias("part"), s["bbox"].alias("bbox"), s["lineSpacingPx"].alias("lineSpacingPx"), s["normScale"].alias("normScale")))
+    return lines.groupBy("score", "page", "system").agg(joint.alias("box"), staves.alias("staves"))
 
-def to_documents(assembled: dict[str, DataFrame]) -> DataFrame:
-    """One JSON document a score: structure, parts with their measures, warnings in order."""
-    parts = (
-        assembled["measures"].groupBy("score", "staff").agg(F.array_sort(F.collect_list(F.struct("measure", "system", "clef", "key_fifths", "time", "barline", "events"))).alias("measures"))
+
+def to_documents(assembled: dict[str, DataFrame], *, model: str = "", decoder: str = "", pages: DataFrame | None = None) -> DataFrame:
+    """One JSON document a score: all fields of the format, of which absent ones are left out; warnings in order.
+
+    ``pages`` has ``score, pages`` (what the document's source tells of its pages).
+    """
+    structure, clefs = assembled["structure"], assembled["clefs"]
+    name = F.concat(F.col("clef.sign"), F.col("clef.line").cast("string"), F.when(F.col("clef.octaveChange") < 0, "v8").otherwise(""))
+    by_part = clefs.groupBy("score").agg(F.map_from_entries(F.collect_list(F.struct("staff", name))).alias("_clefs"))
+    every = F.sequence(F.lit(0), F.col("staves") - 1)
+    attributes = F.when(F.coalesce(F.col("clef").isNotNull() | F.col("key_fifths").isNotNull() | F.col("time").isNotNull(), F.lit(False)), F.struct("clef", F.col("key_fifths").alias("keyFifths"), "time"))
+    measure = F.struct(F.col("measure").alias("index"), "system", "events", attributes.alias("attributes"), "barline")
+    parts = assembled["measures"].groupBy("score", "staff").agg(F.array_sort(F.collect_list(F.struct("measure", measure.alias("m")))).alias("ms"))
+    parts = parts.groupBy("score").agg(F.map_from_entries(F.collect_list(F.struct("staff", F.transform("ms", lambda x: x["m"])))).alias("_parts"))
+    warning = F.struct("seq", "page", "system", "staff", "at", "code", "found", "expected", "tokens")
+    warnings = assembled["warnings"].groupBy("score").agg(F.array_sort(F.collect_list(warning)).alias("_warnings"))
+    whole = structure.join(by_part, "score", "left").join(parts, "score", "left").join(warnings, "score", "left")
+
+    def more(df: DataFrame | None, fields: dict[str, str]) -> DataFrame:
+        return whole.join(df, "score", "left") if df is not None else whole.withColumns({k: F.lit(None).cast(t) for k, t in fields.items()})
+
+    whole = more(assembled["verdicts"].select("score", "rejected", "reason") if "verdicts" in assembled else None, {"rejected": "boolean", "reason": "string"})
+    systems = assembled.get("systems")
+    if systems is not None:
+        systems = systems.groupBy("score").agg(F.array_sort(F.collect_list(F.struct("page", F.col("system").alias("index"), F.col("box").alias("bbox"), "staves"))).alias("_systems"))
+    whole = more(systems, {"_systems": "array<string>"})
+    whole = more(pages, {"pages": "string"})
+    recognized = F.struct(F.col("staves").alias("stavesPerSystem"), F.transform(every, lambda i: F.element_at("_clefs", i)).alias("clefs"), F.col("key_fifths").alias("keyFifths"), "time")
+    none = F.array().cast("array<string>")
+    document = F.struct(
+        F.lit("1.3").alias("irVersion"),
+        F.struct(F.lit(model).alias("model"), F.lit(decoder).alias("decoder")).alias("generator"),
+        F.coalesce("rejected", F.lit(False)).alias("rejected"),
+        F.col("reason").alias("rejectionReason"),
+        F.struct("pages").alias("source"),
+        F.struct(recognized.alias("recognized"), F.lit(None).cast("string").alias("confirmed")).alias("structure"),
+        F.coalesce("_systems", none if systems is None else F.slice("_systems", 1, 0)).alias("systems"),
+        F.transform(every, lambda i: F.struct(i.alias("index"), F.lit(None).cast("string").alias("label"), F.element_at("_parts", i).alias("measures"))).alias("parts"),
+        F.transform("_warnings", lambda w: w.dropFields("seq", "at")).alias("warnings"),
     )
-    parts = parts.groupBy("score").agg(F.array_sort(F.collect_list(F.struct("staff", "measures"))).alias("parts"))
-    warnings = assembled["warnings"].groupBy("score").agg(F.array_sort(F.collect_list(F.struct("seq", "page", "system", "staff", "at", "code", "found", "expected", "tokens"))).alias("warnings"))
-    whole = assembled["structure"].join(parts, "score", "left").join(warnings, "score", "left")
-    return whole.select("score", F.to_json(F.struct(F.lit("1.3").alias("irVersion"), F.struct("staves", "key_fifths", "time").alias("structure"), "parts", "warnings")).alias("document"))
+    return whole.select("score", F.to_json(document).alias("document"))

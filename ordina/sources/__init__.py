@@ -10,7 +10,8 @@ from .readers import (  # noqa: F401
     raw_pages,
     sample_kinds,
     score_documents,
-    svg_staves,
+    svg_systems,
+    system_ranges,
     vocabulary_file,
     xml_systems,
 )

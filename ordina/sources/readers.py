@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -22,7 +22,7 @@ def catalogue_filter(rows: DataFrame, *, least: int = 2, most: int = 8, licenses
     n = F.col("n_tracks").try_cast("int")
     genre = F.lower(F.trim(F.coalesce(F.nullif(F.col("genres"), F.lit("")), F.lit("NA"))))
     kept = rows.where(n.between(least, most) & (F.col("has_lyrics") == "True") & (F.col("`subset:deduplicated`") == "True") & F.col("license").isin(*licenses))
-    return kept.select("path", "title", n.alias("n_tracks"), genre.alias("genre"), "license")
+    return kept.select("path", "title", F.col("`song_length.bars`").alias("bars"), n.alias("n_tracks"), genre.alias("genre"), "license")
 
 
 def score_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -38,6 +38,11 @@ def note_rows(docs: DataFrame) -> DataFrame:
     return notes.select("piece", "track", "pos", "n.time", "n.pitch", "n.duration", F.coalesce("n.pitch_str", F.lit("")).alias("spelled"), F.coalesce("n.is_grace", F.lit(False)).alias("is_grace"))
 
 
+def track_rows(docs: DataFrame) -> DataFrame:
+    """``piece, track`` of all pitched tracks, those without a note too."""
+    return docs.select(F.col("path").alias("piece"), F.posexplode("tracks").alias("track", "t")).select("piece", "track")
+
+
 def lyric_rows(docs: DataFrame) -> DataFrame:
     """``piece, track, time, text``: trimmed, blank ones dropped, the last of a time counts."""
     tracks = docs.select(F.col("path").alias("piece"), F.posexplode("tracks").alias("track", "t"))
@@ -54,7 +59,7 @@ def json_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 def kern_records(spark: SparkSession, path: str) -> DataFrame:
     """Typed text rows ``path, line_no, kind, fields, raw``; blank lines are dropped but counted, line ends may be CR LF."""
-    text = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     return parse_kern(text)
 
 
@@ -78,12 +83,17 @@ def drop_labels(records: DataFrame) -> DataFrame:
     return records.where(~F.startswith("raw", F.lit("*I")))
 
 
-def spine_fragment(records: DataFrame, *, spine: int, start: int, end: int, header: Sequence[str] = (), closing: str | None = None) -> DataFrame:
-    """One spine's tokens in a range of lines, without null tokens, behind a header and before a closing barline."""
+def spine_fragment(records: DataFrame, *, spine: int, start: int, end: int, header: Sequence[str] = (), closing: str | None = None, framed: bool = False) -> DataFrame:
+    """One spine's tokens in a range of lines, without null tokens, behind a header and before a closing barline.
+
+    ``framed`` tokens begin with the exclusive interpretation and end with the spine's end, as a text of their own does.
+    """
+    header = ["**kern", *header] if framed else header
+    ends = [*([closing] if closing else []), *(["*-"] if framed else [])]
     token = F.get("fields", F.lit(spine))
     rows = records.where(F.col("line_no").between(start, end) & F.col("kind").isin("data", "barline")).where(token.isNotNull() & (token != "."))
     inside = rows.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", token.alias("t")))), lambda x: x["t"]).alias("inside"))
-    return inside.select("path", F.concat(F.array(*map(F.lit, header)).cast("array<string>"), "inside", F.array(*map(F.lit, [closing] if closing else [])).cast("array<string>")).alias("tokens"))
+    return inside.select("path", F.concat(F.array(*map(F.lit, header)).cast("array<string>"), "inside", F.array(*map(F.lit, ends)).cast("array<string>")).alias("tokens"))
 
 
 def raw_pages(spark: SparkSession, path: str, *, width: int) -> DataFrame:
@@ -93,7 +103,7 @@ def raw_pages(spark: SparkSession, path: str, *, width: int) -> DataFrame:
 
 
 def image_pages(spark: SparkSession, path: str) -> DataFrame:
-    """PNG or JPEG pages by Spark's image source, as gray: the mean of the colours, transparent parts white."""
+    """PNG or JPEG pages by Spark's image source, as gray: transparent parts white, then the luma of the colours."""
     image = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
 
     def run(batches):
@@ -104,10 +114,11 @@ def image_pages(spark: SparkSession, path: str) -> DataFrame:
             out = []
             for r in batch.itertuples():
                 px = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, r.nChannels).astype(np.float32)
-                gray = px[..., :3].mean(axis=2)
                 if r.nChannels == 4:
-                    alpha = px[..., 3] / 255
-                    gray = gray * alpha + 255 * (1 - alpha)
+                    alpha = px[..., 3:] / 255
+                    px = px[..., :3] * alpha + 255 * (1 - alpha)
+                # Channels come as blue, green, red; a single one is gray already.
+                gray = px[..., 0] if px.shape[2] == 1 else px[..., :3] @ np.array([0.114, 0.587, 0.299], np.float32)
                 out.append((r.origin, r.height, r.width, (gray + 0.5).astype(np.uint8).tobytes()))
             yield pd.DataFrame(out, columns=["origin", "height", "width", "gray"])
 
@@ -130,12 +141,62 @@ def sample_kinds(lines: DataFrame, *, most_width: Column | int, frame: int = 4)
     return lines.withColumn("kind", kind)
 
 
-def svg_staves(spark: SparkSession, path: str) -> DataFrame:
-    """``path, line_no, field`` of the staves of SVG pages: ids that end in ``-L<line>F<field>``, each once."""
-    text = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
-    ids = text.select("path", F.explode(F.regexp_extract_all("value", F.lit(r'class="staff"[^>]*id="([^"]*-L\d+F\d+)"'), F.lit(1))).alias("id"))
-    parts = [F.regexp_extract("id", r"-L(\d+)F(\d+)$", i).cast("int") for i in (1, 2)]
-    return ids.select("path", parts[0].alias("line_no"), parts[1].alias("field")).distinct()
+def svg_systems(spark: SparkSession, path: str) -> DataFrame:
+    """Systems of SVG pages in reading order: ``path, system, y, starts, staves``.
+
+    ``starts`` are the source lines of the measures, from ids with ``-L<line>``; ``staves`` those of the first measure
+    with a field in their id (``-L<line>F<field>``), from the top: ``field, y, clef, key, meter``, the last three telling
+    what is drawn on them. Systems without such a staff are left out.
+    """
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+
+    def run(batches):
+        import re
+        import xml.etree.ElementTree as ET
+
+        import pandas as pd
+
+        source, height = re.compile(r"-L(\d+)(?:F(\d+))?"), re.compile(r"[ML]\s*-?\d+\s+(-?\d+)")
+
+        def groups(node, kind):
+            return [g for g in node.iter("{http://www.w3.org/2000/svg}g") if kind in (g.get("class") or "").split()]
+
+        def top(node):
+            return min((float(y) for p in node.iter("{http://www.w3.org/2000/svg}path") for y in height.findall(p.get("d") or "")), default=0.0)
+
+        def origin(node):
+            return source.search(node.get("id") or "")
+
+        for batch in batches:
+            rows = []
+            for name, text in zip(batch.path, batch.value):
+                for system in groups(ET.fromstring(text), "system"):
+                    measures = groups(system, "measure")
+                    lines = sorted({int(m[1]) for m in map(origin, measures) if m})
+                    drawn = [(g, origin(g)) for m in measures[:1] for g in groups(m, "staff")]
+                    staves = sorted((top(g), int(m[2]), *(bool(groups(g, k)) for k in ("clef", "keySig", "meterSig"))) for g, m in drawn if m and m[2])
+                    if staves:
+                        rows.append((name, staves[0][0], lines, [{"field": f, "y": y, "clef": c, "key": k, "meter": t} for y, f, c, k, t in staves]))
+            yield pd.DataFrame(rows, columns=["path", "y", "starts", "staves"])
+
+    found = files.mapInPandas(run, "path string, y double, starts array<int>, staves array<struct<field:int,y:double,clef:boolean,key:boolean,meter:boolean>>")
+    return found.withColumn("system", F.row_number().over(Window.partitionBy("path").orderBy("y")) - 1).select("path", "system", "y", "starts", "staves")
+
+
+def system_ranges(systems: DataFrame, records: DataFrame) -> DataFrame:
+    """``path, system, start, end, closing``: the source lines of each system, in order, and the barline that closes it.
+
+    ``systems`` has path, ``system``, ``starts``. A system begins with its first measure, but not before the first data or
+    barline, and ends before the next one begins, the last with the last such line; the barline that the next one
+    begins with closes it.
+    """
+    content = records.where(F.col("kind").isin("data", "barline"))
+    span = content.groupBy("path").agg(F.min("line_no").alias("_first"), F.max("line_no").alias("_last"))
+    begun = systems.join(span, "path").withColumn("start", F.greatest(F.array_min("starts"), F.col("_first")))
+    following = F.lead("start").over(Window.partitionBy("path").orderBy("system"))
+    ranges = begun.withColumn("_next", following).withColumn("end", F.coalesce(F.col("_next") - 1, F.col("_last")))
+    bars = records.where("kind = 'barline'").select("path", F.col("line_no").alias("_next"), F.get("fields", F.lit(0)).alias("closing"))
+    return ranges.join(bars, ["path", "_next"], "left").select("path", "system", "start", "end", "closing")
 
 
 def xml_systems(spark: SparkSession, path: str) -> DataFrame:
@@ -143,20 +204,20 @@ def xml_systems(spark: SparkSession, path: str) -> DataFrame:
     from ..operators.sequence import run_id
 
     rows = spark.read.format("xml").option("rowTag", "element").schema("_id int, _page int, _y double").load(path)
-    named = rows.select(F.col("_metadata.file_path").alias("path") if "_metadata" in rows.columns else F.lit(path).alias("path"), F.col("_id").alias("element"), F.col("_page").alias("page"), F.col("_y").alias("y"))
+    named = rows.select(F.col("_metadata.file_path").alias("path"), F.col("_id").alias("element"), F.col("_page").alias("page"), F.bround("_y", 1).alias("y"))
     return run_id(named, keys=["path"], order=["element"], by=["page", "y"], name="system")
 
 
 def name_list(spark: SparkSession, path: str, *, field: str = "piece") -> DataFrame:
     """Names from a JSON list whose entries are strings or objects with the name in a field."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     entries = text.select(F.explode(F.from_json("value", "array<string>")).alias("entry"))
     return entries.select(F.coalesce(F.get_json_object("entry", f"$.{field}"), F.col("entry")).alias(field)).distinct()
 
 
 def vocabulary_file(spark: SparkSession, path: str) -> DataFrame:
     """``token, id`` (from 1) of a JSON list of tokens."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     return text.select(F.posexplode(F.from_json("value", "array<string>")).alias("at", "token")).select("token", (F.col("at") + 1).cast("long").alias("id"))
 
 

@@ -49,6 +49,26 @@ def write_append_new(rows: DataFrame, path: str, *, key: Sequence[str]) -> None:
     rows.write.mode("append").parquet(path)
 
 
+def write_fixtures(lines: DataFrame, path: str, *, order: Sequence[str], k: int = 24) -> int:
+    """Write ``k`` lines at equal distances in order as fixtures; returns how many there are."""
+    from ..operators.sampling import evenly_spaced
+
+    evenly_spaced(lines, order=order, k=k).coalesce(1).write.mode("overwrite").parquet(path)
+    return lines.sparkSession.read.parquet(path).count()
+
+
+def write_merged(new: DataFrame, path: str, *, key: Sequence[str]) -> None:
+    """Results with new ones in the place of old ones of the same key; written beside the old ones before these go."""
+    from ..tables import discard, materialise
+
+    spark = new.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    exists = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    whole = materialise(merge_results(spark.read.parquet(path), new, key=key) if exists else new, "merged")
+    whole.write.mode("overwrite").parquet(path)
+    discard(whole)
+
+
 def merge_results(old: DataFrame, new: DataFrame, *, key: Sequence[str]) -> DataFrame:
     """Old results with those replaced for which there are new ones."""
     return old.join(new.select(*key).distinct(), list(key), "left_anti").unionByName(new, allowMissingColumns=True)

@@ -68,6 +68,11 @@ def test_frames_and_error_rate(spark):
     rate = metrics.error_rate(F.col("a"), F.col("b"))
     assert column(spark, rate, a="4c|4d", b="4c|2d") == pytest.approx(0.2)
     assert column(spark, rate, a="", b="") == 0 and column(spark, rate, a="", b="x") == 1
+    assert column(spark, metrics.token_error_rate(F.split("a", " "), F.split("b", " ")), a="4 c", b="4 d") == 0.5
+    many = spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(399)), lambda i: i.cast("string")).alias("a"))
+    other = F.transform("a", lambda t: F.when(t.cast("int") >= 256, (t.cast("int") - 256).cast("string")).otherwise(t))
+    assert many.select(metrics.token_error_rate(F.col("a"), other).alias("x")).first().x == pytest.approx(144 / 400)
+    assert metrics._script([], ["a"]) == [{"op": "ins", "ref": None, "hyp": "a"}] and metrics._script("a b c".split(), ["b"]) == [{"op": "del", "ref": "a", "hyp": None}, {"op": "del", "ref": "c", "hyp": None}]
     assert metrics._script("4 c <b> 4 d".split(), "4 c <b> 2 d".split()) == [{"op": "sub", "ref": "4", "hyp": "2"}]
 
 
@@ -97,20 +102,22 @@ def test_score_document(spark):
     done = score.assemble(lines)
     measures = done["measures"].orderBy("measure").collect()
     assert [sum(e.duration.divisions for e in m.events) for m in measures] == [0, 192, 192]
-    assert measures[0].clef.sign == "G" and measures[0].key_fifths == 0 and measures[0].barline == "regular"
-    assert measures[2].events[-1].tie == "start" and measures[2].barline == "final"
+    assert measures[0].clef.sign == "G" and measures[0].key_fifths == 0 and measures[0].barline.type == "regular"
+    assert measures[2].events[-1].tie == "start" and measures[2].barline.type == "final"
     assert done["structure"].first().staves == 1 and done["warnings"].count() == 0
 
 
 @pytest.mark.parametrize(
     ("sizes", "small", "large", "verdict"),
-    [([4, 4, 3, 3], 3, 4, aggregates.MIXED), ([4, 4, 4, 3], 4, 4, aggregates.SUSPECT), ([4, 4, 4, 4, 5], 4, 4, aggregates.STEADY), ([2, 2, 2], 2, 2, aggregates.CLOSED)],
+    [([2, 2, 3, 4], 2, 2, aggregates.MIXED), ([1, 1, 1], 1, 1, aggregates.STEADY), ([2, 2, 2, 1], 2, 2, aggregates.CLOSED), ([4, 4, 3, 3], 3, 4, aggregates.MIXED), ([4, 4, 4, 3], 4, 4, aggregates.SUSPECT), ([4, 4, 4, 4, 5], 4, 4, aggregates.STEADY), ([2, 2, 2], 2, 2, aggregates.CLOSED)],
 )
 def test_modes(spark, sizes, small, large, verdict):
     rows = spark.createDataFrame([(1, i, s) for i, s in enumerate(sizes)], "k int, i int, s int")
     assert aggregates.mode(rows, keys=["k"], value="s", tie="smaller").first().mode == small
     assert aggregates.mode(rows, keys=["k"], value="s", tie="larger").first().mode == large
-    assert aggregates.consistency(rows, keys=["k"], index="i", size="s").first().verdict == verdict
+    got = aggregates.consistency(rows, keys=["k"], index="i", size="s", pieces=spark.range(1, 3).withColumnRenamed("id", "k")).orderBy("k").collect()
+    assert [r.verdict for r in got] == [verdict, aggregates.EMPTY] and (got[1].mode, got[1].share) == (None, 0.0)
+    assert [(x.system, x.missing) for x in got[0].suspects] == ([(i, large - s) for i, s in enumerate(sizes) if s < large] if verdict == aggregates.SUSPECT else [])
 
 
 def test_medians(spark):
@@ -169,7 +176,7 @@ def test_notation(spark):
     rows = [(0, 480, 60), (960, 1440, 62), (2400, 240, 64), (2640, 240, 65)]
     played = spark.createDataFrame([("p", 0, i, t, p, d, s, False) for i, ((t, d, p), s) in enumerate(zip(rows, "CDEF"))], "piece string, track int, pos int, time long, pitch int, duration long, spelled string, is_grace boolean")
     bars = spark.createDataFrame([("p", t) for t in (0, 1920, 3840)], "piece string, time long")
-    meters = spark.createDataFrame([("p", 4, 4)], "piece string, num int, den int")
+    meters = spark.createDataFrame([("p", 0, 4, 4), ("p", 3840, 6, 8)], "piece string, time long, num int, den int")
     got = [r.token for r in notes.notate(played, bars, meters).orderBy("time").collect()]
     assert got == ["4c", "4r", "[2d", "4d]", "8eL", "8fJ"]
 
@@ -221,7 +228,101 @@ def test_augmented_spines(spark):
     assert lines[:4] == ["!!!c", "**kern\t**dynam\t**text\t**kern\t**text\t**mxhm", "*\t*\t*\t*\t*\t*above", "*clefF4\t*\t*\t*clefG2\t*\t*"]
     assert [x.split("\t")[2] for x in lines[4:]] == ["Ky-", "rie", "=1", ".", "Ky-", "*-"]
     assert all(len(x.split("\t")) == 6 for x in lines[1:])
-    plan = augment.hairpin_marks("k", 60)
-    assert plan == augment.hairpin_marks("k", 60) and all(0 <= m["at"] < 60 for m in plan) and augment.hairpin_marks("k", 5) == []
+    voices = spark.createDataFrame([("p", i, n) for i, n in enumerate((5, 8, 60, 400))], "path string, spine int, n int")
+    plan = sorted(map(tuple, augment.hairpins(voices, seed="k").collect()))
+    assert plan == sorted(map(tuple, augment.hairpins(voices.repartition(3), seed="k").collect()))
+    assert all(0 <= at < (5, 8, 60, 400)[i] for _, i, at, _ in plan) and not any(i == 0 for _, i, _, _ in plan) and len({at for _, i, at, _ in plan if i == 3}) == sum(i == 3 for _, i, _, _ in plan)
+    walk = [m for _, i, _, m in plan if i == 3 and m in "<>[]"]
+    assert len(walk) > 10 and all(b == {"<": "[", ">": "]"}[a] for a, b in zip(walk[::2], walk[1::2]))
     drawn = augment.options(spark.range(300).selectExpr("concat('p', id) as path", "4 as n_spines"), seed="s").collect()
     assert 200 < sum(r.lyrics for r in drawn) < 250 and 60 < sum(r.harmony for r in drawn) < 150
+
+
+def _played(rows):
+    return [("p", t, i, 480 * i * 2, p, d, n, False) for t, (p, d, n) in enumerate(rows) for i in range(8)]
+
+
+NOTES = "piece string, track int, pos int, time long, pitch int, duration long, spelled string, is_grace boolean"
+
+
+def test_typed_text(spark):
+    """Two voices, the lower one first, bars and a later meter between the notes."""
+    played = spark.createDataFrame(_played([(72, 480, "C"), (48, 960, "C")]), NOTES)
+    bars = spark.createDataFrame([("p", t) for t in (0, 1920, 3840, 5760)], "piece string, time long")
+    meters = spark.createDataFrame([("p", 0, 4, 4), ("p", 3840, 2, 2)], "piece string, time long, num int, den int")
+    text = notes.to_kern(played, bars, meters, spark.createDataFrame([("p", -1)], "piece string, fifths int")).first().text.split("\n")
+    assert text[:4] == ["**kern\t**kern", "*clefF4\t*clefG2", "*k[b-]\t*k[b-]", "*M4/4\t*M4/4"] and text[-2:] == ["==\t==", "*-\t*-"]
+    assert text[4:8] == ["2C\t4cc", ".\t4r", "2C\t4cc", ".\t4r"] and text[8] == "=2\t=2" and text[13:15] == ["=3\t=3", "*M2/2\t*M2/2"]
+    records = readers.parse_kern(spark.createDataFrame([("p", "\n".join(text))], "path string, value string"))
+    assert records.where("kind = 'data' and size(fields) <> 2").count() == 0
+
+
+def test_pieces_that_cannot_be_written(spark):
+    bars = spark.createDataFrame([("p", t) for t in (0, 1920, 3840, 5760)], "piece string, time long")
+    pieces = spark.createDataFrame([("p", 480, 1)], "piece string, resolution int, n_meters int")
+    tracks = spark.createDataFrame([("p", i) for i in range(3)], "piece string, track int")
+
+    def reason(rows, of=None):
+        return notes.piece_reasons(pieces, spark.createDataFrame(_played(rows), NOTES), bars, of).first().reject_reason
+
+    good = [(60, 480, "C"), (64, 480, "E")]
+    assert reason(good) is None and reason(good, tracks) == "fewer than eight notes"
+    assert reason([(60, 480, "C"), (61, 480, "C")]) == "spelling" and reason([(60, 479, "C"), (64, 480, "E")]) == "length"
+    assert reason([(60, 479, "C"), (65, 480, "E")]) == "length" and reason([(60, 480, "C")]) == "track count"
+
+
+def test_beats_of_the_first_meter(spark):
+    """Eighths in 6/8 are beamed in threes though the piece goes on in 4/4."""
+    played = spark.createDataFrame([("p", 0, i, 240 * i, 60, 240, "C", False) for i in range(6)], NOTES)
+    bars = spark.createDataFrame([("p", t) for t in (0, 1440)], "piece string, time long")
+    meters = spark.createDataFrame([("p", 0, 6, 8), ("p", 1440, 4, 4)], "piece string, time long, num int, den int")
+    assert [r.token for r in notes.notate(played, bars, meters).orderBy("time").collect()] == ["8cL", "8c", "8cJ"] * 2
+
+
+def test_whole_document(spark):
+    import json
+
+    event = "struct<token:string,f0:int,f1:int,confidence:double>"
+    token = lambda t, i: (t, i, i, 0.9)
+    texts = {0: "*clefGv2 <b> *k[f#] <b> *M3/4 <b> 4 f # <b> =||", 1: "*clefF4 <b> 4 c <b> x <b> ==", 2: "2 c"}
+    rows = [(1, 0, s, i, i == 1, [token(t, k) for k, t in enumerate(texts[i].split())], 10, 100 * i, 50, 40, 9.0, 10.0) for s, n in ((0, 2), (1, 2), (2, 3)) for i in range(n)]
+    lines = score.line_elements(spark.createDataFrame(rows, f"score int, page int, system int, staff int, truncated boolean, events array<{event}>, x int, y int, w int, h int, spacing double, norm_spacing double"))
+    verdicts = spark.createDataFrame([(1, True, "closed-score-suspected", 3, ["closed-score"])], "score int, rejected boolean, reason string, modal_staves int, codes array<string>")
+    done = json.loads(score.to_documents(score.assemble(lines, verdicts), model="m", decoder="d").first().document)
+    assert done["generator"] == {"model": "m", "decoder": "d"} and done["rejected"] and done["rejectionReason"] == "closed-score-suspected"
+    assert done["structure"]["recognized"] == {"stavesPerSystem": 2, "clefs": ["G2v8", "F4"], "keyFifths": 1, "time": {"num": 3, "den": 4}}
+    assert [w["code"] for w in done["warnings"]][:3] == ["closed-score", "modal-staves-disagreement", "staff-count-mismatch"] and done["warnings"][2]["found"] == 3
+    assert [len(p["measures"]) for p in done["parts"]] == [3, 3] and done["parts"][0]["measures"][0]["attributes"]["keyFifths"] == 1
+    assert done["parts"][0]["measures"][0]["events"][0]["pitch"] == {"step": "F", "octave": 4, "alter": 1} and done["parts"][1]["measures"][2]["barline"]["type"] == "final"
+    assert done["systems"][2]["bbox"] == [10, 0, 50, 240] and done["systems"][0]["staves"][1] == {"part": 1, "bbox": [10, 100, 50, 40], "lineSpacingPx": 9.0, "normScale": 0.9}
+
+
+def test_parity(spark):
+    schema = "k int, voice int, bar int, total int, notes int"
+    base = [(1, v, b, 4, 4) for v in (0, 1) for b in range(3)]
+
+    def first(mine):
+        return joins.parity(spark.createDataFrame(mine, schema), spark.createDataFrame([*base, (1, 0, 9, 0, 0), (1, 1, 9, 6, 6)], schema), keys=["k"], voice="voice", bar="bar").first().violation
+
+    mine = [*base, (1, 1, 7, 6, 6)]
+    assert first(mine) is None and first([r for r in mine if r[1] == 0]) == "voices" and first(mine[:-1]) == "bar count"
+    change = lambda i, total, n: [(*r[:3], total, n) if j == i else r for j, r in enumerate(mine)]
+    assert first(change(3, 6, 4)) is None and first(change(3, 7, 4)) == "total" and first(change(0, 5, 4)) == "total" and first(change(3, 3, 4)) == "total" and first(change(4, 6, 5)) == "notes"
+
+
+def test_build_reasons(spark):
+    good = ("**kern", ["**kern"] * 2, 0, 1, 1, [0], [0], [2], [2], [[1, 2]], [1, 2])
+    schema = "text string, spine_types array<string>, n_multirests int, n_systems int, n_detected int, pages array<int>, detected_pages array<int>, staves array<int>, detected_staves array<int>, fields array<array<int>>, kern_fields array<int>"
+    faults = [(0, "a *^ b"), (1, ["**kern"]), (1, ["**kern", "**text"]), (2, 1), (3, 0), (4, 2), (6, [1]), (8, [3]), (9, [[1, 3]])]
+    rows = [good, *[(*good[:i], x, *good[i + 1 :]) for i, x in faults]]
+    got = [r.why for r in spark.createDataFrame(rows, schema).coalesce(1).select(gates.build_reasons().alias("why")).collect()]
+    assert got == [None, "spine split", "spine count", "other spines", "multirest", "no systems", "system count", "system on another page", "staff count", "fields"]
+
+
+def test_padding():
+    """Up to the first clear gap, at least two and at most three spacings, bounded by the neighbour and the page."""
+    rows = np.ones(60, bool)
+    assert vision.clear_rows(rows, 10.0, None) == 30 and vision.clear_rows(rows, 10.0, 24.6) == 24 and vision.clear_rows(rows, 10.0, 5.0) == 20
+    assert vision.clear_rows(rows[:25], 10.0, None) == 25 and vision.clear_rows(rows[:7], 10.0, None) == 20
+    rows[21:29] = False
+    assert vision.clear_rows(rows, 10.0, None) == 21 and vision.clear_rows(rows, 10.0, 28.0) == 28
