@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import json
-import tempfile
-import uuid
 from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import discard, materialise, new_table, shared_dir  # noqa: F401
+
 #: A word: a maximal run of characters other than space and the ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -40,40 +40,6 @@ def literals(spark: SparkSession, values: Sequence[str], name: str) -> DataFrame
     return spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(list(values))), "array<string>")).alias(name))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset (local mode)."""
-    context = spark.sparkContext
-    found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if found is None:
-        if context.master.partition("[")[0] != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="ordina-")
-        context.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def new_table(spark: SparkSession, name: str) -> str:
-    """A path for an intermediate table that no other run uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = new_table(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete materialised tables that no later plan reads."""
-    for df in tables:
-        spark = df.sparkSession
-        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame:
     """Smallest node reachable from each node of an undirected graph.
 

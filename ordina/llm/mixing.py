@@ -7,18 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.sampling import number_rows
 from .common import materialise, word_count
 
 
-def numbered(rows: DataFrame, order: str, name: str) -> DataFrame:
-    """``rows`` as a table, numbered from 0 in ``order``: sorted by range, and counted by task for each task's first number."""
-    at = F.monotonically_increasing_id()
-    found = materialise(rows.orderBy(order).withColumn("_at", at), "mix-order").withColumns({"_task": F.shiftright("_at", 33), "_at": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))})
-    n = found.groupBy("_task").agg(F.count("*").alias("_n"))  # a row a task
-    first = n.select("_task", F.coalesce(F.sum("_n").over(Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_first"))
-    return found.join(first, "_task").withColumn(name, F.col("_first") + F.col("_at")).drop("_task", "_at", "_first")
-
-
 def targets(sizes: DataFrame, *, weights: Sequence[float], share: float, cap: float) -> DataFrame:
     """``_source, source_size, target`` (words to take) of sources ``_source, n``, however many there are.
 
@@ -26,8 +18,8 @@ def targets(sizes: DataFrame, *, weights: Sequence[float], share: float, cap: fl
     times its own size; what is above is shared again by weight among the rest until none is above: the level is
     raised by one aggregate a round, until no further source is cut off.
     """
-    weight = F.get(F.array(*[F.lit(float(w)) for w in weights]), F.pmod("_i", F.lit(len(weights))).cast("int"))
-    found = materialise(numbered(sizes, "_source", "_i").select("_source", "n", weight.alias("_weight")), "mix-sources")
+    weight = F.get(F.array(*[F.lit(float(w)) for w in weights]), F.pmod(F.col("_i") - 1, F.lit(len(weights))).cast("int"))
+    found = materialise(number_rows(sizes, order=["_source"], name="_i").select("_source", "n", weight.alias("_weight")), "mix-sources")
     whole = found.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
     level, cut = -1.0, -1
     while True:

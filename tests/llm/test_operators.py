@@ -628,3 +628,52 @@ def test_quality(spark):
     assert 100 < len(held) < 200 and np.mean([(r.score >= 0.3) == (r.doc_id % 4 > 0) for r in held]) > 0.97
     assert quality.score(df, quality.fit(df, marks.limit(0))).where("score between 0.49 and 0.51").count() == len(rows)
     assert quality.score(df.limit(0), quality.fit(df.limit(0), marks)).collect() == []
+
+
+def test_quality_against_plain_numpy(spark):
+    """Vectors, pooling and network as loops over words, on texts with ties, repeats, a long one and none; labels of no text."""
+    rng = random.Random(3)
+    words = ["the", "of", "river", "green", "house", "goes", "###", "!!", "a1b2", "Thé", "ende.", "4,5"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 30))) for _ in range(50)]
+    texts += [None, "", " \t", texts[3], texts[3], "the the the", "river green " * 20_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    marks = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(500, 1)], "doc_id long, quality int")
+    model = quality.fit(df, marks)
+
+    kinds = lambda c: 0 if c in " \t\n\v\f\r" else 2 if c in "0123456789" else 1 if c.isascii() and c.isalpha() or ord(c) > 127 else 3
+    place, sign = quality.index_vectors()
+
+    def slots(text):
+        out = []
+        for _, piece in itertools.groupby(text or "", kinds):
+            piece = "".join(piece)
+            if kinds(piece[0]):
+                data = np.frombuffer(piece.encode(), np.uint8)
+                out.append(int(kernels.word_hashes(data, np.array([0]), np.array([len(data)]), seed=9)[0] >> np.uint64(50)))
+        return [0 if i and out[i] == out[i - 1] else x for i, x in enumerate(out)]
+
+    found = {t: slots(t) for t in set(texts)}
+    total = np.zeros((quality.SLOTS, quality.SIZE))
+    for t in texts:
+        mine = found[t]
+        for i in range(len(mine)):
+            for j in (i - 2, i - 1, i + 1, i + 2):
+                if 0 <= j < len(mine):
+                    np.add.at(total[mine[i]], place[mine[j]], sign[mine[j]])
+    own = np.zeros_like(total)
+    for k in range(quality.ONES):
+        np.add.at(own, (np.arange(quality.SLOTS), place[:, k]), sign[:, k])
+    length = np.linalg.norm(total, axis=1, keepdims=True)
+    vectors = total / np.where(length > 0, length, 1) + 0.5 * own / 2
+    assert np.allclose(vectors, model.vectors, atol=1e-5)
+
+    def features(t):
+        mine = found[t]
+        return np.append(vectors[mine].mean(axis=0) if mine else np.zeros(quality.SIZE), np.log1p(len(mine)) / 10)
+
+    net = model.network
+    for r in quality.score(df, model).collect():
+        hidden = [np.tanh(sum((x - m) / s * w for x, m, s, w in zip(features(r.text), net.mean, net.scale, net.w1[:, h])) + net.b1[h]) for h in range(len(net.b1))]
+        logit = (sum(a * b for a, b in zip(hidden, net.w2)) + net.b2) / net.temperature
+        assert r.score == pytest.approx(1 / (1 + np.exp(-logit)), abs=1e-3)
+    assert 0.25 <= net.temperature <= 8
