@@ -24,6 +24,8 @@ PER_RANGE = 16
 ODD = 8
 #: Texts that are verified against one copy of a pivot's text.
 PER_PIVOT = 1024
+#: Bytes of text that a task hashes at once, shingles that it counts together, and keys of texts that it remembers.
+SLICE, RUN, SEEN = 1 << 20, 1 << 22, 1 << 18
 
 
 class Order:
@@ -157,6 +159,16 @@ def _found(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.col(id_col).alias("_id"), *text_key(text), text.alias("_text"))
 
+    def repeated_in(held: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
+        """Values that occur ``least`` times or more, and how often. Empties the list and sorts in place: memory is short."""
+        v = np.concatenate(held)
+        held.clear()
+        v.sort()
+        room = max(0, len(v) - least + 1)
+        starts = np.flatnonzero(np.append(True, v[1:] != v[:-1])[:room] & (v[least - 1 :][:room] == v[:room]))
+        values = v[starts]
+        return values, np.searchsorted(v, values, "right") - starts
+
     def local_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """What occurs in several different texts of a run of rows: shingles (kind 0) and words (1); 2 has the words' number."""
         shingles: list[np.ndarray] = []
@@ -165,22 +177,22 @@ def _found(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int
         n = 0
 
         def out() -> Iterator[pa.RecordBatch]:
+            total = sum(map(len, words))
             for kind, held, least in ((0, shingles, 2), (1, words, 8)):
-                v, c = np.unique(np.concatenate(held), return_counts=True)
-                v, c = v[c >= least], c[c >= least]
+                v, c = repeated_in(held, least)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), kind, np.int32)), pa.array(v.view(np.int64)), pa.array(c.astype(np.int64))], names=["kind", "v", "n"])
-            yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.array([0], pa.int64()), pa.array([sum(map(len, words))], pa.int64())], names=["kind", "v", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.array([0], pa.int64()), pa.array([total], pa.int64())], names=["kind", "v", "n"])
 
         for batch in batches:
             column = batch.column(2).filter(pa.array(_first_seen(batch, seen)))
-            for a, b in K.slices(column):
+            for a, b in K.slices(column, SLICE):
                 s = Shingles(column.slice(a, b - a), width)
                 shingles.append(s.v)
                 words.append(s.tokens)
                 n += len(s.v)
-                if n > 1 << 22:
+                if n > RUN or len(seen) > SEEN:
                     yield from out()
-                    shingles, words, n = [], [], 0
+                    n = 0
                     seen.clear()
         if shingles:
             yield from out()
@@ -194,7 +206,7 @@ def _found(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int
     def emit_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k1, column = batch.column(0).to_numpy(), batch.column(1)
-            for a, b in K.slices(column):
+            for a, b in K.slices(column, SLICE):
                 s = Shingles(column.slice(a, b - a), width, order.value)
                 at, _ = s.prefixes(num, den)
                 yield pa.RecordBatch.from_arrays([pa.array(s.v[at].view(np.int64)), pa.array(k1[a:b][s.row[at]])], names=["v", "k1"])
@@ -209,9 +221,9 @@ def _found(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int
         seen: set[tuple[int, int]] = set()
         for batch in batches:
             fresh = _first_seen(batch, seen, 1)
-            if len(seen) > 1 << 20:
+            if len(seen) > SEEN:
                 seen.clear()
-            for a, b in K.slices(batch.column(3)):
+            for a, b in K.slices(batch.column(3), SLICE):
                 s = Shingles(batch.column(3).slice(a, b - a), width, order.value)
                 at, place = s.prefixes(num, den)
                 hit = repeated.value(s.v[at]) & fresh[a:b][s.row[at]]
@@ -260,7 +272,7 @@ def _found(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int
         for batch in batches:
             b, pivot, node, column = batch.column(0), batch.column(1).to_pylist(), batch.column(2), batch.column(3)
             linked = np.zeros(len(batch), bool)
-            for low, high in K.slices(column):
+            for low, high in K.slices(column, SLICE):
                 s = Shingles(column.slice(low, high - low), width)
                 for i in range(high - low):
                     mine = s.v[s.first[i] : s.first[i + 1]]
@@ -289,7 +301,7 @@ def _found(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int
             seen: set[tuple[int, int]] = set()
             for batch in batches:
                 batch = batch.filter(pa.array(needed.value(batch.column(0).to_numpy().view(np.uint64))))
-                if len(seen) > 1 << 20:
+                if len(seen) > SEEN:
                     seen.clear()
                 yield batch.filter(pa.array(_first_seen(batch, seen)))
 
