@@ -197,7 +197,7 @@ def _found(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int
         if shingles:
             yield from out()
 
-    counts = keyed.select("k1", "k2", "_text").mapInArrow(local_counts, "kind int, v long, n long").groupBy("kind", "v").agg(F.sum("n").alias("n"))
+    counts = keyed.select("k1", "k2", "_text").mapInArrow(K.frugal(local_counts), "kind int, v long, n long").groupBy("kind", "v").agg(F.sum("n").alias("n"))
     counts = materialise(counts.where("kind > 0 or n >= 4"), "join-counts")
     top = [counts.where(f"kind = {k}").orderBy(F.desc("n"), "v").limit(most).select("v", "n").toArrow() for k, most in ((0, HEAVY), (1, WORDS), (2, 1))]
     discard(counts)
@@ -211,7 +211,7 @@ def _found(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int
                 at, _ = s.prefixes(num, den)
                 yield pa.RecordBatch.from_arrays([pa.array(s.v[at].view(np.int64)), pa.array(k1[a:b][s.row[at]])], names=["v", "k1"])
 
-    prefix = keyed.select("k1", "_text").mapInArrow(emit_prefixes, "v long, k1 long")
+    prefix = keyed.select("k1", "_text").mapInArrow(K.frugal(emit_prefixes), "v long, k1 long")
     shared = prefix.groupBy("v").agg(F.min("k1").alias("a"), F.max("k1").alias("b")).where("a <> b")
     repeated = spark.sparkContext.broadcast(hash_filter(shared))
 
@@ -239,7 +239,7 @@ def _found(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(3)), pa.array(s.size.astype(np.int64)), band, *lists, ranges, odd], names=names)
 
     schema = f"_id {kind}, k1 long, k2 long, n_shingles long, band int, hits array<long>, places array<int>, ranges binary, odd array<long>"
-    sized = materialise(keyed.mapInArrow(sized_and_partnered, schema), "join-sizes")
+    sized = materialise(keyed.mapInArrow(K.frugal(sized_and_partnered), schema), "join-sizes")
     classes = sized.where("hits is not null").select("k1", "k2", F.col("n_shingles").cast("int").alias("size"), "band", "hits", "places", "ranges", "odd").dropDuplicates(["k1", "k2"])
     classes = materialise(classes.withColumn("node", F.monotonically_increasing_id()), "join-classes")
 
@@ -288,7 +288,7 @@ def _found(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int
         pairs = materialise(pairs, "join-pairs")
         left, right = (features.select(*[F.col(c).alias(n) for c, n in zip(features.columns, names, strict=True)]) for names in (("a", "a1", "a2", "a_size", "x"), ("b", "b1", "b2", "b_size", "y")))
         both = pairs.join(left, "a").join(right, "b").select("a", "a1", "a2", "a_size", "x", "b", "b1", "b2", "b_size", "y")
-        likely = materialise(both.mapInArrow(suffix_filter, "a long, a1 long, a2 long, b long, b1 long, b2 long"), "join-likely")
+        likely = materialise(both.mapInArrow(K.frugal(suffix_filter), "a long, a1 long, a2 long, b long, b1 long, b2 long"), "join-likely")
         # Texts meet their pivot's in parts, so that a pivot of many texts is verified by many tasks.
         parts = materialise(likely.groupBy("b").agg(F.ceil(F.count("*") / PER_PIVOT).alias("parts")), "join-parts")
         dealt = likely.join(parts, "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")))
@@ -305,12 +305,12 @@ def _found(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int
                     seen.clear()
                 yield batch.filter(pa.array(_first_seen(batch, seen)))
 
-        texts = keyed.select("k1", "k2", "_text").mapInArrow(wanted, "k1 long, k2 long, _text string")
+        texts = keyed.select("k1", "k2", "_text").mapInArrow(K.frugal(wanted), "k1 long, k2 long, _text string")
         # Only rows whose text is asked for are shuffled, and once more to where their pivots are.
         texts = texts.groupBy("k1", "k2").agg(F.first("_text").alias("_text"))
         rows = ends.join(texts, ["k1", "k2"]).select("b", "pivot", "node", "_text", "part")
         rows = rows.repartition("b", "part").sortWithinPartitions("b", "part", F.desc("pivot"), "node").drop("part")
-        links = materialise(rows.mapInArrow(verify, "a long, b long"), "join-links")
+        links = materialise(rows.mapInArrow(K.frugal(verify), "a long, b long"), "join-links")
         discard(pairs, likely, parts, ends)
         return links
 
@@ -452,7 +452,7 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             found = keys.value(batch.column(len(docs_columns)).to_numpy().view(np.uint64))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], names=[*batch.schema.names, maybe])
 
-    marked = keyed.mapInArrow(mark, T.StructType([*keyed.schema.fields, T.StructField(maybe, T.BooleanType())]))
+    marked = keyed.mapInArrow(K.frugal(mark), T.StructType([*keyed.schema.fields, T.StructField(maybe, T.BooleanType())]))
     out = marked.where(~F.col(maybe)).unionByName(marked.where(maybe).join(listed.drop("again"), same, "left_anti")).select(*docs_columns)
     again = listed.where("again").drop("again")
     if again.isEmpty():

@@ -64,7 +64,7 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         some = np.flatnonzero(table.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array(table[some, i].astype(np.float32)) for i in range(SIZE))], names=["slot", *names])
 
-    parts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(gather, "slot int, " + ", ".join(f"{x} float" for x in names))
+    parts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(K.frugal(gather), "slot int, " + ", ".join(f"{x} float" for x in names))
     summed = parts.groupBy("slot").agg(*[F.sum(x).alias(x) for x in names]).toArrow()  # at most SLOTS rows
     out = np.zeros((SLOTS, SIZE))
     out[summed.column("slot").to_numpy()] = np.stack([summed.column(x).to_numpy() for x in names], axis=1)
@@ -179,7 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         .limit(sample)
     )
     texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = texts.join(F.broadcast(chosen), "_id").select("key", "label", "text").mapInArrow(features, "key long, label int, x array<float>")
+    rows = texts.join(F.broadcast(chosen), "_id").select("key", "label", "text").mapInArrow(K.frugal(features), "key long, label int, x array<float>")
     got = rows.orderBy("key", "label", F.xxhash64("x")).limit(sample).toArrow()
     x = np.array(got.column("x").to_pylist(), np.float64).reshape(-1, FEATURES)
     return Classifier(vectors, fit_network(x, got.column("label").to_numpy()))
@@ -201,4 +201,4 @@ def score(docs: DataFrame, model: Classifier, *, text_col: str = "text", name: s
             p = held.value.network.probabilities(pooled(column, held.value.vectors))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+    return docs.mapInArrow(K.frugal(run), T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))

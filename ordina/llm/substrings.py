@@ -127,7 +127,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 many = np.diff(np.append(begin, len(v))) > 1
                 yield pa.RecordBatch.from_arrays([_long(v[begin]), _long(k1[a:b][row[begin]]), pa.array(many)], names=["v", "k1", "many"])
 
-    anchors = keyed.select("k1", "_text").mapInArrow(emit_anchors, "v long, k1 long, many boolean")
+    anchors = keyed.select("k1", "_text").mapInArrow(K.frugal(emit_anchors), "v long, k1 long, many boolean")
     twice = anchors.groupBy("v").agg(F.min("k1").alias("a"), F.max("k1").alias("b"), F.max("many").alias("m")).where("a <> b or m")
     bitmap = spark.sparkContext.broadcast(hash_filter(twice))
 
@@ -141,7 +141,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 yield batch.slice(a, b - a).filter(pa.array(found))
 
     texts = keyed.select("k1", "k2", "_text")
-    marked = texts.mapInArrow(some, texts.schema).groupBy("k1", "k2").agg(F.first("_text").alias("_text"))
+    marked = texts.mapInArrow(K.frugal(some), texts.schema).groupBy("k1", "k2").agg(F.first("_text").alias("_text"))
     classes = materialise(marked.withColumn("cid", F.monotonically_increasing_id()), "repeat-texts")
 
     def emit_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +157,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                     names=["h1", "h2", "cid", "place"],
                 )
 
-    windows = classes.select("cid", "_text").mapInArrow(emit_windows, "h1 long, h2 int, cid long, place int")
+    windows = classes.select("cid", "_text").mapInArrow(K.frugal(emit_windows), "h1 long, h2 int, cid long, place int")
     once = windows.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("cid").alias("cid"), F.min("place").alias("place")).where("n = 1")
     single = once.groupBy("cid").agg(F.collect_list("place").alias("single"))
 
@@ -181,7 +181,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     cuts = (
         classes.join(single, "cid", "left")
         .select("k1", "k2", "_text", "single")
-        .mapInArrow(cut, "k1 long, k2 long, lost long, cut_text string, cuts array<struct<start:int,end:int>>")
+        .mapInArrow(K.frugal(cut), "k1 long, k2 long, lost long, cut_text string, cuts array<struct<start:int,end:int>>")
         .withColumn("cut_text", finish(F.col("cut_text")))
     )
     copies = keyed.groupBy("k1", "k2").agg(F.count("*").alias("copies")).where("copies > 1")
