@@ -29,7 +29,10 @@ BITS_PER_WINDOW, MAX_BITS = 512, 1 << 22
 
 
 def plain(text: Column) -> Column:
-    return F.translate(F.coalesce(text, F.lit("")), NAME + NUMBER + UNIT, "")
+    """The text without the placeholders' characters; only texts that hold one are built anew."""
+    text = F.coalesce(text, F.lit(""))
+    taken = F.contains(text, F.lit(NAME)) | F.contains(text, F.lit(NUMBER)) | F.contains(text, F.lit(UNIT))
+    return F.when(taken, F.translate(text, NAME + NUMBER + UNIT, "")).otherwise(text)
 
 
 def template(text: Column) -> Column:
@@ -38,7 +41,8 @@ def template(text: Column) -> Column:
     Other words are in lower case. There are as many words as :data:`TOKEN` finds in the text.
     """
     # Letters beyond the basic plane end in a low surrogate, which is all that a look behind sees of them.
-    named = F.regexp_replace(text, r"(?<![\p{L}\x{DC00}-\x{DFFF}])\p{Lu}\p{L}+", NAME)
+    # Capitals are told first, as they are few and a look behind is slow.
+    named = F.regexp_replace(text, r"(?=\p{Lu})(?<![\p{L}\x{DC00}-\x{DFFF}])\p{Lu}\p{L}+", NAME)
     units = "|".join(sorted(UNITS, key=len, reverse=True))
     counted = F.regexp_replace(named, r"[0-9]+(?:[.,][0-9]+)*", NUMBER)
     measured = F.regexp_replace(counted, rf"({NUMBER}[^\p{{L}}{NAME}{NUMBER}]*)(?i:{units})(?!\p{{L}})", f"$1{UNIT}")
