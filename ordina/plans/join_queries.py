@@ -172,29 +172,36 @@ def pushed_filter(spark, sf):
     return with_k(events(spark, sf).where("event_type = 'click'")).where(F.col("k").between(10, 20)).select("event_id", "k")
 
 
+#: Drawn pages handed on at once (280 kB each): a supplier's row is small, so a batch of rows would make GBs of pages.
+DRAWN = 16
+
+
+def draw_pages(batches):
+    """Two systems of two or three staves for each ``s_suppkey``."""
+    import numpy as np
+    import pandas as pd
+
+    for some in (batch[i : i + DRAWN] for batch in batches for i in range(0, len(batch), DRAWN)):
+        out = []
+        for r in some.itertuples():
+            gray, top = np.full((700, 400), 255, np.uint8), 40
+            for n in (2, 2 + int(r.s_suppkey) % 2):
+                first = top
+                for _ in range(n):
+                    for line in range(5):
+                        gray[top + 10 * line : top + 10 * line + 2, 20:380] = 0
+                    top += 100
+                gray[first : top - 58, 20:22] = 0
+                top += 40
+            out.append((int(r.s_suppkey), 700, 400, gray.tobytes()))
+        yield pd.DataFrame(out, columns=["page", "height", "width", "gray"])
+
+
 @query()
 def page_detect(spark, sf):
     """Boxes of drawn pages, one a supplier: two systems of two or three staves."""
     from ..operators import vision
 
-    def draw(batches):
-        import numpy as np
-        import pandas as pd
-
-        for batch in batches:
-            out = []
-            for r in batch.itertuples():
-                gray, top = np.full((700, 400), 255, np.uint8), 40
-                for n in (2, 2 + int(r.s_suppkey) % 2):
-                    first = top
-                    for _ in range(n):
-                        for line in range(5):
-                            gray[top + 10 * line : top + 10 * line + 2, 20:380] = 0
-                        top += 100
-                    gray[first : top - 58, 20:22] = 0
-                    top += 40
-                out.append((int(r.s_suppkey), 700, 400, gray.tobytes()))
-            yield pd.DataFrame(out, columns=["page", "height", "width", "gray"])
-
-    pages = table(spark, sf, "supplier").select("s_suppkey").mapInPandas(draw, "page bigint, height int, width int, gray binary")
-    return vision.detect_pages(pages)
+    # Keys are dealt before they are drawn, by a number that adaptive execution keeps: it would join partitions so small.
+    keys = table(spark, sf, "supplier").select("s_suppkey").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "s_suppkey")
+    return vision.detect_pages(keys.mapInPandas(draw_pages, "page bigint, height int, width int, gray binary"))

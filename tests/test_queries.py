@@ -40,3 +40,14 @@ def test_filter_stays_above_split(spark):
 def test_pushed_filters(spark):
     plan = QUERIES["pushed_filter"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(event_type,click)" in plan and "ReadSchema: struct<event_id:bigint,event_type:string,props:string>" in plan
+
+
+def test_drawn_pages_come_in_small_frames():
+    """A batch of suppliers is a few kB, its pages are GBs: a column of bytes ends at 2 GB."""
+    import pandas as pd
+
+    from ordina.plans.join_queries import draw_pages
+
+    frames = list(draw_pages(iter([pd.DataFrame({"s_suppkey": range(a, b)}) for a, b in ((0, 100), (100, 101), (101, 101))])))
+    assert [page for f in frames for page in f["page"]] == list(range(101))
+    assert max(sum(map(len, f["gray"])) for f in frames) <= 8 << 20
