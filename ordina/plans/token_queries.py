@@ -183,7 +183,9 @@ SELECT piece, CASE WHEN piece % 10 = 0 THEN 'resolution' WHEN tracks < 2 THEN 't
 def piece_rejection(spark, sf):
     rows = _notes(spark, sf)
     pieces = rows.select("piece").distinct().select("piece", F.when(F.col("piece") % 10 == 0, 240).otherwise(480).alias("resolution"), F.when(F.col("piece") % 10 == 1, 0).otherwise(1).alias("n_meters"))
-    bars = rows.select("piece").distinct().select("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7680).cast("long"), F.lit(1920).cast("long"))).alias("time"))
+    # Five bars at least, and bars to the last note: behind the last one no rest is cut, and a long one cannot be written.
+    until = F.greatest(F.max("time"), F.lit(7680)).cast("long")
+    bars = rows.groupBy("piece").agg(until.alias("t")).select("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("t"), F.lit(1920).cast("long"))).alias("time"))
     return notes.piece_reasons(pieces, rows, bars)
 
 

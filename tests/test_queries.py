@@ -51,3 +51,12 @@ def test_drawn_pages_come_in_small_frames():
     frames = list(draw_pages(iter([pd.DataFrame({"s_suppkey": range(a, b)}) for a, b in ((0, 100), (100, 101), (101, 101))])))
     assert [page for f in frames for page in f["page"]] == list(range(101))
     assert max(sum(map(len, f["gray"])) for f in frames) <= 8 << 20
+
+
+def test_a_voice_that_ends_long_before_the_other(same_as_sql, tmp_path):
+    """The rest behind it is cut at bars to the piece's end, so its length can be written."""
+    import duckdb
+
+    notes = "select user_id, 2 * n + user_id * 1000 + track as event_id from (values (2, 0, 9), (2, 1, 90), (3, 0, 400), (3, 1, 8), (4, 0, 60), (4, 1, 7), (5, 0, 60), (10, 1, 60), (11, 0, 60), (11, 1, 9)) v(user_id, track, size), range(size) r(n)"
+    duckdb.execute(f"copy (select user_id, event_id, '{{\"k\": ' || event_id % 9 || '}}' as props from ({notes})) to '{tmp_path}/events.parquet' (format parquet)")
+    same_as_sql(QUERIES["piece_rejection"], ORACLES["piece_rejection"], str(tmp_path))
