@@ -100,15 +100,20 @@ class HashFilter:
         return self.words[(hashes & np.uint64(len(self.words) - 1)).astype(np.int64)] & bits == bits
 
 
+def bits_of(v: Column, shifts: Sequence[int] = _SHIFTS) -> Column:
+    """The bits that a 64-bit hash sets in its word of a filter, one for each slice of the hash."""
+    out = F.lit(0).cast("long")
+    for shift in shifts:
+        out = out.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(v, shift).bitwiseAND(F.lit(63)).cast("int")))
+    return out
+
+
 def hash_filter(hashes: DataFrame) -> HashFilter:
     """A filter of the long column ``v``; its words are put together by Spark, one row a hash before they are."""
     kept = materialise(hashes.select("v"), "hashes")
     n = max(1, kept.count())
     words = 1 << min(MOST_WORDS.bit_length() - 1, max(LEAST_WORDS.bit_length() - 1, (n // PER_WORD).bit_length()))
-    bits = F.lit(0).cast("long")
-    for shift in _SHIFTS:
-        bits = bits.bitwiseOR(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(v, {shift}) & 63L as int))"))
-    found = kept.groupBy(F.col("v").bitwiseAND(F.lit(words - 1)).cast("int").alias("word")).agg(F.bit_or(bits).alias("set")).toArrow()
+    found = kept.groupBy(F.col("v").bitwiseAND(F.lit(words - 1)).cast("int").alias("word")).agg(F.bit_or(bits_of(F.col("v"))).alias("set")).toArrow()
     out = np.zeros(words, np.uint64)
     out[found.column("word").to_numpy()] = found.column("set").to_numpy().view(np.uint64)
     discard(kept)

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, text_key
+from .common import bits_of, materialise, text_key
 
 #: Words that are units where they follow a number.
 UNITS = (
@@ -24,8 +24,9 @@ WIDTH = 5
 SHORT = "short"
 #: A run of matched windows is enough where it covers so many widths, or a share of the item's words, but so many words.
 RUN_WIDTHS, RUN_SHARE, LEAST_RUN = 3, (2, 3), 8
-#: The prefilter's bits: as many a window, but not over a fixed size; what passes by mistake is dropped by the join.
-BITS_PER_WINDOW, MAX_BITS = 512, 1 << 22
+#: The prefilter's bits: as many a window, but not over a fixed size; what passes by mistake is dropped by the join. A hash
+#: has bits in one word, numbered by these slices of it, so that plans need mention the bitmap only once.
+BITS_PER_WINDOW, MAX_BITS, SLICES = 64, 1 << 22, (40, 46, 52, 58)
 
 
 def plain(text: Column) -> Column:
@@ -136,19 +137,16 @@ def find_contamination(
     windows = materialise(item_windows(benchmark, id_col=item_id_col, text_col=item_text_col, width=width, literals=literals), "item-windows")
     n = windows.select("h").distinct().count()
     bits = min(MAX_BITS, 64 * 2 ** max(0, math.ceil(math.log2(max(1, n) * BITS_PER_WINDOW / 64))))
-    probes = [lambda h: h.bitwiseAND(F.lit(bits - 1)), lambda h: F.shiftright(h, 24).bitwiseAND(F.lit(bits - 1))]
-    at = windows.select(F.explode(F.array(*[p(F.col("h")) for p in probes])).alias("at"))
-    found = at.groupBy(F.expr("cast(at div 64 as int)").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("set")).collect()  # bits / 64 at most
+    number = lambda h: h.bitwiseAND(F.lit(bits // 64 - 1)).cast("int")
+    found = windows.groupBy(number(F.col("h")).alias("word")).agg(F.bit_or(bits_of(F.col("h"), SLICES)).alias("set")).collect()  # bits / 64 at most
     words = [0] * (bits // 64)
     for r in found:
         words[r.word] = r.set
+    # All of it lies in the driver's plans, their texts and its event log, for each mention: it must be short.
     bitmap = F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")
 
     def maybe(h: Column) -> Column:
-        out = F.lit(True)
-        for p in probes:
-            out = out & (F.getbit(F.get(bitmap, F.shiftright(p(h), 6).cast("int")), p(h).bitwiseAND(F.lit(63)).cast("int")) == 1)
-        return out
+        return bits_of(h, SLICES).bitwiseAND(F.bitwise_not(F.get(bitmap, number(h)))) == 0
 
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).withColumns({"typed": template(plain(F.col("_text"))), "folded": folded(plain(F.col("_text")))})
     # By kind, what is hashed and how many words a time; lengths of short items only where there are any.
@@ -159,8 +157,7 @@ def find_contamination(
     asked = rows
     for kind, (source, n) in kinds.items():
         asked = with_windows(asked, n, source, f"h_{kind}")
-    # All kinds go past the bitmap in one array: each mention of it is a megabyte in the driver's plans. Of a short item's
-    # hash one place is enough.
+    # All kinds go past the bitmap in one array, as each mention of it counts. Of a short item's hash one place is enough.
     parts = {k: F.array_distinct(f"h_{k}") if k.startswith(SHORT) else F.col(f"h_{k}") for k in kinds}
     asked = asked.withColumn("h_all", F.concat(*parts.values()))
     asked = asked.withColumn("passed", F.array_compact(F.transform("h_all", lambda x, i: F.when(maybe(x), i))))

@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from ordina import tables
 from ordina.llm import chat, common, decontaminate, embeddings, jaccard, kernels, mixing, quality, secrets, substrings, urlfilter, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -252,6 +253,36 @@ def test_tiles_stop_early():
     assert set(zip(i.tolist(), j.tolist())) == want and len(want) == 10
 
 
+def test_the_driver_holds_little_of_the_bitmap(spark, monkeypatch):
+    """Plans, and with them the driver's texts and event log of them, hold the bitmap once and as long as items need."""
+    sizes, write = {}, decontaminate.materialise
+
+    def measured(df, name):
+        sizes[name] = len(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(decontaminate, "materialise", measured)
+    rng = random.Random(5)
+    items = [(i, " ".join(rng.choice("abcdefghij") + "".join(rng.choices("aeioulmnrst", k=6)) for _ in range(40))) for i in range(200)]
+    docs = spark.createDataFrame([(1, f"x {items[3][1]} y"), (2, "nothing of these here at all")], "doc_id long, text string")
+    got = decontaminate.find_contamination(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert [(r.doc_id, r.item_id, r.share) for r in got] == [(1, 3, 1.0)]
+    assert sizes["template-hits"] < 400_000
+
+
+def test_written_tables_let_the_driver_collect(spark, monkeypatch):
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    passes = lambda: sum(b.getCollectionCount() for b in beans() if "Young" not in b.getName())
+    monkeypatch.setattr(tables, "COLLECT_SECONDS", 0)
+    before = passes()
+    assert tables.materialise(spark.range(3), "three").count() == 3
+    assert passes() > before
+    monkeypatch.setattr(tables, "COLLECT_SECONDS", 3600)
+    before = passes()
+    tables.materialise(spark.range(3), "three")
+    assert passes() == before
+
+
 def test_decontamination(spark):
     item = "A train leaves Boston at 40 km per hour and after 3 hours it meets another train from Paris that left 2 hours later at noon"
     changed = "A train leaves Berlin at 75 miles per hour and after 5 hours it meets another train from Rome that left 9 hours later at noon"
